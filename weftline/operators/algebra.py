@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 HOWS = {"left": "left", "right": "right", "inner": "inner", "outer": "full"}
 
 
@@ -89,16 +91,18 @@ def row_slice(df: DataFrame, order: list[str], start: int, stop: int) -> DataFra
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Contiguous numbers from 0 in a total order, without moving all rows to one task.
 
-    Rows are range-partitioned; each partition's size gives the offset of the
-    ones after it, and numbers run within partitions.
+    Rows are range-partitioned and sorted; their place within the partition
+    and the partition come from one built-in id, and the sizes of the
+    partitions before give the offset. The ranges are written first, as ids of
+    a plan that runs twice need not agree.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    out = ranged.join(F.broadcast(offsets), F.col("__p") == F.col("__q"))
-    return out.withColumn(name, (F.col("__o") + F.col("__r") - 1).cast("long")).drop("__p", "__q", "__r", "__n", "__o")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranges").withColumn("__p", F.shiftright("__m", 33))
+    sizes = ranged.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__q", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    out = ranged.join(F.broadcast(offsets), F.col("__p") == F.col("__q"))  # one row per partition
+    return out.withColumn(name, F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__q", "__o")
 
 
 def union_splits(parts: dict[str, DataFrame], order: list[str], id_col: str = "__task_id") -> DataFrame:

@@ -13,7 +13,7 @@ from weftline.operators import counts as C
 from weftline.operators import metrics, sampling
 from weftline.operators.pooling import asof_pairs
 from weftline.queries.base import NULLS_SQL, SCORES_SQL, TASK_SQL, Tables, cutoffs, orders_nullfk, orders_nulls, query, r6, rounded, scores, task_rows
-from weftline.session import scratch_path
+from weftline.session import materialize, scratch_path
 from weftline.sources import files
 from weftline.streaming import counts as streams
 
@@ -29,7 +29,7 @@ SPEC = {
 
 
 def splits(t: Tables) -> dict[str, DataFrame]:
-    rows = task_rows(t)
+    rows = materialize(task_rows(t), "task")
     return {s: rows.where(F.col("split") == s).drop("split", "target") for s in ("train", "val", "test")}
 
 
