@@ -6,22 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _range_of(df: DataFrame, column: str, bins: int) -> Column:
+    """The number of a value's range, ranges being cut at approximate quantiles; nulls are in range 0."""
+    cuts = sorted(set(df.approxQuantile(column, [i / bins for i in range(1, bins)], 0.01)))
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col(column))) if cuts else F.lit(0)
+
+
+def _with_offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with range ``__b`` joined to each sum over the ranges before it; as many rows as ranges are sorted in one place."""
+    totals = df.groupBy(F.col("__b").alias("__s")).agg(*[c.alias(k) for k, c in sums.items()])
+    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__s", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+    return df.join(F.broadcast(offsets), F.col("__b") == F.col("__s")).drop("__b", "__s")
+
+
 def ordinal_ranks(df: DataFrame, columns: list[str], tie: str, bins: int = 64) -> DataFrame:
     """``df`` with ``rank_<column>``: places from 1 in the order of each column, ties by ``tie``.
 
-    Values are cut into ranges by approximate quantiles; places run within
-    ranges and are offset by the sizes of the ranges before, so no task sorts
-    all rows.
+    Places run within ranges of values and are offset by the sizes of the
+    ranges before, so no task sorts all rows.
     """
     out = df
     for c in columns:
-        cuts = sorted(set(df.approxQuantile(c, [i / bins for i in range(1, bins)], 0.01)))
-        part = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col(c))) if cuts else F.lit(0)
-        out = out.withColumn("__b", part).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(c, tie)))
-        sizes = out.groupBy("__b").agg(F.count("*").alias("__n")).select(F.col("__b").alias("__s"), "__n")
-        before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-        out = out.join(F.broadcast(offsets), F.col("__b") == F.col("__s")).withColumn(f"rank_{c}", F.col("__r") + F.col("__o")).drop("__b", "__r", "__s", "__o")
+        out = out.withColumn("__b", _range_of(df, c, bins)).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(c, tie)))
+        out = _with_offsets(out, {"__o": F.count("*")}).withColumn(f"rank_{c}", F.col("__r") + F.col("__o")).drop("__r", "__o")
     return out
 
 
@@ -43,14 +51,17 @@ def regression(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -
     return df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
 
 
-def score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
+def score_groups(df: DataFrame, label: str, score: str, bins: int = 64) -> DataFrame:
     """Positives and negatives by distinct score, with the numbers of both at lower scores.
 
-    What is sorted in one place is one row per distinct score, not per row.
+    Running sums go within ranges of scores, offset by the ranges before.
     """
     g = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    lower = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0))).withColumn("pos_below", F.coalesce(F.sum("pos").over(lower), F.lit(0)))
+    g = g.withColumn("__b", _range_of(df, score, bins))
+    lower = Window.partitionBy("__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumns({f"__{k}": F.coalesce(F.sum(k).over(lower), F.lit(0)) for k in ("neg", "pos")})
+    g = _with_offsets(g, {"__on": F.sum("neg"), "__op": F.sum("pos")})
+    return g.select(score, "pos", "neg", (F.col("__neg") + F.col("__on")).alias("neg_below"), (F.col("__pos") + F.col("__op")).alias("pos_below"))
 
 
 def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
