@@ -57,6 +57,8 @@ def test_counts_as_of_equals_the_range_join(spark):
     j = one.join(many, (F.col("k") == F.col("f")) & (F.col("m") <= F.col("t")), "left").groupBy("i", "k", "t")
     want = j.agg(F.count("m").alias("n"), *[F.count_if(F.col("m") > F.col("t") - F.expr(f"INTERVAL {d} DAY")).alias(f"n__{d}d") for d in (7, 30)])
     assert rows(got) == rows(want.select(got.columns))
+    hot = counts.counts_as_of_hot(one, "k", F.col("t"), many, "f", F.col("m"), "n", (7, 30), bucket_days=4)
+    assert rows(hot) == rows(want.select(hot.columns))
 
 
 def test_pairs_admit_missing_times(spark):

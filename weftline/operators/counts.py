@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.catalog import Database, Edge
+from weftline.session import materialize
 
 DAY = 86_400_000_000
 
@@ -51,6 +52,31 @@ def counts_as_of(one: DataFrame, one_key: str, one_time: Column, many: DataFrame
     return out.where(F.col("__row").isNotNull()).select("__row.*", *sums)
 
 
+def counts_as_of_hot(one: DataFrame, one_key: str, one_time: Column, many: DataFrame, many_key: str, many_time: Column, name: str, days: tuple[int, ...] = (), bucket_days: int = 30) -> DataFrame:
+    """The same as ``counts_as_of`` where single keys hold a large share of the rows.
+
+    A count within days is the difference of two running counts, so each row
+    probes its time and the windows' starts. Running counts go within (key,
+    bucket of time), which splits a key over tasks, and are offset by the
+    totals of the key's earlier buckets, one small row each.
+    """
+    rows = materialize(one.withColumn("__id", F.monotonically_increasing_id()), "hot")
+    t = _micros(one_time)
+    probes = rows.select("__id", F.col(one_key).alias("__k"), F.posexplode(F.array(t, *[t - d * DAY for d in days])).alias("__i", "__t")).withColumn("__n", F.lit(0))
+    hits = many.select(F.lit(None).cast("long").alias("__id"), F.col(many_key).alias("__k"), F.lit(None).cast("int").alias("__i"), _micros(many_time).alias("__t"), F.lit(1).alias("__n"))
+    every = probes.union(hits).where(F.col("__k").isNotNull() & F.col("__t").isNotNull()).withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_days * DAY)))
+    within = F.sum("__n").over(Window.partitionBy("__k", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0))
+    totals = every.groupBy(F.col("__k").alias("__tk"), F.col("__b").alias("__tb")).agg(F.sum("__n").alias("__s"))
+    before = Window.partitionBy("__tk").orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__tk", "__tb", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    at = every.withColumn("__c", within).where(F.col("__id").isNotNull()).join(totals, (F.col("__k") == F.col("__tk")) & (F.col("__b") == F.col("__tb")))
+    run = lambda i: F.sum(F.when(F.col("__i") == i, F.col("__c") + F.col("__o")))
+    sums = {name: run(0)} | {f"{name}__{d}d": run(0) - run(i) for i, d in enumerate(days, 1)}
+    found = at.groupBy(F.col("__id").alias("__r")).agg(*[c.alias(k) for k, c in sums.items()])
+    out = rows.join(found, F.col("__id") == F.col("__r"), "left").drop("__id", "__r")
+    return out.withColumns({k: F.coalesce(F.col(k), F.lit(0)).cast("long") for k in sums})
+
+
 def add_count_features(db: Database, edges: tuple[Edge, ...] | None = None) -> Database:
     """Every relation with counts of the rows that refer to it, one column per edge, from the relations as they were."""
     out = dict(db.tables)

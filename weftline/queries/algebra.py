@@ -239,6 +239,11 @@ def count_asof_windowed(t):
     return C.counts_as_of(task_rows(t).select("c_custkey", "cutoff", "label"), "c_custkey", F.col("cutoff"), orders_nulls(t), "o_custkey", F.col("o_orderdate"), "n", (30, 90))
 
 
+@query(f"WITH {TASK_SQL}, {NULLS_SQL} SELECT c_custkey, cutoff, count(o_orderdate) AS n, {_asof((30, 90))} FROM task LEFT JOIN orders_nulls ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY c_custkey, cutoff")
+def count_asof_hot_keys(t):
+    return C.counts_as_of_hot(task_rows(t).select("c_custkey", "cutoff"), "c_custkey", F.col("cutoff"), orders_nulls(t), "o_custkey", F.col("o_orderdate"), "n", (30, 90))
+
+
 @query("""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), u AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
 SELECT 'customer' AS t, c_custkey AS k, coalesce(n, 0) AS a, CAST(0 AS BIGINT) AS b FROM customer LEFT JOIN c ON k = c_custkey UNION ALL
 SELECT 'nation', n_nationkey, coalesce(s.n, 0), coalesce(u.n, 0) FROM nation LEFT JOIN s ON s.k = n_nationkey LEFT JOIN u ON u.k = n_nationkey""")
