@@ -24,6 +24,8 @@ from weftline.session import materialize
 SHARE, LEAST_DOCS = 0.05, 20
 #: What must be left of a document: words, and percent of its words.
 LEAST_WORDS, LEAST_PERCENT = 20, 40
+#: Parts that a host's documents are dealt to where they meet its common lines.
+SALTS = 16
 #: Words of a window whose repetition counts.
 WINDOW = 8
 
@@ -107,7 +109,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base measures, base_failed, words_removed, kept."""
     measured = materialize(base_measures(docs), "lines")
     gone = F.aggregate("__hashed", F.lit(0), lambda a, x: a + F.when(F.array_contains("__common", x["h"]), x["n"]).otherwise(0))
-    df = measured.join(common_lines(measured), "__host", "left")
+    salted = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+    common = common_lines(measured).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    df = salted.join(common, ["__host", "__salt"], "left")
     df = df.withColumn("words_removed", F.when(F.col("__common").isNull(), 0).otherwise(gone).cast("long"))
     left = F.col("n_words") - F.col("words_removed")
     kept = ~F.col("base_failed") & (left >= LEAST_WORDS) & (100 * left >= LEAST_PERCENT * F.col("n_words"))
