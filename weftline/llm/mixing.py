@@ -204,21 +204,23 @@ def rate_column(steps: list[np.ndarray]):
     return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
 
 
-def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float], most: int) -> DataFrame:
-    rows = materialize(with_posteriors(docs, train(train_docs, labels, most), tuple(targets)), "mix")
-    rate = rate_column(fit_rates(rows.select("__mix.n", "__mix.p"), targets))
+def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float], most: int, keep: list[str]) -> DataFrame:
+    """``keep`` of ``docs`` with ``__mix``, ``__rate`` and ``__copies``; what is written between passes is no more than that."""
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("__rate", rate).withColumn("__copies", F.floor(F.col("__rate") + draw).cast("int"))
+    soft = with_posteriors(docs, train(train_docs, labels, most), tuple(targets)).withColumn("__draw", draw)
+    rows = materialize(soft.select(*keep, "__mix", "__draw"), "mix")
+    rate = rate_column(fit_rates(rows.select("__mix.n", "__mix.p"), targets))
+    return rows.withColumn("__rate", rate).withColumn("__copies", F.floor(F.col("__rate") + F.col("__draw")).cast("int"))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS) -> DataFrame:
     """One row per document: doc_id, n_tokens, domains (posterior by name), rate, copies."""
-    rows = _rated(docs.select("doc_id", "text"), labels, docs, targets, most)
+    rows = _rated(docs.select("doc_id", "text"), labels, docs, targets, most, ["doc_id"])
     names = F.array(*[F.lit(d) for d in targets])
     return rows.select("doc_id", F.col("__mix.n").alias("n_tokens"), F.map_from_arrays(names, "__mix.p").alias("domains"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
-    rows = _rated(docs, labels, train_docs, targets, most)
+    rows = _rated(docs, labels, train_docs, targets, most, docs.columns)
     return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
