@@ -70,18 +70,22 @@ def inference_dag(t):
     return t.spark.createDataFrame(rows, "source string, target string")
 
 
-def _small(t) -> Database:
-    """customer <- orders with row numbers, and a task on some customers."""
-    task = Rel("task", numbered(task_rows(t).where("split = 'test' AND c_custkey % 20 = 0").select(F.col("c_custkey").alias("t_cust"), "cutoff"), ["t_cust"], "__row"), (), ("cutoff",))
+def _tasked(t, rows) -> Database:
+    """customer <- orders with row numbers, and a task on the customers and cutoffs of ``rows``."""
+    task = Rel("task", numbered(rows.select(F.col("c_custkey").alias("t_cust"), "cutoff"), ["t_cust", "cutoff"], "__row"), (), ("cutoff",))
     customer = Rel("customer", t.customer.withColumn("__row", F.col("c_custkey")), ("c_custkey",))
     orders = Rel("orders", t.orders.withColumn("__row", F.col("o_orderkey")), ("o_orderkey",), ("o_orderdate",))
     edges = (Edge("task", "t_cust", "customer", "c_custkey"), Edge("orders", "o_custkey", "customer", "c_custkey"))
     return Database({"task": task, "customer": customer, "orders": orders}, edges)
 
 
-@query("SELECT 'customer' AS t, count(*) AS n FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey % 20 = 0 UNION ALL SELECT 'task', count(*) FROM customer WHERE c_custkey % 20 = 0")
-def relevance(t):
-    db = _small(t)
+def _small(t) -> Database:
+    """The task on some customers at one cutoff, as the SQL of two queries has it."""
+    return _tasked(t, task_rows(t).where("split = 'test' AND c_custkey % 20 = 0"))
+
+
+def _relevant(db: Database):
+    """How many rows of each table the task reaches."""
     found = inference.relevance(db, "task", db.tables["task"].df)
     out = None
     for name, rows in found.items():
@@ -90,13 +94,34 @@ def relevance(t):
     return out
 
 
+@query("SELECT 'customer' AS t, count(*) AS n FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey % 20 = 0 UNION ALL SELECT 'task', count(*) FROM customer WHERE c_custkey % 20 = 0")
+def relevance(t):
+    return _relevant(_small(t))
+
+
+@query(f"WITH {TASK_SQL} SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders SEMI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'task', count(*) FROM task")
+def relevance_whole(t):
+    return _relevant(_tasked(t, task_rows(t)))
+
+
+def _propagated(db: Database):
+    """The task's rows with what one sweep makes of zeros, balances and prices."""
+    task, customer, orders = (db.tables[n].df for n in ("task", "customer", "orders"))
+    features = {"task": task.select("__row", F.array(F.lit(0.0)).alias("emb")), "customer": customer.select("__row", F.array("c_acctbal").alias("emb")), "orders": orders.select("__row", F.array("o_totalprice").alias("emb"))}
+    out = inference.propagate(db, "task", features, "mean")
+    return task.join(out, "__row").select("t_cust", "cutoff", (F.round(F.get("emb", F.lit(0)), 8) + F.lit(0.0)).alias("x"))
+
+
 @query("""WITH o AS (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_custkey, CASE WHEN m IS NULL THEN c_acctbal ELSE (c_acctbal + m) / 2 END AS x FROM customer LEFT JOIN o ON k = c_custkey)
 SELECT c_custkey AS t_cust, round((0 + x) / 2, 8) + 0 AS x FROM c WHERE c_custkey % 20 = 0""")
 def propagate_embeddings(t):
-    db = _small(t)
-    features = {"task": db.tables["task"].df.select("__row", F.array(F.lit(0.0)).alias("emb")), "customer": db.tables["customer"].df.select("__row", F.array("c_acctbal").alias("emb")), "orders": db.tables["orders"].df.select("__row", F.array("o_totalprice").alias("emb"))}
-    out = inference.propagate(db, "task", features, "mean")
-    return db.tables["task"].df.join(out, "__row").select("t_cust", (F.round(F.get("emb", F.lit(0)), 8) + F.lit(0.0)).alias("x"))
+    return _propagated(_small(t)).select("t_cust", "x")
+
+
+@query(f"""WITH {TASK_SQL}, o AS (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_custkey, CASE WHEN m IS NULL THEN c_acctbal ELSE (c_acctbal + m) / 2 END AS x FROM customer LEFT JOIN o ON k = c_custkey)
+SELECT c_custkey AS t_cust, cutoff, round((0 + x) / 2, 8) + 0 AS x FROM task JOIN c USING (c_custkey)""")
+def propagate_embeddings_whole(t):
+    return _propagated(_tasked(t, task_rows(t)))
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY 1)
