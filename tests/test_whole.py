@@ -22,3 +22,10 @@ def test_relevance_and_propagation_take_every_task_row(spark):
     assert got["customer"] == n and got["task"] == len(CUTOFFS) * n
     out = QUERIES["propagate_embeddings_whole"](spark, SF)
     assert out.select("t_cust", "cutoff").distinct().count() == out.count() == len(CUTOFFS) * n
+
+
+def test_junction_takes_every_order(spark):
+    orders = rows_of(spark, "orders")
+    got = QUERIES["rewrite_junction_whole"](spark, SF)
+    assert got.where("side = 'a'").select("key").distinct().count() == orders.select("o_orderkey").distinct().count()
+    assert got.where("side = 'b'").count() == orders.count()

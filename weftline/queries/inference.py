@@ -32,10 +32,10 @@ def rewrite_pull_fk(t):
     return db.tables["orders"].df.select("orders__o_orderkey", "customer__c_custkey", "nation__n_name", "region__r_name")
 
 
-def _junction(t) -> Database:
-    """Links between a customer's orders and its nation's suppliers, both of which keep references of their own."""
+def _junction(t, orders) -> Database:
+    """Links of ``orders`` and suppliers, both of which keep references of their own."""
     db = files.load_database(t.spark, t.folder, {k: SPEC[k] for k in ("orders", "customer", "nation", "supplier", "region")})
-    link = t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("k_order"), (F.col("o_orderkey") % 50 + 1).alias("k_supp"))
+    link = orders.select(F.col("o_orderkey").alias("k_order"), (F.col("o_orderkey") % 50 + 1).alias("k_supp"))
     task = Rel("task", t.nation.select(F.col("n_nationkey").alias("t_nation")))
     return rewrite.normalize(db.replace(Rel("link", link), task, edges=(*db.edges, Edge("link", "k_order", "orders", "o_orderkey"), Edge("link", "k_supp", "supplier", "s_suppkey"), Edge("task", "t_nation", "nation", "n_nationkey"))))
 
@@ -43,7 +43,18 @@ def _junction(t) -> Database:
 @query("""WITH link AS (SELECT o_orderkey AS k_order, o_orderkey % 50 + 1 AS k_supp FROM orders WHERE o_orderkey % 7 = 0)
 SELECT 'a' AS side, k_order AS key, s_name AS other FROM link LEFT JOIN supplier ON s_suppkey = k_supp UNION ALL SELECT 'b', k_supp, o_orderpriority FROM link LEFT JOIN orders ON o_orderkey = k_order""")
 def rewrite_junction(t):
-    db = rewrite.eliminate_junctions(_junction(t), "task")
+    return _linked(_junction(t, t.orders.where("o_orderkey % 7 = 0")))
+
+
+@query("""WITH link AS (SELECT o_orderkey AS k_order, o_orderkey % 50 + 1 AS k_supp FROM orders)
+SELECT 'a' AS side, k_order AS key, s_name AS other FROM link LEFT JOIN supplier ON s_suppkey = k_supp UNION ALL SELECT 'b', k_supp, o_orderpriority FROM link LEFT JOIN orders ON o_orderkey = k_order""")
+def rewrite_junction_whole(t):
+    return _linked(_junction(t, t.orders))
+
+
+def _linked(db: Database):
+    """Each link from either side, once the junction is gone."""
+    db = rewrite.eliminate_junctions(db, "task")
     a, b = db.tables["link#1"].df, db.tables["link#2"].df
     left = a.select(F.lit("a").alias("side"), F.col("link#1__k_order").alias("key"), F.col("link#1__supplier__s_name").alias("other"))
     return left.unionByName(b.select(F.lit("b").alias("side"), F.col("link#2__k_supp").alias("key"), F.col("link#2__orders__o_orderpriority").alias("other")))
