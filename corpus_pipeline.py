@@ -45,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Placed parts of documents: bin_id, slot, doc_id, part, n_tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cluster=packing.text_cluster(F.col("text")))  # near copies are gone, repeats of a row are not
 
 
 STAGES = [("language ID", language_id), ("toxicity", toxic), ("SimHash near-dedup", near_dedup), ("mixing to target weights", mixture), ("best-fit packing", pack)]

@@ -11,6 +11,9 @@ its rest is packed as a document. Documents are dealt to shards by a hash of
 their id and text, a number of shards in proportion to the rows, and every
 shard is packed by itself; so memory is bounded and no bin spans two tasks.
 
+Clusters are the components of near copies: texts whose SimHash fingerprints
+link, as in ``simhash``, or that differ in case and spacing only.
+
 Defined results: a null or wordless text has length 0 and is packed with that;
 a null source or cluster conflicts with nothing; rows that repeat are packed
 each, and conflict as one cluster; an empty table gives an empty one; other
@@ -26,6 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm import simhash
+from weftline.session import materialize
+
 #: Tokens in a bin.
 CAPACITY = 2048
 #: Rows of a shard, on average.
@@ -101,16 +107,26 @@ def text_cluster(text: Column) -> Column:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """One row per part of a document: bin_id, slot in the bin, doc_id, part, n_tokens."""
+    """One row per part of a document: bin_id, slot in the bin, doc_id, part, n_tokens.
+
+    ``cluster`` takes the place of the components of near copies.
+    """
     length = word_count(F.col("text")) if length is None else length
-    cluster = text_cluster(F.col("text")) if cluster is None else cluster
-    cluster = F.when(F.col("text").isNotNull(), cluster)
-    shards = max(1, -(-docs.count() // shard_rows))
-    tie = F.xxhash64("text", "source")
+    near = cluster is None
+    cluster = text_cluster(F.col("text")) if near else cluster
     items = docs.select(
-        F.pmod(F.xxhash64("doc_id", tie, F.lit(8)), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"),
-        length.alias("n"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), tie.alias("tie"),
+        F.col("doc_id").cast("long").alias("doc_id"), length.alias("n"), F.col("source").cast("string").alias("source"),
+        F.when(F.col("text").isNotNull(), cluster).alias("cluster"), F.xxhash64("text", "source").alias("tie"),
+        *([simhash.fingerprint(F.col("text")).alias("fp")] if near else []),
     )
+    if near:
+        items = materialize(items, "items")
+    shards = max(1, -(-(items if near else docs).count() // shard_rows))
+    if near:
+        roots = simhash.clusters(items.where("cluster IS NOT NULL").select(F.col("cluster").alias("t"), "fp"))
+        items = items.join(roots, "fp", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
+    shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(8)), F.lit(shards)).alias("shard")
+    items = items.select(shard, "doc_id", "n", "source", "cluster", "tie")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(pdf, capacity)

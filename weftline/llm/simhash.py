@@ -197,6 +197,18 @@ def near_duplicates(docs: DataFrame, most_together: int = MOST_TOGETHER) -> Data
     )
 
 
+def clusters(prints: DataFrame) -> DataFrame:
+    """(fp, root) for the fingerprints of ``prints`` (t, fp) that are linked to others, root naming the component.
+
+    Fingerprints link within DISTANCE bits, and where rows share their ``t``.
+    """
+    pairs = materialize(prints.select("t", "fp").distinct(), "pairs")
+    least = pairs.groupBy("t").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("t", "a")
+    same = pairs.join(least, "t").where("fp != a").select("a", F.col("fp").alias("b"))
+    found = link(pairs.select("fp").distinct()).union(same)
+    return connected_components(found).select(F.col("node").alias("fp"), "root")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with its smallest id.
 
