@@ -1,9 +1,10 @@
 """Corpus operators where they did less than their whole job."""
 
+import duckdb
 from tests.llm.conftest import make_docs, prose
 from pyspark.sql import functions as F
 
-from weftline.llm import packing, simhash
+from weftline.llm import packing, rules, simhash
 
 
 def test_near_copies_share_no_bin(spark):
@@ -30,3 +31,17 @@ def test_copies_in_other_case_share_no_bin(spark):
     docs = make_docs(spark, [(1, text, "de", "a"), (2, text.lower(), "de", "b"), (3, text.upper(), "de", "c"), (4, None, "de", "d"), (5, None, "de", "e")])
     got = {x.doc_id: x.bin_id for x in packing.pack(docs).collect()}
     assert len({got[1], got[2], got[3]}) == 3 and got[4] == got[5]
+
+
+def test_lines_of_a_large_host_by_number_alone(spark):
+    rows = [(i, prose(i, 25) + ("\na line that some documents share" if i < 30 else ""), "en", "h") for i in range(900)]
+    rows += [(i, prose(i, 25) + "\na line that some documents share", "en", "k") for i in range(900, 920)]
+    docs = make_docs(spark, rows + rows[:3])
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text", "source").toArrow()  # noqa: F841
+    for share, want in ((rules.SHARE, 0), (0, 33)):
+        got = rules.judge(docs, share)
+        ran = c.execute(rules.ORACLE.replace(f"{rules.SHARE} * docs", f"{share} * docs"))
+        names = [d[0] for d in ran.description]
+        assert sorted(map(str, ran.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.collect())
+        assert got.where("words_removed = 6").count() == want

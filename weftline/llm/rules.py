@@ -4,7 +4,8 @@ Base measures come from a text's words and lines. Then the normalised lines of
 all documents are counted by host (``source``): in how many of the host's
 documents each occurs. Lines of more documents than the limit, the larger of
 ``LEAST_DOCS`` and ``SHARE`` of the host's documents, are removed, and a
-document that keeps too few of its words is rejected.
+document that keeps too few of its words is rejected. With a share of 0 the
+limit is ``LEAST_DOCS`` however many documents the host has.
 
 Defined results: a null text has no words and fails the base rules; documents
 without a source form one host with those whose source is empty; repeated rows
@@ -24,7 +25,7 @@ from weftline.session import materialize
 SHARE, LEAST_DOCS = 0.05, 20
 #: What must be left of a document: words, and percent of its words.
 LEAST_WORDS, LEAST_PERCENT = 20, 40
-#: Parts that a host's documents are dealt to where they meet its common lines.
+#: Parts that a line's documents are dealt to where they meet the common lines.
 SALTS = 16
 #: Words of a window whose repetition counts.
 WINDOW = 8
@@ -92,27 +93,21 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def common_lines(measured: DataFrame) -> DataFrame:
-    """(__host, __common): the hashes of each host's common lines.
-
-    At most (lines per document) / SHARE hashes a host, so the arrays are
-    small however many documents the host has.
-    """
+def common_lines(measured: DataFrame, share: float = SHARE) -> DataFrame:
+    """(__host, h): the hashes of each host's common lines, a row each."""
     docs = measured.groupBy("__host").agg(F.count("*").alias("__docs"))
     lines = measured.select("__host", F.explode(F.array_distinct(F.transform("__hashed", lambda x: x["h"]))).alias("h"))
     counts = lines.groupBy("__host", "h").agg(F.count("*").alias("__n")).where(F.col("__n") > LEAST_DOCS)
-    over = counts.join(docs, "__host").where(F.col("__n") > SHARE * F.col("__docs"))
-    return over.groupBy("__host").agg(F.collect_list("h").alias("__common"))
+    return counts.join(docs, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("__host", "h")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, the base measures, base_failed, words_removed, kept."""
-    measured = materialize(base_measures(docs), "lines")
-    gone = F.aggregate("__hashed", F.lit(0), lambda a, x: a + F.when(F.array_contains("__common", x["h"]), x["n"]).otherwise(0))
-    salted = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
-    common = common_lines(measured).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    df = salted.join(common, ["__host", "__salt"], "left")
-    df = df.withColumn("words_removed", F.when(F.col("__common").isNull(), 0).otherwise(gone).cast("long"))
+    measured = materialize(base_measures(docs).withColumn("__row", F.monotonically_increasing_id()), "lines")
+    lines = measured.select("__row", "__host", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("__salt"), F.explode("__hashed").alias("x")).select("__row", "__host", "__salt", "x.h", "x.n")
+    common = common_lines(measured, share).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    gone = lines.join(common, ["__host", "h", "__salt"]).groupBy("__row").agg(F.sum("n").alias("__gone"))
+    df = measured.drop("__hashed", "__host").join(gone, "__row", "left").withColumn("words_removed", F.coalesce("__gone", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("words_removed")
     kept = ~F.col("base_failed") & (left >= LEAST_WORDS) & (100 * left >= LEAST_PERCENT * F.col("n_words"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "words_removed")
