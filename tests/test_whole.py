@@ -29,3 +29,9 @@ def test_junction_takes_every_order(spark):
     got = QUERIES["rewrite_junction_whole"](spark, SF)
     assert got.where("side = 'a'").select("key").distinct().count() == orders.select("o_orderkey").distinct().count()
     assert got.where("side = 'b'").count() == orders.count()
+
+
+def test_prose_profile_looks_beyond_500_texts(spark, tmp_path):
+    rows = [(i, f"text number {i} of many") for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["prose_profile_whole"](spark, str(tmp_path)).first().n_unique == 700

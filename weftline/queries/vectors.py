@@ -41,6 +41,12 @@ def prose_profile(t):
     return rounded(scalar.prose_profile(t.documents, "text", 500, "doc_id"))
 
 
+@query("""WITH s AS (SELECT DISTINCT text FROM (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 10000))
+SELECT count(*) AS n_unique, round(avg(len(regexp_extract_all(text, '\\s+')) + 1), 6) AS mean_words, count(*) >= 20 AND avg(len(regexp_extract_all(text, '\\s+')) + 1) >= 4 AS is_prose FROM s""")
+def prose_profile_whole(t):
+    return rounded(scalar.prose_profile(t.documents, "text", order="doc_id"))
+
+
 @query()
 def text_embed(t):
     return models.embed_text(t.part.select("p_partkey", "p_name"), "p_name", 16).drop("p_name")
