@@ -19,19 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place if all run on this machine, as in tests;
+    on a cluster there is no such folder to fall back on.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
+    if held.isEmpty():
+        context.setCheckpointDir(found)
+        return found if spark.conf.get("spark.checkpoint.dir", None) else context._jsc.sc().getCheckpointDir().get()
     return found
 
 
@@ -50,15 +51,30 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Removes what ``materialize`` wrote for these, once nothing that is yet to run reads it."""
+    for df in dfs:
+        path = df.__dict__.pop("_weftline_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already
             return
