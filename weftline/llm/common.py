@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -41,6 +43,40 @@ def text_udf(work: Callable[[], Callable[[list], pa.Array]], kind: str) -> Calla
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, with marks after it until no column of ``taken`` has it."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` as they are, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+#: A key of more rows than this, and than a ten-thousandth of all, is looked up by broadcast.
+LEAST_HOT, MOST_HOT = 64, 10_000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, null where it has none; one row a key in ``facts``, any number in ``rows``.
+
+    A key that holds over 1 / MOST_HOT of the rows would land in one task, so
+    the facts of those keys are broadcast: there can be MOST_HOT of them at
+    most, whatever the data. The rest, which no key dominates, is shuffled.
+    ``rows`` are read more than once and should be written.
+    """
+    n = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LEAST_HOT, n // MOST_HOT)).select(key)
+    hot_facts = materialize(facts.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True)), "hot")
+    names = [c for c in facts.columns if c != key]
+    marked = rows.join(F.broadcast(hot_facts), key, "left")
+    cold = marked.where("__hot IS NULL").select(*rows.columns).join(facts, key, "left")
+    return cold.select(*rows.columns, *names).unionByName(marked.where("__hot").select(*rows.columns, *names))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
     """At most ``most`` rows (doc_id, text, label) to learn from.
 
@@ -56,4 +92,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "label")
+
+
+def one_text_each(sample: DataFrame, *also: str) -> DataFrame:
+    """One row per id of a sample (doc_id, text, and columns that follow from the id): the text with the smallest hash."""
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("__first")
+    return sample.groupBy("doc_id", *also).agg(text).select("doc_id", F.col("__first.t").alias("text"), *also)

@@ -23,21 +23,21 @@ columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import simhash
+from weftline.llm.common import look_up
 from weftline.session import materialize
 
-#: Tokens in a bin.
+#: Words, or what else lengths count, in a bin.
 CAPACITY = 2048
 #: Rows of a shard, on average.
 SHARD_ROWS = 8192
 
-SCHEMA = "bin_id bigint, slot int, doc_id bigint, part int, n_tokens bigint"
+PLACED = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n", pa.int64())])
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
@@ -74,26 +74,31 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int
     return out
 
 
-def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """One shard's rows (shard, doc_id, n, source, cluster, tie) as placed parts."""
+def least_bins(placed: DataFrame, name: str, capacity: int = CAPACITY) -> tuple[int, int]:
+    """Bins that ``placed`` takes, and those that its length would fill if nothing conflicted."""
+    bins, total = placed.agg(F.count_distinct("bin_id"), F.coalesce(F.sum(name), F.lit(0))).first()
+    return bins, -(-total // capacity)
+
+
+def pack_shard(rows: pa.Table, capacity: int) -> pa.Table:
+    """One shard's rows (shard, doc_id, n, source, cluster, tie) as placed parts; ids stay the longs they are."""
     parts = []
-    for shard, doc, n, source, cluster, tie in pdf[["shard", "doc_id", "n", "source", "cluster", "tie"]].itertuples(index=False):
-        n, source, cluster = int(n), None if pd.isna(source) else source, None if pd.isna(cluster) else int(cluster)
+    columns = [rows.column(c).to_pylist() for c in ("doc_id", "n", "source", "cluster", "tie")]
+    for doc, n, source, cluster, tie in zip(*columns):
         full, rest = divmod(n, capacity)
-        doc = None if pd.isna(doc) else int(doc)
         parts += [(capacity, doc, i, source, cluster, tie) for i in range(full)]
         if rest or not full:
             parts.append((rest, doc, full, source, cluster, tie))
     parts.sort(key=lambda p: (-p[0], p[1] is None, p[1] or 0, p[5], p[2]))
     bins = best_fit([(p[0], p[3], p[4]) for p in parts], capacity)
     seen: dict[int, int] = {}
-    rows = []
-    base = int(pdf["shard"].iloc[0]) << 32
-    for p, b in zip(parts, bins):
-        slot = seen[b] = seen.get(b, -1) + 1
-        rows.append((base + b, slot, p[1], p[2], p[0]))
-    out = pd.DataFrame(rows, columns=["bin_id", "slot", "doc_id", "part", "n_tokens"])
-    return out.astype({"doc_id": "Int64"})
+    base = rows.column("shard")[0].as_py() << 32
+    slots = []
+    for b in bins:
+        seen[b] = seen.get(b, -1) + 1
+        slots.append(seen[b])
+    made = [[base + b for b in bins], slots, [p[1] for p in parts], [p[2] for p in parts], [p[0] for p in parts]]
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(made, PLACED)], schema=PLACED)
 
 
 def word_count(text: Column) -> Column:
@@ -106,9 +111,10 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """One row per part of a document: bin_id, slot in the bin, doc_id, part, n_tokens.
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, length: Column | None = None, cluster: Column | None = None, name: str = "n_words") -> DataFrame:
+    """One row per part of a document: bin_id, slot in the bin, doc_id, part, and its length as ``name``.
 
+    Lengths are words unless ``length`` gives them, as ``tokens.length`` does.
     ``cluster`` takes the place of the components of near copies.
     """
     length = word_count(F.col("text")) if length is None else length
@@ -124,11 +130,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     shards = max(1, -(-(items if near else docs).count() // shard_rows))
     if near:
         roots = simhash.clusters(items.where("cluster IS NOT NULL").select(F.col("cluster").alias("t"), "fp"))
-        items = items.join(roots, "fp", "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
+        items = look_up(items, materialize(roots, "roots"), "fp").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
     shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(8)), F.lit(shards)).alias("shard")
     items = items.select(shard, "doc_id", "n", "source", "cluster", "tie")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack_shard(pdf, capacity)
+    def run(rows: pa.Table) -> pa.Table:
+        return pack_shard(rows, capacity)
 
-    return items.groupBy("shard").applyInPandas(run, SCHEMA)
+    return items.groupBy("shard").applyInArrow(run, "bin_id bigint, slot int, doc_id bigint, part int, n bigint").withColumnRenamed("n", name)

@@ -21,7 +21,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import TOKENIZERS, text_udf
@@ -29,8 +29,8 @@ from weftline.llm.common import TOKENIZERS, text_udf
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: What an unknown letter scores below the worst piece.
 PENALTY = 10.0
-#: Words whose counts a task keeps; beyond, it starts anew.
-CACHE = 400_000
+#: Words, and their letters, whose counts a task keeps; beyond, it starts anew.
+CACHE, CACHE_LETTERS = 400_000, 16_000_000
 AT_ONCE = 512
 SPACE = "▁"
 NEVER = float("-inf")
@@ -39,11 +39,11 @@ STOP, LONG = "\x00", 120
 
 
 def load(path: str = VOCABULARY) -> dict[str, float]:
-    """Pieces and scores of a vocabulary file, its control pieces left out."""
+    """Pieces and scores of a vocabulary file, its control and byte pieces left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return {model.id_to_piece(i): float(model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))}
+    return {model.id_to_piece(i): float(model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
 
 
 def words_of(text: str) -> list[str]:
@@ -146,17 +146,21 @@ def counter(scores: dict[str, float], cache: int = CACHE, at_once: int = AT_ONCE
     def work():
         count = Counter(scores).count_all
         known: dict[str, int] = {}
+        letters = 0
 
         def each(texts: list) -> pa.Array:
+            nonlocal letters
             out: list[int] = []
             for i in range(0, len(texts), at_once):
                 lists = [words_of(t or "") for t in texts[i : i + at_once]]
-                if len(known) > cache:
+                if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
+                    letters = 0
                 every = list(chain.from_iterable(lists))
                 n = list(map(known.get, every))
                 if None in n:
                     new = list({w for w, x in zip(every, n) if x is None})
+                    letters += sum(map(len, new))
                     for j in range(0, len(new), 8192):
                         known.update(zip(new[j : j + 8192], count(new[j : j + 8192])))
                     n = list(map(known.get, every))
@@ -169,6 +173,11 @@ def counter(scores: dict[str, float], cache: int = CACHE, at_once: int = AT_ONCE
     return work
 
 
+def length(path: str = VOCABULARY) -> Column:
+    """The tokens of the column ``text``."""
+    return text_udf(counter(load(path)), "bigint")(F.col("text"))
+
+
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, n_tokens."""
-    return docs.select("doc_id", text_udf(counter(load(path)), "bigint")(F.col("text")).alias("n_tokens"))
+    return docs.select("doc_id", length(path).alias("n_tokens"))
