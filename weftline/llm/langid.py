@@ -8,8 +8,10 @@ log-likelihood is the sum over its words.
 Defined results: a null text or one without letters is ``und`` with score 0;
 with no labelled rows every text is; ties go to the first language in
 alphabetical order; repeated rows get equal results; an empty table gives an
-empty one; other columns are ignored. Words are runs of letters, lower-cased.
-A run of more than ``WORD`` letters is scored in consecutive stretches.
+empty one; other columns are ignored; of documents that share an id, the text
+with the smallest hash is learnt from. Words are runs of letters, lower-cased,
+of any length: runs beyond ``SHORT`` letters, as in scripts without spaces, go
+through the same sums in logarithms, position by position.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from weftline.llm.common import TOKENIZERS, fold, held_out, text_udf
 
 #: Documents to learn from, at most; those with the smallest id hashes.
 TRAIN_DOCS = 1000
-#: Letters scored at a time.
-WORD = 24
+#: Letters up to which a word's sums stay within doubles: each letter counts 1e-9 at least.
+SHORT = 28
 #: Rounds of expectation maximisation.
 ROUNDS = 2
 #: Probability of a letter that is no piece.
 UNKNOWN = 1e-9
-#: Words whose scores a task keeps; beyond, it starts anew.
-CACHE = 300_000
+#: Words, and their letters, whose scores a task keeps; beyond, it starts anew.
+CACHE, CACHE_LETTERS = 300_000, 16_000_000
 #: Documents whose words are looked up together.
 AT_ONCE = 512
 
@@ -61,10 +63,8 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 def words_in(token: str) -> list[str]:
-    """A token's runs of letters, long runs cut into stretches."""
-    if token.isalpha() and len(token) <= WORD:
-        return [token]
-    return [w[i : i + WORD] for w in LETTERS.findall(token) for i in range(0, len(w), WORD)]
+    """A token's runs of letters."""
+    return [token] if token.isalpha() else LETTERS.findall(token)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -109,6 +109,50 @@ class Lattice:
         return held
 
 
+class LongWord:
+    """The same sums for one word of any length, as logarithms by position and language."""
+
+    def __init__(self, automaton, lengths: np.ndarray, word: str):
+        word = "▁" + word
+        self.n = len(word)
+        got = np.fromiter(chain.from_iterable(automaton.iter(word)), np.int64).reshape(-1, 2)
+        self.end, self.piece = got[:, 0] + 1, got[:, 1]
+        self.start = self.end - lengths[self.piece]
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """Log sum over segmentations of what lies before each position."""
+        return self._sweep(p, self.end, self.start, range(1, self.n + 1), -1)
+
+    def backward(self, p: np.ndarray) -> np.ndarray:
+        """Log sum over segmentations of what lies after each position."""
+        return self._sweep(p, self.start, self.end, range(self.n - 1, -1, -1), 1)
+
+    def _sweep(self, p, to, from_, places, before) -> np.ndarray:
+        held = np.zeros((self.n + 1, p.shape[1]))
+        order = np.argsort(to, kind="stable")
+        from_, piece = from_[order], self.piece[order]
+        cuts = np.searchsorted(to[order], np.arange(self.n + 2)).tolist()
+        for i in places:
+            near = held[i + before]
+            a, b = cuts[i], cuts[i + 1]
+            ways = p[-1] if a == b else p[-1] + (np.exp(held[from_[a:b]] - near) * p[piece[a:b]]).sum(0)
+            held[i] = near + np.log(ways)
+        return held
+
+
+def word_logs(automaton, lengths: np.ndarray, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Log probabilities of words by language."""
+    out = np.empty((len(words), p.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+    if short:
+        lattice = Lattice(automaton, lengths, [words[i] for i in short])
+        out[short] = np.log(lattice.forward(p)[lattice.finish])
+    for i, w in enumerate(words):
+        if len(w) > SHORT:
+            out[i] = LongWord(automaton, lengths, w).forward(p)[-1]
+    return out
+
+
 def build_automaton(pieces: list[str]):
     found = ahocorasick.Automaton()
     for i, p in enumerate(pieces):
@@ -122,7 +166,10 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     langs = sorted(counts)
     automaton, lengths = build_automaton(pieces)
     words = sorted({w for c in counts.values() for w in c})
-    weight = np.array([[counts[k].get(w, 0) for k in langs] for w in words], float)
+    long, words = [w for w in words if len(w) > SHORT], [w for w in words if len(w) <= SHORT]
+    weigh = lambda ws: np.array([[counts[k].get(w, 0) for k in langs] for w in ws], float)
+    weight, long_weight = weigh(words), weigh(long)
+    long = [LongWord(automaton, lengths, w) for w in long]
     p = np.full((len(pieces) + 1, len(langs)), UNKNOWN)
     p[:-1] = 10.0 ** -(5.0 - 0.35 * lengths.clip(max=6))[:, None]
     for _ in range(rounds):
@@ -134,6 +181,9 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
             share = alpha[part.start] * p[part.piece] * beta[part.end] / whole[part.word] * weight[i : i + at_once][part.word]
             for k in range(len(langs)):
                 expected[:, k] += np.bincount(part.piece, share[:, k], len(p))
+        for w, n in zip(long, long_weight):
+            alpha, beta = w.forward(p), w.backward(p)
+            np.add.at(expected, w.piece, np.exp(alpha[w.start] + np.log(p[w.piece]) + beta[w.end] - alpha[-1]) * n)
         p = expected / expected[:-1].sum(0)
         p[-1] = UNKNOWN
     return langs, p
@@ -148,7 +198,9 @@ def training_counts(docs: DataFrame, most: int = TRAIN_DOCS) -> dict[str, dict[s
         .orderBy(F.xxhash64("i"), "i")
         .limit(most)
     )
-    found = docs.where(F.col("lang").isNotNull()).join(F.broadcast(ids), docs["doc_id"] == ids["i"], "left_semi").select("text", "lang")
+    found = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull()).join(F.broadcast(ids), docs["doc_id"] == ids["i"], "left_semi")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("one")
+    found = found.where(F.col("text").isNotNull()).groupBy("doc_id").agg(one).select("one.text", "one.lang")
 
     def count(batches):
         for b in batches:
@@ -170,6 +222,7 @@ def scorer(langs: list[str], p: np.ndarray, pieces: list[str], at_once: int = AT
     def work():
         automaton, lengths = build_automaton(pieces)
         known: dict[str, int] = {}
+        letters = 0
         table = np.zeros((1024, len(langs) + 1))
 
         def learn(tokens: list[str]) -> None:
@@ -183,8 +236,7 @@ def scorer(langs: list[str], p: np.ndarray, pieces: list[str], at_once: int = AT
                 rows = table[len(known) : len(known) + len(part)]
                 rows[:] = 0
                 if words:
-                    lattice = Lattice(automaton, lengths, words)
-                    logs = np.log(np.maximum(lattice.forward(p)[lattice.finish], 1e-300))
+                    logs = word_logs(automaton, lengths, words, p)
                     place = dict(zip(words, range(len(words))))
                     owner = np.repeat(np.arange(len(part)), list(map(len, lists)))
                     np.add.at(rows[:, :-1], owner, logs[[place[w] for x in lists for w in x]])
@@ -192,15 +244,19 @@ def scorer(langs: list[str], p: np.ndarray, pieces: list[str], at_once: int = AT
                 known.update(zip(part, range(len(known), len(known) + len(part))))
 
         def each(texts: list) -> pa.Array:
+            nonlocal letters
             lang, score = [], []
             for i in range(0, len(texts), at_once):
                 lists = [tokens_of(t) for t in texts[i : i + at_once]]
-                if len(known) > cache:
+                if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
+                    letters = 0
                 every = list(chain.from_iterable(lists))
                 at = list(map(known.get, every))
                 if None in at:
-                    learn(list({w for w, a in zip(every, at) if a is None}))
+                    new = list({w for w, a in zip(every, at) if a is None})
+                    letters += sum(map(len, new))
+                    learn(new)
                     at = list(map(known.get, every))
                 ends = np.cumsum([0, *map(len, lists)])
                 totals = np.zeros((len(lists), table.shape[1]))
@@ -222,11 +278,11 @@ def scorer(langs: list[str], p: np.ndarray, pieces: list[str], at_once: int = AT
     return work
 
 
-def predict(docs: DataFrame, train: DataFrame | None = None, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", most: int = TRAIN_DOCS) -> DataFrame:
-    """``docs`` with a struct ``__lang`` (lang, score), learnt from ``train`` (by default from ``docs``)."""
+def predict(docs: DataFrame, train: DataFrame | None = None, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", most: int = TRAIN_DOCS, name: str = "__lang") -> DataFrame:
+    """``docs`` with a struct ``name`` (lang, score), learnt from ``train`` (by default from ``docs``)."""
     pieces = vocabulary(path)
     langs, p = fit(training_counts(docs if train is None else train, most), pieces)
-    return docs.withColumn("__lang", text_udf(scorer(langs, p, pieces), "struct<lang: string, score: double>")(F.col("text")))
+    return docs.withColumn(name, text_udf(scorer(langs, p, pieces), "struct<lang: string, score: double>")(F.col("text")))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
