@@ -1,8 +1,8 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
 Vectors and queries are dealt to blocks by hashes of their ids, of bounded
-size on average; every query block meets every vector block once. In a block,
-each dimension has a list of vectors in order of their component. A query
+size on average; every query block meets every vector block once, and sorts
+its lists once for all the block's queries. In a block, each dimension has a list of vectors in order of their component. A query
 walks all lists from the end that its own component favours, scores what it
 meets, and stops when the sum of the components at its depth, the best any
 unmet vector could have, is below its kth score. The blocks' best are merged.
@@ -11,48 +11,64 @@ Defined results: vectors that are null, or hold null or non-finite components,
 and rows without an id take no part; ties go to the smaller id; rows with the
 query's id are its own and no candidates; other repeated rows are candidates
 each; a query row that repeats counts once; vectors of unequal length count as
-ending in zeros; scores beyond a long saturate; an empty table gives an empty
+ending in zeros; scores beyond a long saturate, and tie there; an empty table gives an empty
 one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-#: Vectors and queries of a block, on average.
-BLOCK_ROWS, QUERY_ROWS = 2048, 1024
+#: Components of a block of vectors or queries, on average: 8 MB, or 16,384 vectors of 64. A vector
+#: is sent to one task for each block of queries, a query to one for each block of vectors.
+BLOCK_COMPONENTS = 1 << 20
 #: Depth of the first round; each later one goes twice as deep.
 FIRST_DEPTH = 16
 
 SCHEMA = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
 
 
-def quantise(rows: list, width: int) -> np.ndarray:
-    """floor(SCALE * x) of each vector, zeros to ``width``."""
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return np.floor(SCALE * out)
+def padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows of doubles, zeros to ``width``."""
+    sizes = pc.list_value_length(column).to_numpy()
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = pc.list_flatten(column).to_numpy()
+    return out
+
+
+def quantise(x: np.ndarray, whole: bool = False) -> np.ndarray:
+    """floor(SCALE * x) as doubles, or as Python integers, which no component overflows."""
+    if not whole:
+        return np.floor(SCALE * x)
+    exact = [[int(v) * SCALE if abs(v) >= 2.0**52 else math.floor(v * SCALE) for v in r] for r in x.tolist()]
+    return np.array(exact, object).reshape(x.shape)
+
+
+def beyond_doubles(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether products of rows of ``x`` and ``q`` could leave the integers that doubles hold."""
+    a, b = (float(np.abs(y).max(initial=0)) for y in (x, q))
+    return max(a, b) >= 2.0**43 or (a * SCALE + 1) * (b * SCALE + 1) * max(1, x.shape[1]) >= 2.0**53
 
 
 class Lists:
-    """A block of vectors with its sorted list of each dimension."""
+    """A block of vectors with its sorted list of each dimension, built once for all queries of the block."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, biggest: float):
-        self.x, self.ids = x, ids
-        bound = np.abs(x).max(initial=0) * biggest * max(1, x.shape[1])
-        if bound >= 2.0**53:  # beyond exact doubles
-            self.x = np.array([[int(v) for v in r] for r in x], object).reshape(x.shape)
-        self.order = np.argsort(x, axis=0, kind="stable")
+    def __init__(self, x: np.ndarray, ids: np.ndarray, whole: bool):
+        self.x, self.ids = quantise(x, whole), ids
+        self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        #: Vectors that queries met, over all of them.
+        self.met = 0
 
     def top(self, q: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the k best for ``q``, rows of id ``own`` left out."""
-        q = q if self.x.dtype != object else np.array([int(v) for v in q], object)
         n = len(self.ids)
         dims = np.flatnonzero(q != 0)
         seen = self.ids == own
@@ -68,7 +84,11 @@ class Lists:
             met[self.order[n - depth : n - done][:, down].ravel()] = True
             new = np.flatnonzero(met & ~seen) if len(dims) else np.flatnonzero(~seen)
             seen[new] = True
-            scores, ids = np.concatenate([scores, self.x[new] @ q]), np.concatenate([ids, self.ids[new]])
+            self.met += len(new)
+            found = self.x[new] @ q
+            if found.dtype == object:
+                found = np.maximum(np.minimum(found, 2**63 - 1), -(2**63))
+            scores, ids = np.concatenate([scores, found]), np.concatenate([ids, self.ids[new]])
             best = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[best], ids[best]
             edge = (self.x[self.order[depth - 1, up], up] * q[up]).sum() + (self.x[self.order[n - depth, down], down] * q[down]).sum()
@@ -78,36 +98,40 @@ class Lists:
         return scores, ids
 
 
-def search_block(pdf: pd.DataFrame, k: int = K) -> pd.DataFrame:
-    """All queries of a pair of blocks against all its vectors; rows (is_query, vec_id, vec_key, v)."""
-    queries, vectors = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-    width = max(map(len, pdf["v"]), default=0)
-    q = quantise(queries["v"].tolist(), width)
-    lists = Lists(quantise(vectors["v"].tolist(), width), vectors["vec_id"].to_numpy(np.int64), np.abs(q).max(initial=0))
-    out = []
-    for own, key, row in zip(queries["vec_id"], queries["vec_key"], q):
-        scores, ids = lists.top(row, own, k)
-        out += [(own, key, int(i), max(-(2**63), min(2**63 - 1, int(s)))) for s, i in zip(scores, ids)]
-    return pd.DataFrame(out, columns=["query_id", "query_key", "vec_id", "score"]).astype("int64")
+def search_block(vectors: pa.Table, queries: pa.Table, k: int = K) -> pa.Table:
+    """All queries of a pair of blocks against all its vectors; rows (vec_id, vec_key, v)."""
+    own, keys = queries.column("vec_id").to_pylist(), queries.column("vec_key").to_pylist()
+    sides = vectors.column("v"), queries.column("v")
+    width = max((pc.max(pc.list_value_length(c)).as_py() or 0) for c in sides)
+    x, q = (padded(c, width) for c in sides)
+    whole = beyond_doubles(x, q)
+    lists = Lists(x, vectors.column("vec_id").to_numpy().astype(np.int64), whole)
+    out: list[tuple[int, int, int, int]] = []
+    for i, key, row in zip(own, keys, quantise(q, whole)):
+        scores, ids = lists.top(row, i, k)
+        out += [(i, key, int(j), int(s)) for s, j in zip(scores, ids)]
+    made = list(zip(*out)) or [[]] * 4
+    return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in made], ["query_id", "query_key", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, k: int = K, every: int = 100, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = 100, block_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k best for each vector whose id ``every`` divides."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
-    rows = rows.select("vec_id", F.xxhash64("embedding").alias("vec_key"), F.col("embedding").alias("v"))
+    rows = rows.select("vec_id", F.xxhash64("embedding").alias("vec_key"), F.col("embedding").cast("array<double>").alias("v"))
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec_key"])
-    n, m = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
+    n, m, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).first()
+    held = max(1, BLOCK_COMPONENTS // max(1, width or 0))
+    blocks, query_blocks = max(1, -(-n // (block_rows or held))), max(1, -(-m // (query_rows or held)))
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     part = lambda k, salt: F.pmod(F.xxhash64("vec_id", "vec_key", F.lit(salt)), F.lit(k)).cast("int")
-    left = rows.select(F.lit(False).alias("is_query"), "*", part(blocks, 1).alias("b")).select("*", all_of(query_blocks).alias("q"))
-    right = asked.select(F.lit(True).alias("is_query"), "*", part(query_blocks, 2).alias("q")).select("*", all_of(blocks).alias("b"))
+    left = rows.select("*", part(blocks, 1).alias("b")).select("*", all_of(query_blocks).alias("q"))
+    right = asked.select("*", part(query_blocks, 2).alias("q")).select("*", all_of(blocks).alias("b"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return search_block(pdf, k)
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        return search_block(vectors, queries, k)
 
-    found = left.unionByName(right).groupBy("b", "q").applyInPandas(run, SCHEMA)
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(run, SCHEMA)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
