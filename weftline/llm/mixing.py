@@ -4,7 +4,7 @@ A softmax regression, learnt from the labelled table, gives each document a
 posterior over domains: ``junk`` (quality 0), ``toxic`` (quality 1, toxic 1)
 and ``prose`` (neither). Document rates r >= 0 are then fitted so that the
 expected tokens of the domains, sum of r * tokens * posterior, match the
-targets: least squares by projected gradient from r = 1, the residual measured
+targets: least squares by projected gradient with momentum from r = 1, the residual measured
 in the metric of the domains' own token covariance, which makes one step
 exact while no rate is at its bound.
 
@@ -16,20 +16,23 @@ Domains without a target are left out of the posterior.
 
 Defined results: null and empty texts have no tokens, get a posterior and a
 rate, and change no total; with no labels all posteriors are equal; targets no
-rates can meet end at the closest totals after ``STEPS`` steps; repeated rows
-get equal rates; an empty table gives an empty one; other columns stay as they
-are. Copies are the rate rounded down or up by a hash of the id and the text,
+rates can meet end at the closest totals, where steps gain nothing more, and
+fitting that ends before warns; repeated rows get equal rates; an empty table
+gives an empty one; other columns stay as they are. Copies are the rate rounded down or up by a hash of the id and the text,
 so that their expectation is the rate.
 """
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold, text_udf
+from weftline.llm.common import columns_of, fold, one_text_each, text_udf, unused
 from weftline.llm.style import NAMES, measure
 from weftline.session import materialize
 
@@ -38,13 +41,17 @@ DOMAINS = ("prose", "junk", "toxic")
 TARGETS = {"prose": 0.90, "junk": 0.07, "toxic": 0.03}
 #: Labelled documents to learn from, at most; those with the smallest id hashes.
 TRAIN_DOCS = 12_000
-#: Buckets of hashed words that the classifier sees beside the measures of form.
+#: Buckets of hashed words that the classifier sees beside the measures of form; words with the same
+#: first five letters are one feature, which stands for a stem.
 BUCKETS = 1 << 14
-STEPS = 40
+#: Steps at most.
+STEPS = 200
 #: Largest distance of a domain's share from its target at which fitting stops.
 CLOSE = 1e-4
-#: Words whose bucket a task keeps.
-CACHE = 300_000
+#: Share of the squared distance below which a step gains nothing.
+TINY = 1e-6
+#: Words, and their letters, whose bucket a task keeps.
+CACHE, CACHE_LETTERS = 300_000, 16_000_000
 
 _SHAPE = "struct<n: bigint, p: array<double>>"
 
@@ -56,15 +63,25 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.strip(".,;:!?\"'()").lower()[:5].encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def examine(text: str | None, known: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
+class Buckets(dict):
+    """The buckets of words met so far, within CACHE and CACHE_LETTERS."""
+
+    letters = 0
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE or self.letters > CACHE_LETTERS:
+            self.clear()
+            self.letters = 0
+        self.letters += len(word)
+        self[word] = found = bucket(word)
+        return found
+
+
+def examine(text: str | None, known: Buckets) -> tuple[int, np.ndarray, np.ndarray]:
     """A text's words, measures and distinct buckets."""
     words = (text or "").split()
     distinct = set(words)
-    if len(known) > CACHE:
-        known.clear()
-    for w in distinct.difference(known):
-        known[w] = bucket(w)
-    return len(words), measure(text), np.unique(np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct)))
+    return len(words), measure(text), np.unique(np.fromiter((known[w] for w in distinct), np.int64, len(distinct)))
 
 
 class Classifier:
@@ -118,12 +135,12 @@ def domain_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Classifier:
     def run(batches):
-        known: dict[str, int] = {}
+        known = Buckets()
         for b in batches:
             seen = [examine(t, known) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -136,12 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Classif
     return fit_classifier(forms, [np.array(b, np.int64) for b in rows.column("buckets").to_pylist()], rows.column("y").to_numpy().astype(int), len(DOMAINS))
 
 
-def with_posteriors(docs: DataFrame, model: Classifier, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """``docs`` with a struct ``__mix``: n (words), p (posterior by domain, among those asked for)."""
+def posteriors(model: Classifier, domains: tuple[str, ...] = DOMAINS) -> Column:
+    """Of the column ``text`` a struct: n (words), p (posterior by domain, among those asked for)."""
     at = [DOMAINS.index(d) for d in domains]
 
     def work():
-        known: dict[str, int] = {}
+        known = Buckets()
 
         def each(texts: list) -> pa.Array:
             seen = [examine(t, known) for t in texts]
@@ -151,18 +168,21 @@ def with_posteriors(docs: DataFrame, model: Classifier, domains: tuple[str, ...]
 
         return each
 
-    return docs.withColumn("__mix", text_udf(work, _SHAPE)(F.col("text")))
+    return text_udf(work, _SHAPE)(F.col("text"))
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """The rates of documents with posteriors ``p`` after the given steps."""
-    r = np.ones(len(p))
-    for s in steps:
-        r = np.maximum(0.0, r - p @ s)
+Step = tuple[np.ndarray, float]
+
+
+def replay(p: np.ndarray, steps: list[Step]) -> np.ndarray:
+    """The rates of documents with posteriors ``p`` after steps: each a momentum along the last change, a move, a projection."""
+    before = r = np.ones(len(p))
+    for move, momentum in steps:
+        before, r = r, np.maximum(0.0, r + momentum * (r - before) - p @ move)
     return r
 
 
-def _totals(soft: DataFrame, steps: list[np.ndarray], k: int, second: bool = False) -> np.ndarray:
+def _totals(soft: DataFrame, steps: list[Step], k: int, second: bool = False) -> np.ndarray:
     """Sums of r * n * p by domain, or of n * p * p' by pairs of domains; one number each from each task."""
     def run(batches):
         out = np.zeros(k * k if second else k)
@@ -179,48 +199,88 @@ def _totals(soft: DataFrame, steps: list[np.ndarray], k: int, second: bool = Fal
     return out.reshape(k, k) if second else out
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> list[np.ndarray]:
-    """The projected-gradient steps that lead from rate 1 to the fitted rates, over rows (n, p)."""
+@dataclass(frozen=True)
+class Fit:
+    """Steps from rate 1, what is left between shares and targets, and whether no step would bring it closer."""
+
+    steps: list[Step]
+    off: np.ndarray
+    converged: bool
+
+
+def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> Fit:
+    """The projected-gradient steps that lead from rate 1 to the fitted rates, over rows (n, p).
+
+    Steps gather momentum, which starts anew whenever the totals don't come
+    closer in the metric; a plain step always brings them closer if any does.
+    Totals are linear in rates, so a step is one pass, momentum or not. Done
+    where the targets are met, or where a plain step gains nothing more: no
+    rates come closer then.
+    """
     goal = np.array([float(w) for w in targets.values()])
     goal = goal / goal.sum()
     whole = _totals(soft, [], len(goal), second=True)
-    tokens = whole.sum()
-    if tokens <= 0:
-        return []
-    metric = np.linalg.inv(whole / tokens + 1e-9 * np.eye(len(goal)))
-    taken: list[np.ndarray] = []
+    lengths = whole.sum()
+    if lengths <= 0:
+        return Fit([], np.zeros(len(goal)), True)
+    metric = np.linalg.inv(whole / lengths + 1e-9 * np.eye(len(goal)))
+    taken: list[Step] = []
+    off = last = whole.sum(1) / lengths - goal
+    loss, age = off @ metric @ off, 0
     for _ in range(steps):
-        off = _totals(soft, taken, len(goal)) / tokens - goal
         if np.abs(off).max() < CLOSE:
-            break
-        taken.append(metric @ off)
-    return taken
-
-
-def rate_column(steps: list[np.ndarray]):
-    """The rate from the posterior column ``p``, replayed by built-in functions."""
-    made = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]) if steps else F.expr("cast(array() as array<array<double>>)")
-    dot = lambda s: F.aggregate(F.zip_with(F.col("__mix.p"), s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(made, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
-
-
-def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float], most: int, keep: list[str]) -> DataFrame:
-    """``keep`` of ``docs`` with ``__mix``, ``__rate`` and ``__copies``; what is written between passes is no more than that."""
+            return Fit(taken, off, True)
+        momentum = age / (age + 3)
+        step = (metric @ (off + momentum * (off - last)), momentum)
+        new = _totals(soft, [*taken, step], len(goal)) / lengths - goal
+        gain = loss - new @ metric @ new
+        if gain <= TINY * loss:
+            if not age:
+                return Fit(taken, off, True)
+            age = 0
+            continue
+        taken, last, off, loss, age = [*taken, step], off, new, loss - gain, age + 1
+    return Fit(taken, off, bool(np.abs(off).max() < CLOSE))
+
+
+def rate_column(steps: list[Step], p: Column) -> Column:
+    """The rate from the posterior ``p``, replayed by built-in functions."""
+    if not steps:
+        return F.lit(1.0)
+    made = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in move]).alias("m"), F.lit(float(momentum)).alias("k")) for move, momentum in steps])
+    dot = lambda m: F.aggregate(F.zip_with(p, m, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("b"))
+    step = lambda a, s: F.struct(F.greatest(F.lit(0.0), a["r"] + s["k"] * (a["r"] - a["b"]) - dot(s["m"])).alias("r"), a["r"].alias("b"))
+    return F.aggregate(made, start, step, lambda a: a["r"])
+
+
+def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float], most: int, length: Column | None, keep: list[Column], name: str) -> DataFrame:
+    """``keep`` of ``docs`` with a struct ``name``: n, p, draw, rate, copies; what is written between passes is no more than that."""
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    soft = with_posteriors(docs, train(train_docs, labels, most), tuple(targets)).withColumn("__draw", draw)
-    rows = materialize(soft.select(*keep, "__mix", "__draw"), "mix")
-    rate = rate_column(fit_rates(rows.select("__mix.n", "__mix.p"), targets))
-    return rows.withColumn("__rate", rate).withColumn("__copies", F.floor(F.col("__rate") + F.col("__draw")).cast("int"))
-
-
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS) -> DataFrame:
-    """One row per document: doc_id, n_tokens, domains (posterior by name), rate, copies."""
-    rows = _rated(docs.select("doc_id", "text"), labels, docs, targets, most, ["doc_id"])
-    names = F.array(*[F.lit(d) for d in targets])
-    return rows.select("doc_id", F.col("__mix.n").alias("n_tokens"), F.map_from_arrays(names, "__mix.p").alias("domains"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
-
-
-def mix(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    rows = _rated(docs, labels, train_docs, targets, most, docs.columns)
-    return rows.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    own = F.col(name)
+    soft = docs.withColumn(name, posteriors(train(train_docs, labels, most), tuple(targets)))
+    n = own["n"] if length is None else length
+    rows = materialize(soft.select(*keep, F.struct(n.alias("n"), own["p"].alias("p"), draw.alias("draw")).alias(name)), "mix")
+    fitted = fit_rates(rows.select(own["n"].alias("n"), own["p"].alias("p")), targets)
+    if not fitted.converged:
+        warnings.warn(f"mixing ends {np.abs(fitted.off).max():.5f} from a target after {len(fitted.steps)} steps", stacklevel=3)
+    rows = rows.withColumn(name, own.withField("rate", rate_column(fitted.steps, own["p"])))
+    return rows.withColumn(name, own.withField("copies", F.floor(own["rate"] + own["draw"]).cast("int")))
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS, length: Column | None = None, name: str = "n_words") -> DataFrame:
+    """One row per document: doc_id, its length as ``name``, domains (posterior by name), rate, copies.
+
+    Lengths are words unless ``length`` gives them, as ``tokens.length`` does.
+    """
+    rows = _rated(docs.select("doc_id", "text"), labels, docs, targets, most, length, [F.col("doc_id")], "__mix")
+    domains = F.map_from_arrays(F.array(*[F.lit(d) for d in targets]), "__mix.p")
+    return rows.select("doc_id", F.col("__mix.n").alias(name), domains.alias("domains"), "__mix.rate", "__mix.copies")
+
+
+def mix(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float] = TARGETS, most: int = TRAIN_DOCS, length: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as its copies say; lengths are words unless ``length`` gives them."""
+    name, copy = unused("__mix", docs.columns), unused("__copy", docs.columns)
+    rows = _rated(docs, labels, train_docs, targets, most, length, columns_of(docs), name)
+    rows = rows.where(F.col(name)["copies"] > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(name)["copies"]))).select(*columns_of(docs))

@@ -37,7 +37,7 @@ def measure(text: str | None) -> np.ndarray:
     n = len(words)
     shares = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _WEIGHTS
     solid = sum(map(len, words))
-    out[0], out[1] = np.log1p(n), min(40.0, solid / n)
+    out[0], out[1] = np.log1p(n), np.log1p(solid / n)
     out[2:11] = shares / solid
     out[11] = len(set(words)) / n**0.8
     out[12] = sum(map(eq, words, words[1:])) / n
