@@ -3,11 +3,12 @@
 Tokens are runs of non-space. Labels of documents become labels of tokens: a
 token of a toxic document is a toxic token if its word, or a prefix of it, is
 a marker, that is, occurs in more toxic documents than chance allows and
-mostly there. The field learns from windows around markers, in clean documents
-too (as label 0), and from other windows of clean documents. Its
-forward-backward marginals give spans with offsets; their maximum and their
-sum, against the text's length, give a document's score by a logistic
-regression on the labelled documents.
+mostly there; all other tokens are not. The field learns from the whole texts
+of a bounded sample of labelled documents: each round is a pass over the
+sample, in which tasks run forward-backward and add up slopes. Its marginals
+give spans with offsets; their maximum and their sum, against the text's
+length, give a document's score by a logistic regression on the labelled
+documents.
 
 Defined results: null and tokenless texts score 0; with no toxic labels to
 learn from all texts do; ids labelled twice take the larger label; repeated
@@ -18,7 +19,7 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -27,26 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import held_out, labelled_sample, text_udf
-from weftline.session import materialize
+from weftline.session import materialize, release
 
 #: Labelled documents to learn from, at most; those with the smallest id hashes.
 TRAIN_DOCS = 10_000
-#: Tokens to either side of a marker in a training window.
-REACH = 10
-#: Training windows of a document, at most.
-WINDOWS = 3
 #: Lengths of the prefixes that are features.
 PREFIXES = (3, 4, 5, 6, 7)
-#: Share of a marker's occurrences that lie in toxic documents, at least.
+#: Share of a marker's documents that are toxic, at least.
 PURE = 0.6
-#: Occurrences of a feature that count in one document, at most.
-OFTEN = 5
+#: Buckets that the features of tokens are hashed to.
+BUCKETS = 1 << 18
+#: Passes over the sample, and tasks of a pass; each sends its slopes to the driver, 2 MB.
+ROUNDS, PARTS = 40, 8
 #: Chance markers to expect among all tried.
 CHANCE = 0.05
 #: Feature counts that a task holds before it passes them on.
 HELD_COUNTS = 400_000
-#: Tokens whose scores a task keeps; beyond, it starts anew.
-CACHE = 300_000
+#: Tokens, and their letters, whose scores a task keeps; beyond, it starts anew.
+CACHE, CACHE_LETTERS = 300_000, 16_000_000
 #: Tokens per block of the two-level scan.
 BLOCK = 32
 #: Documents tagged together.
@@ -68,155 +67,147 @@ def features(word: str) -> list[str]:
     return ["w:" + word, *(str(k) + word[:k] for k in PREFIXES), "e:" + word[-3:]]
 
 
+def buckets(words: list[str]) -> np.ndarray:
+    """The buckets of the features of normalised tokens, a row each."""
+    hashed = [zlib.crc32(f.encode("utf-8", "surrogatepass")) for w in words for f in features(w)]
+    return np.array(hashed, np.int64).reshape(-1, len(PREFIXES) + 2) % BUCKETS
+
+
 def marker_features(word: str) -> list[str]:
     """What of a normalised token may be a marker."""
     return ["w:" + word, *(str(k) + word[:k] for k in PREFIXES if len(word) >= k)] if word else []
 
 
 def find_markers(sample: DataFrame) -> set[str]:
-    """Features of toxic documents, by far too frequent there for chance; over (text, label) rows.
-
-    Counted over all rows: documents with a feature, and its occurrences, of
-    which a document adds ``OFTEN`` at most.
-    """
+    """Features of toxic documents, in by far more of them than chance allows; over (text, label) rows."""
 
     def count(batches):
         held: dict[str, list[int]] = {}
 
         def flush():
             rows = list(held.values())
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[i] for v in rows], pa.int64()) for i in range(4))], ["feature", "clean", "toxic", "clean_n", "toxic_n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([v[i] for v in rows], pa.int64()) for i in range(2))], ["feature", "clean", "toxic"])
             held.clear()
             return out
 
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                side = 1 if label else 0
-                own: dict[str, int] = {}
-                for t, n in Counter((text or "").split()).items():
-                    for f in marker_features(normal(t)):
-                        own[f] = own.get(f, 0) + n
-                for f, n in own.items():
-                    at = held.setdefault(f, [0, 0, 0, 0])
-                    at[side] += 1
-                    at[2 + side] += min(n, OFTEN)
+                own = {f for t in set((text or "").split()) for f in marker_features(normal(t))}
+                for f in own:
+                    held.setdefault(f, [0, 0])[1 if label else 0] += 1
                 if len(held) > HELD_COUNTS:
                     yield flush()
         yield flush()
 
-    names = ["clean", "toxic", "clean_n", "toxic_n"]
-    sums = sample.select("text", "label").mapInArrow(count, "feature string, " + ", ".join(f"{n} bigint" for n in names)).groupBy("feature").agg(*(F.sum(n).alias(n) for n in names))
+    counts = sample.select("text", "label").mapInArrow(count, "feature string, clean bigint, toxic bigint")
+    sums = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     docs, toxic = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
     if not toxic or docs == toxic:
         return set()
     p = toxic / docs
     n, share = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic"))
     surprise = n * (share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0))
-    rows = sums.where((F.col("toxic") >= 3) & (share > p) & (F.col("toxic_n") >= PURE * (F.col("toxic_n") + F.col("clean_n"))) & (surprise >= float(np.log(docs * 100 / CHANCE))))
+    rows = sums.where((F.col("toxic") >= 3) & (share > p) & (share >= PURE) & (surprise >= float(np.log(docs * 100 / CHANCE))))
     return set(rows.select("feature").toArrow().column("feature").to_pylist())
 
 
-def training_windows(sample: DataFrame, markers: set[str]) -> list[tuple[list[str], list[int]]]:
-    """Windows of (normalised tokens, token labels): around markers, label 0 in clean documents, and one more of each clean document."""
+KINDS = {"sizes": pa.int32(), "tokens": pa.int32(), "labels": pa.int8(), "features": pa.int32()}
 
-    def cut(batches):
-        for b in batches:
-            tokens, labels = [], []
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-                words = [normal(t) for t in (text or "").split()]
-                if not words:
-                    continue
-                marked = [i for i, w in enumerate(words) if any(f in markers for f in marker_features(w))]
-                centres = marked[:: max(1, len(marked) // WINDOWS)][:WINDOWS] + ([] if label else [hash_of(words) % len(words)])
-                toxic = set(marked) if label else set()
-                for c in centres:
-                    at = range(max(0, c - REACH), min(len(words), c + REACH + 1))
-                    tokens.append([words[i] for i in at])
-                    labels.append([int(i in toxic) for i in at])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], ["tokens", "labels"])
 
-    rows = sample.select("text", "label").mapInArrow(cut, "tokens array<string>, labels array<int>").toArrow()
-    return sorted(zip(rows.column("tokens").to_pylist(), rows.column("labels").to_pylist()))
+def sequences(sample: DataFrame, markers: set[str]) -> DataFrame:
+    """The whole texts of the sample as labelled chains, a row for some documents each.
 
+    ``sizes`` are tokens of texts, ``tokens`` places among the row's distinct
+    normalised tokens, ``labels`` one a token, ``features`` the buckets of the
+    distinct tokens.
+    """
 
-def hash_of(words: list[str]) -> int:
-    """The same number for the same words on any worker."""
-    import zlib
+    def cut(batches):
+        for b in batches:
+            texts, marks = b.column("text").to_pylist(), b.column("label").to_pylist()
+            for i in range(0, len(texts), AT_ONCE):
+                lists = [[normal(t) for t in (x or "").split()] for x in texts[i : i + AT_ONCE]]
+                place = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
+                hit = np.fromiter((any(f in markers for f in marker_features(w)) for w in place), np.int8, len(place))
+                sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+                tokens = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int32, sizes.sum())
+                toxic = np.fromiter((bool(m) for m in marks[i : i + AT_ONCE]), np.int8, len(lists))
+                row = [sizes, tokens, hit[tokens] * np.repeat(toxic, sizes), buckets(list(place)).ravel().astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(row, KINDS.values())], list(KINDS))
 
-    return zlib.crc32(" ".join(words[:50]).encode("utf-8", "surrogatepass")) + len(words)
+    return sample.select("text", "label").mapInArrow(cut, "sizes array<int>, tokens array<int>, labels array<tinyint>, features array<int>")
 
 
 class Field:
-    """A two-label linear chain: token weights for label 1 against 0, label 1's start, transitions."""
+    """A two-label linear chain: token weights by bucket for label 1 against 0, label 1's start, transitions."""
 
-    def __init__(self, weights: dict[str, float], bias: float, start: float, move: np.ndarray):
+    def __init__(self, weights: np.ndarray, bias: float, start: float, move: np.ndarray):
         self.weights, self.bias, self.start, self.move = weights, bias, start, move
         self.whole = np.array([-1.0, 1.0, 0.0, 0.0])
 
-    def score(self, word: str) -> float:
-        """Log odds of label 1 against 0 from the token alone."""
-        get = self.weights.get
-        return min(30.0, max(-30.0, self.bias + sum(get(f, 0.0) for f in features(word))))
-
-
-def chain_marginals(d: np.ndarray, mask: np.ndarray, start: float, move: np.ndarray):
-    """Label 1's marginal for each token of padded rows, pair marginals of neighbours, log normalisers."""
-    n, t = d.shape
-    e = np.stack([np.ones_like(d), np.exp(d)], -1)
-    a = np.exp(move)
-    f, g, scale = np.zeros((n, t, 2)), np.ones((n, t, 2)), np.zeros((n, t))
-    now = np.stack([np.ones(n), np.full(n, np.exp(start))], -1) * e[:, 0]
-    for i in range(t):
-        if i:
-            now = np.where(mask[:, i, None], (f[:, i - 1] @ a) * e[:, i], f[:, i - 1])
-        s = now.sum(-1)
-        f[:, i], scale[:, i] = now / s[:, None], np.log(s)
-    for i in range(t - 2, -1, -1):
-        now = (g[:, i + 1] * e[:, i + 1]) @ a.T
-        now = np.where(mask[:, i + 1, None], now / now.sum(-1, keepdims=True), g[:, i + 1])
-        g[:, i] = now
+    def odds(self, features: np.ndarray) -> np.ndarray:
+        """Log odds of label 1 against 0 from tokens alone, given the buckets of each."""
+        return np.clip(self.weights[features].sum(1) + self.bias, -30, 30)
+
+
+def slopes(field: Field, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the negative log-likelihood of some texts: of the weights; of bias, start and transitions."""
+    f, g, e = forward_backward(field.odds(features)[tokens], sizes, field.start, field.move)
     p = f * g
-    p /= p.sum(-1, keepdims=True)
-    pairs = f[:, :-1, :, None] * a * (e[:, 1:] * g[:, 1:])[:, :, None, :]
-    pairs /= pairs.sum((-1, -2), keepdims=True)
-    pairs *= mask[:, 1:, None, None]
-    return p[..., 1] * mask, pairs, (scale * mask).sum(1)
-
-
-def fit(windows: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.3, l2: float = 0.02) -> Field:
-    """Maximum likelihood with a small ridge, by Adagrad over all windows at once."""
-    names: dict[str, int] = {}
-    width = max(len(t) for t, _ in windows)
-    n = len(windows)
-    each = len(features(""))
-    ids = np.zeros((n, width, each), np.int64)
-    y, mask = np.zeros((n, width)), np.zeros((n, width), bool)
-    for i, (tokens, labels) in enumerate(windows):
-        ids[i, : len(tokens)] = [[names.setdefault(f, len(names)) for f in features(w)] for w in tokens]
-        y[i, : len(labels)], mask[i, : len(labels)] = labels, True
-    w, bias, start, move = np.zeros(len(names)), -2.0, 0.0, np.zeros((2, 2))
-    sq_w, sq = np.full(len(names), 1e-6), np.full(6, 1e-6)
-    yi = y.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (yi[:, :-1][mask[:, 1:]], yi[:, 1:][mask[:, 1:]]), 1)
-    flat = ids[mask].ravel()
+    off = p[:, 1] / p.sum(1) - labels
+    each = np.bincount(tokens, off, len(features))
+    weights = np.bincount(features.ravel(), np.repeat(each, features.shape[1]), BUCKETS)
+    ends = np.cumsum(sizes)
+    inner = np.ones(len(tokens), bool)
+    inner[ends[sizes > 0] - 1] = False
+    t = np.flatnonzero(inner)
+    pairs = f[t][:, :, None] * np.exp(field.move - field.move.max()) * (e[t + 1] * g[t + 1])[:, None, :]
+    pairs = (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
+    seen = np.bincount(2 * labels[t] + labels[t + 1], minlength=4).reshape(2, 2)
+    first = (ends - sizes)[sizes > 0]
+    return weights, np.concatenate([[off.sum(), off[first].sum()], (pairs - seen).ravel()])
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, l2: float = 0.02, parts: int = PARTS) -> Field:
+    """Maximum likelihood with a small ridge, by Adagrad over ``sequences``; a pass a round, slopes added up in tasks."""
+    field = Field(np.zeros(BUCKETS), -2.0, 0.0, np.zeros((2, 2)))
+    sq_w, sq = np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
+    rows = rows.coalesce(parts)
     for _ in range(rounds):
-        d = np.clip(w[ids].sum(-1) + bias, -30, 30) * mask
-        p, pairs, _ = chain_marginals(d, mask, start, move)
-        off = (p - y)[mask]
-        grad = np.bincount(flat, np.repeat(off, each), len(names)) + l2 * w
+
+        def add(batches, field=field):
+            weights, rest = np.zeros(BUCKETS), np.zeros(6)
+            for b in batches:
+                for i in range(b.num_rows):
+                    sizes, tokens, labels, features = (b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in KINDS)
+                    if len(tokens):
+                        w, r = slopes(field, sizes, tokens, labels, features.reshape(-1, len(PREFIXES) + 2))
+                        weights += w
+                        rest += r
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([rest.tolist()], pa.list_(pa.float64()))], ["w", "r"])
+
+        found = rows.mapInArrow(add, "w binary, r array<double>").toArrow()
+        grad = sum((np.frombuffer(w) for w in found.column("w").to_pylist()), np.zeros(BUCKETS)) + l2 * field.weights
+        rest = np.sum([np.zeros(6), *found.column("r").to_pylist()], 0)
+        rest[1:] += l2 * np.concatenate([[field.start], field.move.ravel()])
         sq_w += grad**2
-        w -= rate * grad / np.sqrt(sq_w)
-        rest = np.concatenate([[off.sum(), (p - y)[:, 0].sum() + l2 * start], (pairs.sum((0, 1)) - seen + l2 * move).ravel()])
         sq += rest**2
         step = rate * rest / np.sqrt(sq)
-        bias, start, move = bias - step[0], start - step[1], move - step[2:].reshape(2, 2)
-    order = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
-    return Field(order, float(bias), float(start), move)
+        field = Field(field.weights - rate * grad / np.sqrt(sq_w), float(field.bias - step[0]), float(field.start - step[1]), field.move - step[2:].reshape(2, 2))
+    return field
 
 
 def marginals(d: np.ndarray, sizes: np.ndarray, start: float, move: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Label 1's marginal of each token of consecutive texts, exactly, in work linear in the tokens.
+    """Label 1's marginal of each token of consecutive texts."""
+    f, g, _ = forward_backward(d, sizes, start, move, block)
+    p = f * g
+    return p[:, 1] / p.sum(1)
+
+
+def forward_backward(d: np.ndarray, sizes: np.ndarray, start: float, move: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward vectors, each up to a factor, and label weights of each token of consecutive texts.
+
+    Exact, in work linear in the tokens.
 
     Texts are cut into blocks. Transfer matrices of all blocks are built side
     by side; entry vectors run over a text's blocks; then all blocks are swept
@@ -224,7 +215,7 @@ def marginals(d: np.ndarray, sizes: np.ndarray, start: float, move: np.ndarray,
     """
     total = int(sizes.sum())
     if not total:
-        return np.zeros(0)
+        return np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, 2))
     blocks = -(-sizes // block)
     nb = int(blocks.sum())
     first = np.cumsum(blocks) - blocks
@@ -272,15 +263,14 @@ def marginals(d: np.ndarray, sizes: np.ndarray, start: float, move: np.ndarray,
     for i in range(block):
         now = norm(step(now, i))
         f[:, i] = now
-    out, back = np.zeros((nb, block)), leave
+    g, back = np.zeros((nb, block, 2)), leave
     for i in range(block - 1, -1, -1):
-        both = f[:, i] * back
-        out[:, i] = both[:, 1] / both.sum(1)
+        g[:, i] = back
         new = (back * e[:, i]) @ a.T
         if i == 0:
             break
         back = norm(np.where(real[:, i, None], new, back))
-    return out[row, col]
+    return f[row, col], g[row, col], e[row, col]
 
 
 def summary(p: np.ndarray) -> list[float]:
@@ -321,20 +311,25 @@ def tagger(field: Field | None, cache: int = CACHE, at_once: int = AT_ONCE):
 
     def work():
         known: dict[str, float] = {}
+        letters = 0
 
         def each(texts: list) -> pa.Array:
+            nonlocal letters
             out = []
             if field is None:
                 return pa.array([{"score": 0.0, "spans": [], "facts": []} for _ in texts], ARROW)
             for i in range(0, len(texts), at_once):
                 part = texts[i : i + at_once]
                 lists = [(t or "").split() for t in part]
-                if len(known) > cache:
+                if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
+                    letters = 0
                 every = list(chain.from_iterable(lists))
                 d = list(map(known.get, every))
                 if None in d:
-                    known.update((t, field.score(normal(t))) for t in {t for t, x in zip(every, d) if x is None})
+                    new = list({t for t, x in zip(every, d) if x is None})
+                    letters += sum(map(len, new))
+                    known.update(zip(new, field.odds(buckets([normal(t) for t in new])).tolist()))
                     d = list(map(known.get, every))
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
                 p = marginals(np.array(d, float), sizes, field.start, field.move)
@@ -358,15 +353,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field |
     markers = find_markers(sample)
     if not markers:
         return None
-    field = fit(training_windows(sample, markers))
-    rows = tag(sample, field).select("__toxic.facts", "label").toArrow()
-    field.whole = calibrate(np.array(rows.column("facts").to_pylist()), np.array(rows.column("label").to_pylist(), float) > 0)
+    rows = materialize(sequences(sample, markers), "sequences")
+    field = fit(rows)
+    facts = tag(sample, field).select("__toxic.facts", "label").toArrow()
+    field.whole = calibrate(np.array(facts.column("facts").to_pylist()), np.array(facts.column("label").to_pylist(), float) > 0)
+    release(sample, rows)
     return field
 
 
-def tag(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with a struct ``__toxic`` (score, spans)."""
-    return docs.withColumn("__toxic", text_udf(tagger(field), RESULT)(F.col("text")))
+def tag(docs: DataFrame, field: Field | None, name: str = "__toxic") -> DataFrame:
+    """``docs`` with a struct ``name`` (score, spans)."""
+    return docs.withColumn(name, text_udf(tagger(field), RESULT)(F.col("text")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
