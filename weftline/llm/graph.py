@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.session import materialize
+from weftline.session import materialize, release
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,15 +20,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     nodes = e
     before = None
-    for _ in range(most_rounds):
-        e = e.where("u != v")
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for rounds in range(most_rounds):
+        held = e.where("u != v")
+        both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = materialize(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if rounds:
+            release(e)
+        e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
         if now == before:
             break
