@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_udf
+from weftline.llm.common import columns_of, look_up, text_udf, unused
 from weftline.llm.graph import connected_components
 from weftline.session import materialize
 
@@ -28,6 +28,8 @@ DISTANCE = 3
 BLOCKS = 6
 #: Members of one block key that are compared in memory; larger groups are blocked once more.
 MOST_TOGETHER = 4096
+#: Keys of documents to drop that are broadcast, at most: longs and flags, some 100 MB as a hash table.
+MOST_BROADCAST = 2_000_000
 #: Shingles hashed at a time, so that a very long text needs no more memory than that.
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -192,9 +194,8 @@ def components(prints: DataFrame, most_together: int = MOST_TOGETHER) -> DataFra
 def near_duplicates(docs: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
-    return prints.join(components(prints, most_together), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = look_up(prints, materialize(components(prints, most_together), "components"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def clusters(prints: DataFrame) -> DataFrame:
@@ -209,18 +210,29 @@ def clusters(prints: DataFrame) -> DataFrame:
     return connected_components(found).select(F.col("node").alias("fp"), "root")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with its smallest id.
 
     Rows with equal ids and texts are one document. In a component without any
     id, the text with the smallest hash stays.
+
+    Decisions are made on ids and hashes. What is to go is one long a document;
+    up to ``most_broadcast`` of them meet the documents by broadcast, so no text
+    is shuffled but of rows that repeat one that stays. Beyond, they are joined.
     """
-    names = docs.columns
-    prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("t"), fingerprint(F.col("text")).alias("fp")), "prints")
-    roots = materialize(connected_components(link(prints.select("fp").distinct())), "roots")
-    held = prints.join(roots, prints["fp"] == roots["node"], "left").select("doc_id", "t", F.coalesce("root", "fp").alias("root"))
-    first = held.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k")).select("k.doc_id", "k.t")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__t")
-    first = first.withColumnRenamed("t", "__t").select(key.alias("__k"))
-    rows = docs.withColumn("__t", F.xxhash64("text")).withColumn("__k", key)
-    return rows.join(first, "__k", "left_semi").dropDuplicates(["__k"]).select(*names)
+    key_of = lambda t: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), t)
+    text = F.xxhash64("text")
+    prints = materialize(docs.select("doc_id", text.alias("t"), key_of(text).alias("k"), fingerprint(F.col("text")).alias("fp")), "prints")
+    roots = connected_components(link(prints.select("fp").distinct()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k").alias("first")
+    reps = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    whole = reps.join(roots, reps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = whole.select(F.col("first.k").alias("k"), F.lit(True).alias("stays"))
+    rows = prints.groupBy("k").agg(F.count("*").alias("n"))
+    treat = rows.join(stay, "k", "left").where("n > 1 OR stays IS NULL").select("k", F.col("stays").isNotNull().alias("repeats"))
+    k, repeats = unused("__k", docs.columns), unused("__repeats", docs.columns)
+    treat = materialize(treat.select(F.col("k").alias(k), F.col("repeats").alias(repeats)), "treat")
+    few = treat.limit(most_broadcast + 1).count() <= most_broadcast
+    marked = docs.withColumn(k, key_of(text)).join(F.broadcast(treat) if few else treat, k, "left")
+    own = columns_of(docs)
+    return marked.where(F.col(repeats).isNull()).select(*own).union(marked.where(F.col(repeats)).dropDuplicates([k]).select(*own))
