@@ -2,13 +2,17 @@
 
 Writing goes through Spark's text writer, so files appear by its commit
 protocol, on any file system it knows, and a lost executor's attempt leaves
-nothing behind. A record is one gzip member; a member's last byte, the top of
-its length, is zero below 16 MiB, and that byte is what the writer puts after
-each row. A larger record is followed by an empty member, which ends so too.
-
-Reading inflates a member bit by bit, finds the header's end, takes
-Content-Length bytes as the block, checks what must follow, and recomputes
-the digest.
+nothing behind. A record is one gzip member; members are strung together up to
+``FILE_BYTES``, and that is one row of the writer and one file. A member's last
+byte, the top of its length, is zero below 16 MiB, and that byte is what the
+writer puts after each row. A larger record is followed by an empty member,
+which ends so too.
+
+Reading takes one archive at a time, of bounded size, or of one record where a
+record is larger. It inflates a member bit by bit, finds the header's end,
+takes Content-Length bytes as the block, checks what must follow, and
+recomputes the digest. A revisit states its payload's size and digest; both
+are checked against the response that was read back.
 
 Defined results: null html is an empty payload, a null url an ``urn:`` of its
 own; of records with equal payloads of ``least_bytes`` or more the one with
@@ -31,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import scratch_path
+from weftline.session import materialize, scratch_path
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive, at most.
-FILE_RECORDS = 2000
+#: Bytes at which an archive ends; a record is never split.
+FILE_BYTES = 32 << 20
+#: Pages with a copy of their payload before them that are broadcast to the writers, at most.
+MOST_BROADCAST = 1_000_000
 #: Bytes read, and inflated, at a time.
 CHUNK = 1 << 16
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300") + bytes(8)
@@ -129,7 +135,7 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[tuple[dict[str,
     """(header fields, payload bytes, payload digest, payload if kept) of each record of a stream, digests verified.
 
     Of a revisit the bytes and the digest are those its headers give for the
-    full payload.
+    full payload, which ``check_revisits`` compares with the response.
     """
     ahead = b""
     while ahead or (ahead := stream.read(CHUNK)):
@@ -174,26 +180,39 @@ def _page(urn: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES, most_broadcast: int = MOST_BROADCAST) -> None:
     """Archives of ``pages`` (page_id, url, html) at ``path``.
 
     Which record is the response comes from a partially aggregated minimum of
-    ids by payload hash; its join back may be split where one payload is hot.
+    ids by payload hash, over the payloads that occur twice or more. They go
+    to the pages by broadcast if they are ``most_broadcast`` at most, so that
+    payloads stay where they are; beyond, by a join that may be split where
+    one payload is hot.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("hash", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "hash", "left")
+    first = rows.where(F.length("payload") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = materialize(first.where("n > 1 AND first IS NOT NULL").select("hash", "first"), "first")
+    few = first.limit(most_broadcast + 1).count() <= most_broadcast
+    joined = rows.join(F.broadcast(first) if few else first, "hash", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
     def build(batches):
+        held: list[bytes] = []
+        size = 0
         for b in batches:
-            made = [make_record(*x) for x in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers")))]
-            yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in made], pa.binary())], ["value"])
+            for x in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers"))):
+                held.append(make_record(*x))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
 
     made = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload", refers.cast("long").alias("refers")).mapInArrow(build, "value binary")
     # the writer copies the bytes of a string as they are
-    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -211,8 +230,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Raises unless every revisit states the size and digest of a response that was read, whose digest was recomputed.
+
+    Revisits of one page are one row before they meet its response.
+    """
+    stated = records.where("record_type = 'revisit'").select("refers_to", "payload_bytes", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    lost = stated.join(held, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").limit(1).collect()
+    if lost:
+        raise BadArchive(f"a revisit's response is missing or differs: {lost[0]}")
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``pages`` written to archives in the shared folder and read back."""
+    """``pages`` written to archives in the shared folder and read back, revisits checked against their responses."""
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path, least_bytes)
-    return read(pages.sparkSession, path)
+    records = materialize(read(pages.sparkSession, path), "records")
+    check_revisits(records)
+    return records
