@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DAY_MICROS = 86_400_000_000.0
+DAY = 86_400_000_000
+DAY_MICROS = float(DAY)
+
+
+def micros(df: DataFrame, time: Column) -> Column:
+    """Microseconds of a time of ``df``; of one without a zone by its calendar fields, so that no hour repeats or is missing."""
+    if df.select(time).schema[0].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(time.cast("timestamp"))
+    days = F.date_diff(time, F.lit("1970-01-01").cast("date")).cast("long")
+    fields = F.hour(time) * 3_600_000_000 + F.minute(time).cast("long") * 60_000_000
+    return days * DAY + fields + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
 
 
 def datetime_parts(time: Column, prefix: str, epoch: bool = True) -> dict[str, Column]:
@@ -41,7 +53,8 @@ def prose_profile(df: DataFrame, column: str, sample: int = 10_000, order: str |
 
 
 def log_target(x: Column) -> Column:
-    return F.log1p(x)
+    """log(1 + x); raises where a target is negative."""
+    return F.when(x < 0, F.raise_error(F.lit("targets below 0 have no log1p"))).otherwise(F.log1p(x))
 
 
 def unlog_target(x: Column) -> Column:
@@ -49,11 +62,20 @@ def unlog_target(x: Column) -> Column:
     return F.greatest(F.expm1(x), F.lit(0.0))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def total(x: Column) -> Column:
+    """The sum of an array."""
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def uniform(key: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) from an integer key by a linear congruence, the same on any partitioning."""
-    mixed = (F.pmod(key, F.lit(2147483647)) * 48271 + F.lit(seed * 2 + 1) * 40692) % 2147483647
-    mixed = (mixed * 48271 + 12345) % 2147483647
-    return (mixed.cast("double") + F.lit(0.5)) / F.lit(2147483647.0)
+    """A number in (0, 1): 52 bits of a hash of the key and the seed, so that seeds draw independently, on any partitioning."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def recency_score(key: Column, age: Column, half_life: Column, seed: int = 0) -> Column:
@@ -62,17 +84,17 @@ def recency_score(key: Column, age: Column, half_life: Column, seed: int = 0) ->
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+    powers = lambda t: F.transform(t["x"], lambda v: F.exp(v - t["top"]))
+    shares = lambda t: F.transform(t["e"], lambda v: v / t["all"])
+    e = bind(F.struct(x.alias("x"), F.array_max(x).alias("top")), powers)
+    return bind(e, lambda e: bind(F.struct(e.alias("e"), total(e).alias("all")), shares))
 
 
 def mean_of(arrays: list[Column]) -> Column:
-    total = arrays[0]
+    sums = arrays[0]
     for a in arrays[1:]:
-        total = F.zip_with(total, a, lambda x, y: x + y)
-    return F.transform(total, lambda v: v / len(arrays))
+        sums = F.zip_with(sums, a, lambda x, y: x + y)
+    return F.transform(sums, lambda v: v / len(arrays))
 
 
 def ensemble_proba(probas: list[Column], logits: bool = True) -> Column:

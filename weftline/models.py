@@ -7,19 +7,21 @@ distributed jobs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.scalar import datetime_parts, fixed_width
+from weftline.functions.scalar import argmax, datetime_parts, fixed_width, softmax
 from weftline.operators.algebra import column_profile
 from weftline.operators.pooling import first_k, project, sign_matrix
+from weftline.session import materialize
 
 
 class Vectorizer:
@@ -60,6 +62,22 @@ class Vectorizer:
         return df.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
+class IdentityVectorizer:
+    """Columns as they are, for backbones that take mixed types themselves; only constant ones are left out."""
+
+    def __init__(self, exclude: tuple[str, ...] = ()):
+        self.exclude = set(exclude)
+        self.columns: list[str] = []
+
+    def fit(self, df: DataFrame) -> IdentityVectorizer:
+        rows = df.select(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)])
+        self.columns = [r.column_name for r in column_profile(rows).where("NOT is_constant").collect() if r.column_name not in self.exclude]
+        return self
+
+    def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return df.select(*keep, *self.columns)
+
+
 class Backbone(Protocol):
     """A tabular model: learns from features and a target, adds ``proba`` (array) or ``y_pred``."""
 
@@ -86,18 +104,50 @@ class LinearBackbone:
         return out.drop("__x", "__y", "probability", "rawPrediction", *filled)
 
 
+class BayesBackbone:
+    """Gaussian naive Bayes: closed form from one aggregation, in the JVM throughout.
+
+    A feature that is null says nothing; a variance has a floor.
+    """
+
+    def __init__(self, floor: float = 1e-3):
+        self.floor = floor
+
+    def predict(self, train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
+        y = F.col(target).cast("long")
+        x = lambda c: F.col(c).cast("double")
+        aggs = [F.count("*").alias("n"), *[a for c in features for a in (F.avg(x(c)).alias(f"m_{c}"), F.var_pop(x(c)).alias(f"v_{c}"))]]
+        found = sorted(train.where(y.isNotNull()).groupBy(y.alias("k")).agg(*aggs).collect(), key=lambda r: r.k)  # a row a class
+        total = sum(r.n for r in found)
+
+        def log_likelihood(r) -> Column:
+            out = F.lit(math.log(r.n / total))
+            for c in features:
+                m, v = r[f"m_{c}"], r[f"v_{c}"]
+                if m is not None:
+                    v = max(v, self.floor)
+                    out = out + F.coalesce(-(x(c) - m) * (x(c) - m) / (2 * v) - 0.5 * math.log(2 * math.pi * v), F.lit(0.0))
+            return out
+
+        logs = F.array(*[log_likelihood(r) for r in found]) if found else F.lit(None).cast("array<double>")
+        classes = F.array(*[F.lit(r.k) for r in found]) if found else F.lit(None).cast("array<bigint>")
+        out = test.withColumn("proba", softmax(logs))
+        return out.withColumn("y_pred", F.get(classes, argmax(F.col("proba"))).cast("int"))
+
+
 class FrameBackbone:
     """Any in-memory model ``f(train features, train target, test features) -> probabilities``, batch by batch.
 
-    The context is a bounded sample, which travels with the function; test
-    rows stream past it in Arrow batches.
+    The context is a bounded sample, the rows with the smallest hashes, which
+    travels with the function; test rows stream past it in Arrow batches.
     """
 
     def __init__(self, model: Callable[[pd.DataFrame, pd.Series, pd.DataFrame], list], most_context: int = 50_000):
         self.model, self.most_context = model, most_context
 
     def predict(self, train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
-        context = train.select(*features, target).limit(self.most_context).toPandas()
+        rows = train.select(*features, target)
+        context = rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(self.most_context).toPandas()
         model = self.model
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,11 +158,23 @@ class FrameBackbone:
         return test.mapInPandas(run, schema)
 
 
-def extract(df: DataFrame, features: list[str], dim: int, keep: list[str], seed: int = 1) -> DataFrame:
-    """Default row embeddings: standardised features, missing ones at their mean, through a sign projection."""
-    stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features]).first()
-    z = [F.coalesce((F.col(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0), F.lit(0.0)) if stats[c]["m"] is not None else F.lit(0.0) for c in features]
-    return df.select(*keep, project(F.array(*z), sign_matrix(dim, len(features), seed)).alias("emb"))
+def extract(df: DataFrame, features: list[str], dim: int, keep: list[str], seed: int = 1, activation: str | None = None) -> DataFrame:
+    """Default row embeddings: standardised features, missing ones at their mean, through a sign projection.
+
+    With ``relu`` elements below 0 become 0, so that pooled embeddings tell
+    apart rows whose features agree column by column.
+    """
+    if not features:
+        return df.select(*keep, F.array(*[F.lit(0.0)] * dim).alias("emb"))
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    stats = df.agg(*[F.struct(F.avg(value(c)).alias("m"), F.stddev_pop(value(c)).alias("s")).alias(c) for c in features]).first()
+    z = [F.coalesce((value(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0), F.lit(0.0)) if stats[c]["m"] is not None else F.lit(0.0) for c in features]
+    out = project(F.array(*z), sign_matrix(dim, len(features), seed))
+    if activation == "relu":
+        out = F.transform(out, lambda v: F.greatest(v, F.lit(0.0)))
+    elif activation:
+        raise ValueError(activation)
+    return df.select(*keep, out.alias("emb"))
 
 
 def gaussian_matrix(rows: int, columns: int, seed: int = 1, density: float = 1.0) -> list[list[float]]:
@@ -159,10 +221,10 @@ def reduce_dims(df: DataFrame, embedding: str, width: int, method: str, dim: int
         mean = df.agg(*[F.avg(F.get(x, F.lit(i))) for i in range(width)]).first()
         shift = [-sum(p * m for p, m in zip(row, mean)) for row in parts]
     else:
-        from pyspark.mllib.linalg import Vectors
         from pyspark.mllib.linalg.distributed import RowMatrix
+        from pyspark.mllib.util import MLUtils
 
-        svd = RowMatrix(rows.select(embedding).rdd.map(lambda r: Vectors.dense(r[0]))).computeSVD(k)
+        svd = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("__v"), "__v")).computeSVD(k)  # Gram matrix in the JVM
         parts, shift = svd.V.toArray().T, [0.0] * k
     out = F.zip_with(project(x, parts.tolist()), F.array(*[F.lit(float(s)) for s in shift[: len(parts)]]), lambda a, b: a + b)
     df = df.withColumn(embedding, out)
@@ -172,12 +234,23 @@ def reduce_dims(df: DataFrame, embedding: str, width: int, method: str, dim: int
     return df.withColumn(embedding, first_k(x, dim))
 
 
-def embed_text(df: DataFrame, column: str, dim: int = 32, prefix: str | None = None) -> DataFrame:
-    """Text features: each distinct value hashed to term frequencies, signed into ``dim`` columns, joined back."""
+def embed_text(df: DataFrame, column: str, dim: int = 32, prefix: str | None = None, hashed: int = 256, reduce: str | None = None, seed: int = 1) -> DataFrame:
+    """Text features: each distinct value hashed to ``dim`` signed term frequencies, joined back.
+
+    With ``reduce``, terms are hashed to ``hashed`` places, and those reduced to
+    ``dim`` by the method, which is fitted on the distinct values.
+    """
     prefix = prefix or f"{column}__txt_"
+    places = hashed if reduce else dim
     values = df.select(F.col(column).alias("__s")).where("__s is not null").distinct()
-    words = values.select("__s", F.explode(F.split(F.lower("__s"), r"\s+")).alias("w"))
-    h = F.xxhash64("w")
-    each = words.select("__s", F.pmod(h, F.lit(dim)).alias("i"), F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
-    wide = each.groupBy("__s").agg(*[F.sum(F.when(F.col("i") == i, F.col("v")).otherwise(0.0)).cast("float").alias(f"{prefix}{i}") for i in range(dim)])
+    bits = F.conv(F.substring(F.md5("w"), 1, 13), 16, 10).cast("long")
+    words = values.select("__s", F.explode(F.split(F.lower("__s"), r"\s+")).alias("w")).withColumn("__h", bits)
+    each = words.select("__s", F.pmod("__h", F.lit(places)).alias("i"), F.when(F.pmod(F.shiftright("__h", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("v"))
+    sums = each.groupBy("__s", "i").agg(F.sum("v").alias("v"))
+    held = F.map_from_entries(F.collect_list(F.struct("i", "v")))  # at most ``places`` entries
+    dense = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda i: F.coalesce(F.element_at("__m", i.cast("long")), F.lit(0.0)))
+    arrays = sums.groupBy("__s").agg(held.alias("__m")).select("__s", dense.alias("__e"))
+    if reduce:
+        arrays = reduce_dims(materialize(arrays, "texts"), "__e", places, reduce, dim, seed)
+    wide = arrays.select("__s", *[F.get("__e", F.lit(i)).cast("float").alias(f"{prefix}{i}") for i in range(dim)])
     return df.join(wide, df[column] == wide["__s"], "left").drop("__s")

@@ -33,10 +33,8 @@ def join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[s
 
 def filter_query(df: DataFrame, condition: str, **values) -> DataFrame:
     """Rows that meet an SQL condition with named parameters ``:name``; null counts as not met."""
-    names = {f"__arg_{k}": F.lit(v) for k, v in values.items()}
-    for k in values:
-        condition = condition.replace(f":{k}", f"__arg_{k}")
-    return df.withColumns(names).where(condition).drop(*names)
+    condition = condition.replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"SELECT * FROM {{__rows}} WHERE {condition}", args=values, __rows=df)
 
 
 def filter_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -83,9 +81,8 @@ def denormalize_names(df: DataFrame, table: str, sep: str = "__") -> DataFrame:
 
 
 def row_slice(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
-    """Rows ``start`` to ``stop`` of a total order, by a range-partitioned top-k rather than a global window."""
-    head = df.orderBy(*order).limit(stop)
-    return head.withColumn("__at", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("__at") >= start).drop("__at")
+    """Rows ``start`` to ``stop`` of a total order; places come from ranges, so no task holds all rows before."""
+    return numbered(df, order, "__at").where((F.col("__at") >= start) & (F.col("__at") < stop)).drop("__at")
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -108,10 +105,16 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
 def union_splits(parts: dict[str, DataFrame], order: list[str], id_col: str = "__task_id") -> DataFrame:
     """Splits one after another, with a contiguous id first and the split as a column."""
     rows = None
-    for i, (name, df) in enumerate(parts.items()):
-        df = df.withColumn("split", F.lit(name)).withColumn("__split_at", F.lit(i))
+    for name, df in parts.items():
+        df = df.withColumn("split", F.lit(name))
         rows = df if rows is None else rows.unionByName(df)
-    out = numbered(rows, ["__split_at", *order], id_col).drop("__split_at")
+    return number_splits(rows, list(parts), order, id_col)
+
+
+def number_splits(rows: DataFrame, splits: list[str], order: list[str], id_col: str = "__task_id") -> DataFrame:
+    """Rows with a column ``split`` in the order of ``splits`` and within them of ``order``, with a contiguous id first."""
+    at = F.array_position(F.array(*[F.lit(s) for s in splits]), F.col("split"))
+    out = numbered(rows.withColumn("__split_at", at), ["__split_at", *order], id_col).drop("__split_at")
     return out.select(id_col, *[c for c in out.columns if c != id_col])
 
 

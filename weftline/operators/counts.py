@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.catalog import Database, Edge
+from weftline.functions.scalar import DAY, micros
 from weftline.session import materialize
 
-DAY = 86_400_000_000
+#: Parts that rows without a key are dealt to.
+NULL_PARTS = 1024
 
 
 def count_name(one: str, many: str, days: int | None = None) -> str:
@@ -28,23 +30,21 @@ def reference_counts(one: DataFrame, one_key: str, many: DataFrame, many_key: st
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in [name, *[f"{name}__{d}d" for d in days]]})
 
 
-def _micros(time: Column) -> Column:
-    return F.unix_micros(time.cast("timestamp"))
-
-
 def counts_as_of(one: DataFrame, one_key: str, one_time: Column, many: DataFrame, many_key: str, many_time: Column, name: str, days: tuple[int, ...] = ()) -> DataFrame:
     """``one`` with the number of ``many`` rows of its key at or before its time, and within ``days`` before it.
 
     One window over both sides' rows instead of a range join: rows of a key
     are sorted once and each count is a running sum, so a key's work is linear
     in its rows and not in its pairs. The range frame includes equal times.
-    Many rows without a time never count; one rows without a time or key get 0.
+    Many rows without a time never count; one rows without a time or key get 0,
+    and those without a key are dealt to tasks by their other columns.
     """
     cols = one.columns
-    left = one.select(F.struct(*cols).alias("__row"), F.col(one_key).alias("__k"), _micros(one_time).alias("__t"), F.lit(0).alias("__n"))
-    right = many.select(F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(many_key).alias("__k"), _micros(many_time).alias("__t"), F.lit(1).alias("__n"))
+    loose = F.when(F.col(one_key).isNull(), F.pmod(F.xxhash64(*[c for c, k in one.dtypes if not k.startswith("map")]), F.lit(NULL_PARTS))).otherwise(0)
+    left = one.select(F.struct(*cols).alias("__row"), F.col(one_key).alias("__k"), loose.alias("__p"), micros(one, one_time).alias("__t"), F.lit(0).alias("__n"))
+    right = many.select(F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(many_key).alias("__k"), F.lit(0).alias("__p"), micros(many, many_time).alias("__t"), F.lit(1).alias("__n"))
     rows = left.union(right.where(F.col("__k").isNotNull() & F.col("__t").isNotNull()))
-    by = Window.partitionBy("__k").orderBy("__t")
+    by = Window.partitionBy("__k", "__p").orderBy("__t")
     sums = {name: F.sum("__n").over(by.rangeBetween(Window.unboundedPreceding, 0))}
     sums |= {f"{name}__{d}d": F.sum("__n").over(by.rangeBetween(-d * DAY + 1, 0)) for d in days}
     none = F.col("__k").isNull() | F.col("__t").isNull()
@@ -61,9 +61,9 @@ def counts_as_of_hot(one: DataFrame, one_key: str, one_time: Column, many: DataF
     totals of the key's earlier buckets, one small row each.
     """
     rows = materialize(one.withColumn("__id", F.monotonically_increasing_id()), "hot")
-    t = _micros(one_time)
+    t = micros(rows, one_time)
     probes = rows.select("__id", F.col(one_key).alias("__k"), F.posexplode(F.array(t, *[t - d * DAY for d in days])).alias("__i", "__t")).withColumn("__n", F.lit(0))
-    hits = many.select(F.lit(None).cast("long").alias("__id"), F.col(many_key).alias("__k"), F.lit(None).cast("int").alias("__i"), _micros(many_time).alias("__t"), F.lit(1).alias("__n"))
+    hits = many.select(F.lit(None).cast("long").alias("__id"), F.col(many_key).alias("__k"), F.lit(None).cast("int").alias("__i"), micros(many, many_time).alias("__t"), F.lit(1).alias("__n"))
     every = probes.union(hits).where(F.col("__k").isNotNull() & F.col("__t").isNotNull()).withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_days * DAY)))
     within = F.sum("__n").over(Window.partitionBy("__k", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0))
     totals = every.groupBy(F.col("__k").alias("__tk"), F.col("__b").alias("__tb")).agg(F.sum("__n").alias("__s"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.algebra import numbered
 
-def _range_of(df: DataFrame, column: str, bins: int) -> Column:
+
+def range_of(df: DataFrame, column: str, bins: int) -> Column:
     """The number of a value's range, ranges being cut at approximate quantiles; nulls are in range 0."""
     cuts = sorted(set(df.approxQuantile(column, [i / bins for i in range(1, bins)], 0.01)))
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col(column))) if cuts else F.lit(0)
 
 
-def _with_offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def with_offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """``df`` with range ``__b`` joined to each sum over the ranges before it; as many rows as ranges are sorted in one place."""
     totals = df.groupBy(F.col("__b").alias("__s")).agg(*[c.alias(k) for k, c in sums.items()])
     before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
@@ -20,16 +22,37 @@ def _with_offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return df.join(F.broadcast(offsets), F.col("__b") == F.col("__s")).drop("__b", "__s")
 
 
-def ordinal_ranks(df: DataFrame, columns: list[str], tie: str, bins: int = 64) -> DataFrame:
+def quantiles(df: DataFrame, column: str, at: dict[str, float], bins: int = 64) -> DataFrame:
+    """One row of exact, interpolated quantiles of a column, nulls aside; null without values.
+
+    Distinct values are counted by ranges, and ranges are offset by those
+    before, so no task holds all values; of each quantile the one or two values
+    beside its place are left.
+    """
+    g = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    g = g.withColumn("__b", range_of(df.select(F.col(column).cast("double").alias("__x")), "__x", bins))
+    upto = Window.partitionBy("__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
+    g = with_offsets(g.withColumn("__below", F.coalesce(F.sum("__n").over(upto), F.lit(0))), {"__o": F.sum("__n")})
+    g = g.withColumn("__below", F.col("__below") + F.col("__o")).crossJoin(F.broadcast(g.agg(F.sum("__n").alias("__all"))))
+    aggs = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("__all") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        held = lambda i: F.when((F.col("__below") <= i) & (i < F.col("__below") + F.col("__n")), F.col("__x"))
+        share = F.max(place - low)
+        aggs.append((F.max(held(low)) * (1 - share) + F.max(held(high)) * share).alias(name))
+    return g.agg(*aggs)
+
+
+def ordinal_ranks(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
     """``df`` with ``rank_<column>``: places from 1 in the order of each column, ties by ``tie``.
 
-    Places run within ranges of values and are offset by the sizes of the
-    ranges before, so no task sorts all rows.
+    Ranges are of (value, tie), so neither all rows nor those of one value are
+    sorted by one task.
     """
     out = df
     for c in columns:
-        out = out.withColumn("__b", _range_of(df, c, bins)).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(c, tie)))
-        out = _with_offsets(out, {"__o": F.count("*")}).withColumn(f"rank_{c}", F.col("__r") + F.col("__o")).drop("__r", "__o")
+        out = numbered(out, [c, tie], f"rank_{c}").withColumn(f"rank_{c}", F.col(f"rank_{c}") + 1)
     return out
 
 
@@ -48,7 +71,12 @@ def regression(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -
         "r2": 1 - sse / (F.var_pop(y) * n), "explained_variance": 1 - F.var_pop(e) / F.var_pop(y),
         "mean_residual": F.avg(e), "median_residual": F.median(e), "n": n,
     }
-    return df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
+    if by:
+        return df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
+    whole = df.agg(*[c.alias(k) for k, c in aggs.items() if not k.startswith("median")])
+    errors = df.select(e.alias("e"), F.abs(e).alias("a"))
+    out = whole.crossJoin(quantiles(errors, "a", {"median_ae": 0.5})).crossJoin(quantiles(errors, "e", {"median_residual": 0.5}))  # single rows
+    return out.select(*aggs)
 
 
 def score_groups(df: DataFrame, label: str, score: str, bins: int = 64) -> DataFrame:
@@ -57,22 +85,22 @@ def score_groups(df: DataFrame, label: str, score: str, bins: int = 64) -> DataF
     Running sums go within ranges of scores, offset by the ranges before.
     """
     g = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    g = g.withColumn("__b", _range_of(df, score, bins))
+    g = g.withColumn("__b", range_of(df, score, bins))
     lower = Window.partitionBy("__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumns({f"__{k}": F.coalesce(F.sum(k).over(lower), F.lit(0)) for k in ("neg", "pos")})
-    g = _with_offsets(g, {"__on": F.sum("neg"), "__op": F.sum("pos")})
+    g = with_offsets(g, {"__on": F.sum("neg"), "__op": F.sum("pos")})
     return g.select(score, "pos", "neg", (F.col("__neg") + F.col("__on")).alias("neg_below"), (F.col("__pos") + F.col("__op")).alias("pos_below"))
 
 
 def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
     """AUROC with ties at half, and average precision, over score groups."""
     g = score_groups(df, label, score)
-    g = g.crossJoin(F.broadcast(g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))))
-    above = F.col("P") - F.col("pos_below")
-    precision = above / (above + F.col("N") - F.col("neg_below"))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("pos").alias("__pos_all"), F.sum("neg").alias("__neg_all"))))
+    above = F.col("__pos_all") - F.col("pos_below")
+    precision = above / (above + F.col("__neg_all") - F.col("neg_below"))
     return g.agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.nullif(F.first("P") * F.first("N"), F.lit(0))).alias("auroc"),
-        (F.sum(F.col("pos") * precision) / F.nullif(F.first("P"), F.lit(0))).alias("ap"),
+        (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.nullif(F.first("__pos_all") * F.first("__neg_all"), F.lit(0))).alias("auroc"),
+        (F.sum(F.col("pos") * precision) / F.nullif(F.first("__pos_all"), F.lit(0))).alias("ap"),
     )
 
 
@@ -99,24 +127,27 @@ def multiclass(df: DataFrame, label: str, pred: str) -> DataFrame:
     )
 
 
-def distribution(x: Column, prefix: str) -> list[Column]:
-    """Extremes, quantiles (interpolated), mean and population deviation."""
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    out = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_pop(x)}
-    out |= {n: F.get(q, F.lit(i)) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))}
-    return [c.alias(f"{prefix}_{k}") for k, c in out.items()]
+PLACES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
+def distribution(df: DataFrame, x: Column, prefix: str) -> DataFrame:
+    """One row: extremes, quantiles (interpolated), mean and population deviation."""
+    values = df.select(x.alias("x"))
+    out = {"min": F.min("x"), "max": F.max("x"), "mean": F.avg("x"), "std": F.stddev_pop("x")}
+    facts = values.agg(*[c.alias(f"{prefix}_{k}") for k, c in out.items()])
+    return facts.crossJoin(quantiles(values, "x", {f"{prefix}_{k}": q for k, q in PLACES.items()}))
 
 
 def target_coverage(train: DataFrame, test: DataFrame, target: str, pred: str) -> DataFrame:
-    """How well the learnt-from targets cover those to predict, and their shape."""
+    """How well the learnt-from targets cover those to predict, and their shape; all parts are single rows."""
     y = F.col(target)
-    a = train.agg(F.count("*").alias("n_train"), *distribution(y, "train"), F.skewness(y).alias("train_skew"), F.kurtosis(y).alias("train_excess_kurtosis"))
+    a = train.agg(F.count("*").alias("n_train"), F.skewness(y).alias("train_skew"), F.kurtosis(y).alias("train_excess_kurtosis")).crossJoin(distribution(train, y, "train"))
     a = a.withColumn("train_abs_z_max", F.greatest(F.col("train_max") - F.col("train_mean"), F.col("train_mean") - F.col("train_min")) / F.nullif(F.col("train_std"), F.lit(0.0)))
-    rows = test.crossJoin(F.broadcast(a.select("train_min", "train_max")))
-    b = rows.agg(
-        F.count("*").alias("n_test"), *distribution(y, "test"), *distribution(F.col(pred), "pred"),
-        F.avg((y < F.col("train_min")).cast("int")).alias("frac_test_below_train_min"), F.avg((y > F.col("train_max")).cast("int")).alias("frac_test_above_train_max"),
-    )
+    ends = train.agg(F.min(y).alias("__min"), F.max(y).alias("__max"))
+    b = test.crossJoin(F.broadcast(ends)).agg(
+        F.count("*").alias("n_test"), F.avg((y < F.col("__min")).cast("int")).alias("frac_test_below_train_min"), F.avg((y > F.col("__max")).cast("int")).alias("frac_test_above_train_max")
+    )
+    b = b.crossJoin(distribution(test, y, "test")).crossJoin(distribution(test, F.col(pred), "pred"))
     b = b.withColumn("frac_test_outside_train_range", F.col("frac_test_below_train_min") + F.col("frac_test_above_train_max"))
     b = b.withColumn("pred_spread_ratio", (F.col("pred_max") - F.col("pred_min")) / F.nullif(F.col("test_max") - F.col("test_min"), F.lit(0.0)))
     return a.crossJoin(b)

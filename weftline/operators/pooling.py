@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.scalar import DAY, micros
+
 
 def asof_pairs(needles: DataFrame, hay: DataFrame, key: str, hay_key: str, time: str | None = None, hay_time: str | None = None) -> DataFrame:
     """Needle rows with the hay rows of their key that are not from their future; a missing time admits."""
@@ -32,6 +36,55 @@ def pool(pairs: DataFrame, by: list[str], embedding: str, how: str, name: str =
     return each.groupBy(*by).agg(F.transform(ordered, lambda s: s["__v"]).alias(name), F.max("__c").alias(count))
 
 
+def _at(x: Column, width: int) -> list[Column]:
+    """The elements of an array, NaN as null."""
+    return [no_nan(F.get(x, F.lit(i)).cast("double")) for i in range(width)]
+
+
+def pool_as_of(needles: DataFrame, hay: DataFrame, how: str, days: int = 30) -> DataFrame:
+    """(id, emb, cnt) for needles (id, key, time): the arrays of the hay rows (key, time, emb) of their key up to their time, pooled.
+
+    A missing time admits, on either side; needles without such rows are left
+    out. No pair is made: within a key and a bucket of time both sides are
+    sorted once and running sums (counts, maxima) go by element, and the sums
+    of the buckets before, one row each, are added. So work is linear in the
+    rows, and a key with any share of them is split by its buckets. Hay
+    without a time is added up by key before it meets anything.
+    """
+    if how not in ("sum", "mean", "max"):
+        raise ValueError(how)
+    width = hay.agg(F.max(F.size("emb"))).first()[0] or 0
+    held = hay.where(F.col("key").isNotNull())
+    bucket = F.floor(F.col("t") / F.lit(days * DAY)).alias("b")
+    points = needles.where("key IS NOT NULL AND time IS NOT NULL").select("id", "key", micros(needles, F.col("time")).alias("t"), F.lit(None).cast("array<double>").alias("emb"), F.lit(0).alias("n"))
+    timed = held.where("time IS NOT NULL").select(F.lit(None).cast(needles.schema["id"].dataType).alias("id"), "key", micros(hay, F.col("time")).alias("t"), F.col("emb").cast("array<double>").alias("emb"), F.lit(1).alias("n"))
+    rows = points.union(timed).select("*", bucket)
+    xs = _at(F.col("emb"), width)
+    merge = F.max if how == "max" else F.sum
+    sums = {f"x{i}": x for i, x in enumerate(xs)} | ({f"c{i}": x.isNotNull().cast("long") for i, x in enumerate(xs)} if how == "mean" else {})
+
+    def add(a: Column, b: Column) -> Column:
+        return F.greatest(a, b) if how == "max" else F.coalesce(a + b, a, b)
+
+    # what a key holds without a time, and in each bucket
+    loose = held.where("time IS NULL").select("key", F.col("emb").cast("array<double>").alias("emb"), F.lit(1).alias("n"))
+    base = loose.groupBy(F.col("key").alias("lk")).agg(F.sum("n").alias("ln"), *[merge(c).alias(f"l_{k}") for k, c in sums.items()])
+    totals = rows.groupBy(F.col("key").alias("tk"), F.col("b").alias("tb")).agg(F.sum("n").alias("tn"), *[merge(c).alias(f"t_{k}") for k, c in sums.items()])
+    before = Window.partitionBy("tk").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("tk", "tb", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("on"), *[merge(f"t_{k}").over(before).alias(f"o_{k}") for k in sums])
+    run = Window.partitionBy("key", "b").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    inside = rows.select("id", "key", "b", F.sum("n").over(run).alias("n"), *[merge(c).over(run).alias(k) for k, c in sums.items()]).where(F.col("id").isNotNull())
+    found = inside.join(offsets, (F.col("key") == F.col("tk")) & (F.col("b") == F.col("tb")))
+    found = found.select("id", "key", (F.col("n") + F.col("on")).alias("n"), *[add(F.col(k), F.col(f"o_{k}")).alias(k) for k in sums])
+    # needles without a time see all of their key
+    whole = totals.groupBy(F.col("tk").alias("key")).agg(F.sum("tn").alias("n"), *[merge(f"t_{k}").alias(k) for k in sums])
+    ends = needles.where("key IS NOT NULL AND time IS NULL").select("id", "key").join(whole, "key", "left").select("id", "key", F.coalesce("n", F.lit(0)).alias("n"), *sums)
+    every = found.unionByName(ends).join(base, F.col("key") == F.col("lk"), "left")
+    every = every.select("id", (F.col("n") + F.coalesce("ln", F.lit(0))).alias("cnt"), *[add(F.col(k), F.col(f"l_{k}")).alias(k) for k in sums]).where("cnt > 0")
+    out = {"sum": lambda i: F.coalesce(F.col(f"x{i}"), F.lit(0.0)), "max": lambda i: F.col(f"x{i}"), "mean": lambda i: F.col(f"x{i}") / F.nullif(F.col(f"c{i}"), F.lit(0))}[how]
+    return every.select("id", F.array(*[out(i) for i in range(width)]).cast("array<double>").alias("emb"), "cnt")
+
+
 def combine(own: Column, other: Column, how: str, weight: float = 1.0) -> Column:
     """Element-wise sum, max or mean of an array and a weighted other one; what is missing on one side is taken from the other."""
     def two(a: Column, b: Column) -> Column:
@@ -43,16 +96,24 @@ def combine(own: Column, other: Column, how: str, weight: float = 1.0) -> Column
 
 
 def layer_norm(x: Column, width: int = 128, eps: float = 1e-5) -> Column:
-    """Arrays normalised to mean 0 and variance 1 in consecutive blocks of ``width``."""
+    """Arrays normalised to mean 0 and variance 1 in consecutive blocks of ``width``.
+
+    A block's sums, then its mean and deviation, are bound before its elements
+    are mapped: work in proportion to the width.
+    """
     blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1), lambda b: F.slice(x, b * width + 1, width))
+    add = lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"))
 
-    def norm(block: Column) -> Column:
-        n = F.size(block)
-        sums = F.aggregate(block, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
-        mean = sums["s"] / n
-        return F.transform(block, lambda v: (v - mean) / F.sqrt(sums["q"] / n - mean * mean + F.lit(eps)))
+    def sums(block: Column) -> Column:
+        both = F.aggregate(block, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), add)
+        return F.struct(block.alias("x"), F.size(block).alias("n"), both.alias("t"))
 
-    return F.flatten(F.transform(blocks, norm))
+    def moments(b: Column) -> Column:
+        mean = b["t"]["s"] / b["n"]
+        return F.struct(b["x"].alias("x"), mean.alias("m"), F.sqrt(b["t"]["q"] / b["n"] - mean * mean + F.lit(eps)).alias("d"))
+
+    norm = lambda b: F.transform(b["x"], lambda v: (v - b["m"]) / b["d"])
+    return F.flatten(F.transform(F.transform(F.transform(blocks, sums), moments), norm))
 
 
 def first_k(x: Column, k: int) -> Column:
@@ -61,9 +122,12 @@ def first_k(x: Column, k: int) -> Column:
 
 
 def project(x: Column, matrix: list[list[float]]) -> Column:
-    """A literal matrix, one row per output element, times an array; stays in the JVM."""
-    dot = lambda row: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in row]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.array(*[dot(row) for row in matrix])
+    """A literal matrix, one row per output element, times an array; stays in the JVM.
+
+    The matrix is one constant of the plan, however wide.
+    """
+    rows = F.from_json(F.lit(json.dumps(matrix)), "array<array<double>>")
+    return F.transform(rows, lambda row: F.aggregate(F.zip_with(x, row, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
 
 def sign_matrix(rows: int, columns: int, seed: int = 1) -> list[list[float]]:

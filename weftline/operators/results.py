@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scalar import argmax, ensemble_proba
+from weftline.functions.scalar import argmax, bind, ensemble_proba, total
 
 KEYS = ["key", "cutoff_timestamp"]
 
@@ -123,13 +123,18 @@ def value_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def rowwise(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """Statistics across the columns of each row, nulls aside; no aggregation, so no shuffle."""
     a = F.array_sort(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull()))
-    df = df.withColumn("__a", a).withColumn("n", F.size("__a"))
-    total = F.aggregate("__a", F.lit(0.0), lambda s, v: s + v)
-    df = df.withColumn("sum", total).withColumn("mean", F.col("sum") / F.nullif(F.col("n"), F.lit(0)))
-    half = F.floor((F.col("n") - 1) / 2).cast("int")
-    df = df.withColumn("median", (F.get("__a", half) + F.get("__a", F.floor(F.col("n") / 2).cast("int"))) / 2)
-    sq = F.aggregate("__a", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean")))
-    return df.withColumn("std", F.sqrt(sq / F.nullif(F.col("n") - 1, F.lit(0)))).select(*keep, "n", "sum", "mean", "median", "std")
+    at = lambda t, i: F.get(t["a"], i.cast("int"))
+    first = lambda a: F.struct(a.alias("a"), F.size(a).alias("n"), total(a).alias("sum"))
+
+    def second(t: Column) -> Column:
+        median = (at(t, F.floor((t["n"] - 1) / 2)) + at(t, F.floor(t["n"] / 2))) / 2
+        return F.struct(t["a"].alias("a"), t["n"].alias("n"), t["sum"].alias("sum"), (t["sum"] / F.nullif(t["n"], F.lit(0))).alias("mean"), median.alias("median"))
+
+    def third(t: Column) -> Column:
+        sq = F.aggregate(t["a"], F.lit(0.0), lambda s, v: s + (v - t["mean"]) * (v - t["mean"]))
+        return F.struct(t["n"].alias("n"), t["sum"].alias("sum"), t["mean"].alias("mean"), t["median"].alias("median"), F.sqrt(sq / F.nullif(t["n"] - 1, F.lit(0))).alias("std"))
+
+    return df.select(*keep, bind(a, lambda a: bind(first(a), lambda t: bind(second(t), third))).alias("__r")).select(*keep, "__r.*")
 
 
 def disambiguate(df: DataFrame, name: str, extra: Column, out: str = "label") -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.scalar import micros, recency_score, uniform
+from weftline.operators.metrics import quantiles, range_of
+from weftline.session import materialize
+
 
 def top_per_key(df: DataFrame, key: str, score: Column, k: int, tie: str) -> DataFrame:
     """The k best rows of every key; ranks prune before the shuffle."""
@@ -20,15 +24,18 @@ def top(df: DataFrame, score: Column, k: int, tie: str) -> DataFrame:
 def train_sample(train: DataFrame, test: DataFrame, key: str, id_col: str, score: str, size: int, anchor_fraction: float = 0.0, restrict: bool = True, fill_from_test_keys: bool = False) -> DataFrame:
     """Rows to learn from: anchors of the test entities first, then the best-scored rest up to ``size``.
 
-    The size is soft: anchors are never dropped. Only counts come to the driver.
+    The size is soft: anchors are never dropped. Only counts come to the driver;
+    the anchors are written, as they are counted, left out and kept.
     """
+    if not fill_from_test_keys and train.limit(size + 1).count() <= size:
+        return train
     if not restrict:
         return top(train, F.col(score), size, id_col)
     keys = test.select(F.col(key).alias("__key")).where(F.col("__key").isNotNull()).distinct()
     n_keys = keys.count()
     own = train.join(keys, train[key] == keys["__key"], "left_semi")
     per_key = max(1, round(size * anchor_fraction / n_keys)) if anchor_fraction > 0 and n_keys else 0
-    anchors = top_per_key(own, key, F.col(score), per_key, id_col) if per_key else own.limit(0)
+    anchors = materialize(top_per_key(own, key, F.col(score), per_key, id_col), "anchors") if per_key else own.limit(0)
     held = anchors.count() if per_key else 0
     if size <= held:
         return anchors
@@ -63,16 +70,43 @@ def median_step(df: DataFrame, time: str) -> DataFrame:
     Days are the window's partitions; only each day's first and last time meet
     in the small second window, so no task gets all times.
     """
-    t = df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t")).where("t is not null").distinct()
+    t = df.select(micros(df, F.col(time)).alias("t")).where("t is not null").distinct()
     t = t.withColumn("d", F.floor(F.col("t") / 86_400_000_000))
     inside = t.withColumn("b", F.lag("t").over(Window.partitionBy("d").orderBy("t")))
     days = t.groupBy("d").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     across = days.withColumn("b", F.lag("last").over(Window.orderBy("d"))).select(F.col("first").alias("t"), "b")
-    return inside.select("t", "b").union(across).where("b is not null").agg(F.median((F.col("t") - F.col("b")) / 1e6).alias("median_step_s"))
+    gaps = inside.select("t", "b").union(across).where("b is not null").select(((F.col("t") - F.col("b")) / 1e6).alias("gap"))
+    return quantiles(gaps, "gap", {"median_step_s": 0.5})
+
 
+def stratified_split(df: DataFrame, label: str, order: Column, tie: str, train_percent: int = 80, bins: int = 64) -> DataFrame:
+    """A column ``split``: the given percent of every label's rows are train, the rest test.
 
-def stratified_split(df: DataFrame, label: str, order: Column, tie: str, train_percent: int = 80) -> DataFrame:
-    """A column ``split``: the given percent of every label's rows are train, the rest test."""
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(order, tie))
-    return df.withColumn("split", F.when(100 * rank <= train_percent * F.count("*").over(by), "train").otherwise("test"))
+    Places go within ranges of the order, offset by the label's ranges before,
+    so that a label of many rows is no one task's.
+    """
+    df = df.withColumn("__order", order)
+    df = df.withColumn("__b", range_of(df, "__order", bins))
+    sizes = df.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__s")).agg(F.count("*").alias("__n"))
+    of = Window.partitionBy("__l")
+    before = of.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__l", "__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"), F.sum("__n").over(of).alias("__all"))
+    rank = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__order", tie))
+    out = df.withColumn("__r", rank).join(sizes, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__s")))
+    split = F.when(100 * (F.col("__r") + F.col("__o")) <= train_percent * F.col("__all"), "train").otherwise("test")
+    return out.withColumn("split", split).drop("__order", "__b", "__r", "__l", "__s", "__o", "__all")
+
+
+def recency_scores(df: DataFrame, key: str, time: str, half_life_steps: float | None, name: str = "score", seed: int = 0) -> DataFrame:
+    """``df`` with scores whose top k is a sample without replacement, weighted by recency in steps of the median gap of times.
+
+    Without a half-life, or with at most one distinct time, which leaves no gap
+    to measure and makes all rows equally recent, scores are uniform draws.
+    """
+    t = micros(df, F.col(time)) / 1e6
+    stamps = df.select(t.alias("t")).where("t IS NOT NULL").agg(F.min("t").alias("a"), F.max("t").alias("b")).first() if half_life_steps else None
+    if stamps is None or stamps.a == stamps.b:
+        return df.withColumn(name, uniform(F.col(key), seed))
+    step = median_step(df, time).first()[0]
+    age = (F.lit(float(stamps.b)) - t) / F.lit(float(step))
+    return df.withColumn(name, recency_score(F.col(key), age, F.lit(float(half_life_steps)), seed))

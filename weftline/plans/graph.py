@@ -20,6 +20,11 @@ def layers(db: Database, start: str) -> list[list[str]]:
         out.append(new)
 
 
+def distances(db: Database, start: str) -> dict[str, int]:
+    """Tables within reach of ``start`` by their distance."""
+    return {t: i for i, layer in enumerate(layers(db, start)) for t in layer}
+
+
 def drop_unreachable(db: Database, start: str) -> Database:
     held = {t for layer in layers(db, start) for t in layer}
     return Database({n: r for n, r in db.tables.items() if n in held}, tuple(e for e in db.edges if e.source in held))
@@ -30,7 +35,7 @@ def inference_dag(db: Database, start: str, shortest: bool = False) -> list[Edge
 
     A cycle, which references within a layer can make, falls back on ``shortest``.
     """
-    at = {t: i for i, layer in enumerate(layers(db, start)) for t in layer}
+    at = distances(db, start)
     out = []
     for e in db.edges:
         if e.source not in at or e.source == e.target:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import Database, Edge
 from weftline.operators.algebra import effective_time
-from weftline.operators.pooling import asof_pairs, combine, pool
+from weftline.operators.pooling import combine, pool, pool_as_of
 from weftline.plans.graph import inference_dag, topological
 from weftline.session import materialize
 
@@ -37,14 +37,23 @@ def relevance(db: Database, task: str, rows: DataFrame, row_id: str = "__row") -
 
 
 def pool_edge(db: Database, edge: Edge, embeddings: DataFrame, how: str, row_id: str = "__row", future: bool = False) -> DataFrame:
-    """(row, emb, cnt): the embeddings of the rows an edge leads to, pooled for each row it starts from."""
+    """(row, emb, cnt): the embeddings of the rows an edge leads to, pooled for each row it starts from.
+
+    Where both sides have times, running sums by key and time; else the far
+    rows are pooled by key and then meet the near ones. Either way no pair of
+    rows is made.
+    """
     a, b = db.tables[edge.source], db.tables[edge.target]
-    near = a.df.select(F.col(row_id).alias("__n"), F.col(edge.source_col).alias("__nk"), *([effective_time(list(a.times)).alias("__nt")] if a.times else []))
-    far = b.df.select(F.col(row_id).alias("__h"), F.col(edge.target_col).alias("__hk"), *([effective_time(list(b.times)).alias("__ht")] if b.times else []))
-    far = far.join(embeddings.select(F.col(row_id).alias("__e"), "emb"), F.col("__h") == F.col("__e"))
-    timed = a.times and b.times and not future
-    pairs = asof_pairs(near, far, "__nk", "__hk", "__nt" if timed else None, "__ht" if timed else None)
-    return pool(pairs.select(F.col("__n").alias(row_id), "emb"), [row_id], "emb", how)
+    timed = bool(a.times and b.times) and not future
+    time = lambda r: [effective_time(list(r.times)).alias("time")] if timed else []
+    near = a.df.select(F.col(row_id).alias("id"), F.col(edge.source_col).alias("key"), *time(a))
+    far = b.df.select(F.col(row_id).alias("__h"), F.col(edge.target_col).alias("key"), *time(b))
+    far = far.join(embeddings.select(F.col(row_id).alias("__e"), "emb"), F.col("__h") == F.col("__e")).drop("__h", "__e")
+    if timed:
+        out = pool_as_of(near, far, how)
+    else:
+        out = near.join(pool(far.where("key IS NOT NULL"), ["key"], "emb", how), "key").drop("key")
+    return out.withColumnRenamed("id", row_id)
 
 
 def propagate(db: Database, task: str, features: dict[str, DataFrame], how: str = "mean", weight: float = 1.0, row_id: str = "__row") -> DataFrame:

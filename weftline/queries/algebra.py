@@ -34,7 +34,7 @@ def splits(t: Tables) -> dict[str, DataFrame]:
 
 
 def task_of(t: Tables, dry_run: bool = False):
-    return files.load_task(files.load_database(t.spark, t.folder, SPEC), splits(t), ("c_custkey", "customer", "c_custkey"), "cutoff", "label", dry_run=dry_run)
+    return files.load_task(files.load_database(t.spark, t.folder, SPEC), task_rows(t).drop("target"), ("c_custkey", "customer", "c_custkey"), "cutoff", "label", dry_run=dry_run)
 
 
 @query(f"WITH {TASK_SQL} SELECT task_id AS __task_id, c_custkey, cutoff, label, split FROM task")
@@ -280,11 +280,10 @@ def sample_topk(t):
     return sampling.top(t.orders, F.col("o_totalprice"), 100, "o_orderkey").select("o_orderkey")
 
 
-_U1 = "(((k % 2147483647) * 48271 + 1 * 40692) % 2147483647)"
-_U = f"((CAST(({_U1} * 48271 + 12345) % 2147483647 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(2147483647 AS DOUBLE))"
+_U = "((CAST(('0x' || substr(md5('0:' || o_orderkey), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
 
 
-@query(f"SELECT o_orderkey, round(-ln(-ln({_U.replace('k %', 'o_orderkey %')})) - date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') / CAST(180 AS DOUBLE) * CAST(0.6931471805599453 AS DOUBLE), 6) + 0 AS score FROM orders")
+@query(f"SELECT o_orderkey, round(-ln(-ln({_U})) - date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') / CAST(180 AS DOUBLE) * CAST(0.6931471805599453 AS DOUBLE), 6) + 0 AS score FROM orders")
 def recency_score(t):
     age = F.date_diff(F.lit("2001-08-01").cast("timestamp_ntz"), F.col("o_orderdate"))
     return t.orders.select("o_orderkey", r6(scalar.recency_score(F.col("o_orderkey"), age, F.lit(180.0))).alias("score"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline import models
-from weftline.catalog import Database, Edge, Rel
+from weftline.catalog import Database, Edge, Rel, Task
 from weftline.operators.algebra import numbered
-from weftline.plans import graph, inference, rewrite
+from weftline.operators.pooling import sign_bit
+from weftline.plans import graph, inference, predictor, rewrite
 from weftline.queries.algebra import SPEC, task_of
 from weftline.queries.base import TASK_SQL, query, r6, task_rows
+from weftline.session import materialize
 from weftline.sources import files
 
 
@@ -32,24 +34,26 @@ def rewrite_pull_fk(t):
     return db.tables["orders"].df.select("orders__o_orderkey", "customer__c_custkey", "nation__n_name", "region__r_name")
 
 
-def _junction(t, orders) -> Database:
-    """Links of ``orders`` and suppliers, both of which keep references of their own."""
+def _junction(t, link) -> Database:
+    """Links of orders and suppliers, both of which keep references of their own."""
     db = files.load_database(t.spark, t.folder, {k: SPEC[k] for k in ("orders", "customer", "nation", "supplier", "region")})
-    link = orders.select(F.col("o_orderkey").alias("k_order"), (F.col("o_orderkey") % 50 + 1).alias("k_supp"))
     task = Rel("task", t.nation.select(F.col("n_nationkey").alias("t_nation")))
     return rewrite.normalize(db.replace(Rel("link", link), task, edges=(*db.edges, Edge("link", "k_order", "orders", "o_orderkey"), Edge("link", "k_supp", "supplier", "s_suppkey"), Edge("task", "t_nation", "nation", "n_nationkey"))))
 
 
-@query("""WITH link AS (SELECT o_orderkey AS k_order, o_orderkey % 50 + 1 AS k_supp FROM orders WHERE o_orderkey % 7 = 0)
-SELECT 'a' AS side, k_order AS key, s_name AS other FROM link LEFT JOIN supplier ON s_suppkey = k_supp UNION ALL SELECT 'b', k_supp, o_orderpriority FROM link LEFT JOIN orders ON o_orderkey = k_order""")
+def _junction_sql(links: str) -> str:
+    return f"""WITH link AS ({links})
+SELECT 'a' AS side, k_order AS key, s_name AS other FROM link LEFT JOIN supplier ON s_suppkey = k_supp UNION ALL SELECT 'b', k_supp, o_orderpriority FROM link LEFT JOIN orders ON o_orderkey = k_order"""
+
+
+@query(_junction_sql("SELECT o_orderkey AS k_order, o_orderkey % 50 + 1 AS k_supp FROM orders"))
 def rewrite_junction(t):
-    return _linked(_junction(t, t.orders.where("o_orderkey % 7 = 0")))
+    return _linked(_junction(t, t.orders.select(F.col("o_orderkey").alias("k_order"), (F.col("o_orderkey") % 50 + 1).alias("k_supp"))))
 
 
-@query("""WITH link AS (SELECT o_orderkey AS k_order, o_orderkey % 50 + 1 AS k_supp FROM orders)
-SELECT 'a' AS side, k_order AS key, s_name AS other FROM link LEFT JOIN supplier ON s_suppkey = k_supp UNION ALL SELECT 'b', k_supp, o_orderpriority FROM link LEFT JOIN orders ON o_orderkey = k_order""")
+@query(_junction_sql("SELECT l_orderkey AS k_order, l_suppkey AS k_supp FROM lineitem"))
 def rewrite_junction_whole(t):
-    return _linked(_junction(t, t.orders))
+    return _linked(_junction(t, t.lineitem.select(F.col("l_orderkey").alias("k_order"), F.col("l_suppkey").alias("k_supp"))))
 
 
 def _linked(db: Database):
@@ -90,9 +94,9 @@ def _tasked(t, rows) -> Database:
     return Database({"task": task, "customer": customer, "orders": orders}, edges)
 
 
-def _small(t) -> Database:
-    """The task on some customers at one cutoff, as the SQL of two queries has it."""
-    return _tasked(t, task_rows(t).where("split = 'test' AND c_custkey % 20 = 0"))
+def _last(t) -> Database:
+    """The task on all customers at the last cutoff."""
+    return _tasked(t, task_rows(t).where("split = 'test'"))
 
 
 def _relevant(db: Database):
@@ -105,9 +109,9 @@ def _relevant(db: Database):
     return out
 
 
-@query("SELECT 'customer' AS t, count(*) AS n FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey % 20 = 0 UNION ALL SELECT 'task', count(*) FROM customer WHERE c_custkey % 20 = 0")
+@query("SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders SEMI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'task', count(*) FROM customer")
 def relevance(t):
-    return _relevant(_small(t))
+    return _relevant(_last(t))
 
 
 @query(f"WITH {TASK_SQL} SELECT 'customer' AS t, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders SEMI JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'task', count(*) FROM task")
@@ -124,9 +128,9 @@ def _propagated(db: Database):
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_custkey, CASE WHEN m IS NULL THEN c_acctbal ELSE (c_acctbal + m) / 2 END AS x FROM customer LEFT JOIN o ON k = c_custkey)
-SELECT c_custkey AS t_cust, round((0 + x) / 2, 8) + 0 AS x FROM c WHERE c_custkey % 20 = 0""")
+SELECT c_custkey AS t_cust, round((0 + x) / 2, 8) + 0 AS x FROM c""")
 def propagate_embeddings(t):
-    return _propagated(_small(t)).select("t_cust", "x")
+    return _propagated(_last(t)).select("t_cust", "x")
 
 
 @query(f"""WITH {TASK_SQL}, o AS (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY 1), c AS (SELECT c_custkey, CASE WHEN m IS NULL THEN c_acctbal ELSE (c_acctbal + m) / 2 END AS x FROM customer LEFT JOIN o ON k = c_custkey)
@@ -151,8 +155,9 @@ def _features(t):
 
     rows = counts_as_of(task_rows(t), "c_custkey", F.col("cutoff"), t.orders, "o_custkey", F.col("o_orderdate"), "n", (90, 365))
     rows = rows.join(t.customer.select(F.col("c_custkey").alias("__c"), "c_acctbal", "c_mktsegment"), F.col("c_custkey") == F.col("__c")).drop("__c")
+    rows = materialize(rows, "rows")
     v = models.Vectorizer(exclude=("c_custkey", "split", "label", "target")).fit(rows)
-    x = v.transform(rows, keep=("c_custkey", "split", "label", "target"))
+    x = materialize(v.transform(rows, keep=("c_custkey", "split", "label", "target")), "features")
     names = [c for c in x.columns if c not in ("c_custkey", "split", "label", "target")]
     return x, names
 
@@ -175,3 +180,50 @@ def predict_regression(t):
 def extract_embeddings(t):
     x, names = _features(t)
     return models.extract(x.where("split = 'test'"), names, 8, ["c_custkey"])
+
+
+def _fused_task(t) -> Task:
+    orders = Rel("orders", t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), ("o_orderkey",), ("o_orderdate",))
+    customer = Rel("customer", t.customer.select("c_custkey", "c_acctbal"), ("c_custkey",))
+    db = Database({"customer": customer, "orders": orders}, (Edge("orders", "o_custkey", "customer", "c_custkey"),))
+    return files.load_task(db, task_rows(t).drop("target"), ("c_custkey", "customer", "c_custkey"), "cutoff", "label")
+
+
+FUSED = predictor.Settings(dim=1, activation=None, train_rows=1 << 40, context_rows=1 << 40)
+_ORDER_FEATURES = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "hour(o_orderdate)", "epoch(o_orderdate)", "o_totalprice")
+_TASK_FEATURES = ("year(cutoff)", "epoch(cutoff)", "c_acctbal", "refs", "cnt", "ctx")
+
+
+@query(f"""WITH {TASK_SQL}, o AS (SELECT o_custkey, o_orderdate, {", ".join(f"CAST({x} AS FLOAT)::DOUBLE AS x{i}" for i, x in enumerate(_ORDER_FEATURES))} FROM orders),
+s AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(6))} FROM o),
+e AS (SELECT o_custkey, o_orderdate, {" + ".join(f"{1 if sign_bit(0, i, 1) else -1} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6))} AS emb FROM o CROSS JOIN s),
+r AS (SELECT o_custkey, count(*) AS refs FROM orders GROUP BY 1),
+c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, avg(emb) AS ctx FROM task JOIN e ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY ALL),
+f AS (SELECT task_id, split, label, {", ".join(f"CAST({x} AS FLOAT)::DOUBLE AS f{i}" for i, x in enumerate(_TASK_FEATURES))}
+  FROM (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, ctx FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff))),
+k AS (SELECT label AS k, ln(count(*) / sum(count(*)) OVER ()) AS prior, {", ".join(f"avg(f{i}) AS a{i}, greatest(var_pop(f{i}), 0.001) AS v{i}" for i in range(6))} FROM f WHERE split <> 'test' GROUP BY label),
+l AS (SELECT task_id, label, k, prior {"".join(f" + coalesce(-(f{i} - a{i}) ** 2 / (2 * v{i}) - ln(2 * pi() * v{i}) / 2, 0)" for i in range(6))} AS z FROM f CROSS JOIN k WHERE split = 'test')
+SELECT task_id AS __task_id, label, CAST(arg_max(k, z) AS INTEGER) AS y_pred, round(sum(CASE WHEN k = 1 THEN exp(z - top) END) / sum(exp(z - top)), 4) + 0 AS p
+FROM (SELECT *, max(z) OVER (PARTITION BY task_id) AS top FROM l) GROUP BY task_id, label""")
+def predict_fused(t):
+    """The whole predictor: rewrites, relevance, extraction, as-of pooling, early fusion, and a closed-form backbone."""
+    out = predictor.predict(_fused_task(t), FUSED, models.BayesBackbone())
+    return out.select("__task_id", "label", "y_pred", (F.round(F.get("proba", F.lit(1)), 4) + F.lit(0.0)).alias("p"))
+
+
+@query()
+def predict_late(t):
+    out = predictor.predict(_fused_task(t), predictor.Settings(fusion="late"))
+    return out.select("__task_id", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))
+
+
+@query()
+def predict_unfused(t):
+    out = predictor.predict(_fused_task(t), predictor.Settings(fusion="none"))
+    return out.select("__task_id", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))
+
+
+@query()
+def predict_layered(t):
+    out = predictor.predict(_fused_task(t), predictor.Settings(layers=2, future=True))
+    return out.select("__task_id", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalog import Database, Edge, Rel, Task
-from weftline.operators.algebra import union_splits
+from weftline.operators.algebra import number_splits, union_splits
 
 PREDICTION_COLUMNS = ["key", "cutoff_timestamp", "y_true", "y_pred", "task_type", "p_pred", "proba"]
 
@@ -23,16 +23,19 @@ def load_database(spark: SparkSession, folder: str, spec: dict[str, dict]) -> Da
     return Database(tables, edges)
 
 
-def load_task(db: Database, splits: dict[str, DataFrame], entity: tuple[str, str, str], time: str, target: str, name: str = "task", kind: str = "binary", dry_run: bool = False) -> Task:
+def load_task(db: Database, splits: dict[str, DataFrame] | DataFrame, entity: tuple[str, str, str], time: str, target: str, name: str = "task", kind: str = "binary", dry_run: bool = False) -> Task:
     """A task over a database: splits as one relation with ids, linked to its entity table.
 
-    A dry run keeps schemas and no rows, but for the evaluation splits.
+    Splits come one by one or as rows with a column ``split``. A dry run keeps
+    schemas and no rows, but for the evaluation splits.
     """
     column, table, key = entity
     if dry_run:
         db = Database({n: r.with_df(r.df.limit(0)) for n, r in db.tables.items()}, db.edges)
-        splits = {n: d.limit(0) if n == "train" else d for n, d in splits.items()}
-    rows = union_splits(splits, [column, time])
+    if isinstance(splits, DataFrame):
+        rows = number_splits(splits.where("split != 'train'") if dry_run else splits, ["train", "val", "test"], [column, time])
+    else:
+        rows = union_splits({n: d.limit(0) if dry_run and n == "train" else d for n, d in splits.items()}, [column, time])
     rel = Rel(name, rows, ("__task_id",), (time,))
     return Task(db.replace(rel, edges=(*db.edges, Edge(name, column, table, key))), name, column, time, target, kind)
 
