@@ -105,8 +105,70 @@ def test_marginals_against_enumeration():
         for n, e in zip(sizes, ends):
             if n:
                 np.testing.assert_allclose(p[e - n : e], plain_marginals(d[e - n : e], start, move), atol=1e-9)
-    mask = np.ones((1, 9), bool)
-    np.testing.assert_allclose(toxicity.chain_marginals(d[None, :9], mask, start, move)[0][0], plain_marginals(d[:9], start, move), atol=1e-9)
+
+
+def plain_loss(field, sizes, tokens, labels, features):
+    """Negative log-likelihood, by summing over all label sequences."""
+    d, out, at = field.odds(features)[tokens], 0.0, 0
+    for n in sizes:
+        x, y = d[at : at + n], labels[at : at + n]
+        score = lambda y: sum(v for v, k in zip(x, y) if k) + field.start * y[0] + sum(field.move[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        if n:
+            out += np.logaddexp.reduce([score([c >> i & 1 for i in range(n)]) for c in range(2**n)]) - score(y)
+        at += n
+    return out
+
+
+def test_slopes_against_differences():
+    r = np.random.default_rng(4)
+    sizes, words = np.array([6, 0, 1, 9]), ["ab", "abc", "zorgle", "", "b"]
+    tokens, labels = r.integers(0, 5, 16), r.integers(0, 2, 16)
+    features = toxicity.buckets(words)
+    weights = np.zeros(toxicity.BUCKETS)
+    weights[np.unique(features)] = r.normal(0, 0.5, len(np.unique(features)))
+    field = toxicity.Field(weights, -0.3, 0.4, r.normal(0, 1, (2, 2)))
+    w, rest = toxicity.slopes(field, sizes, tokens, labels, features)
+    h = 1e-5
+
+    def moved(i=None, j=None, by=0.0):
+        new = toxicity.Field(field.weights.copy(), field.bias, field.start, field.move.copy())
+        if i is not None:
+            new.weights[i] += by
+        elif j == 0:
+            new.bias += by
+        elif j == 1:
+            new.start += by
+        else:
+            new.move[divmod(j - 2, 2)] += by
+        return plain_loss(new, sizes, tokens, labels, features)
+
+    for i in np.unique(features)[::3]:
+        np.testing.assert_allclose(w[i], (moved(i, by=h) - moved(i, by=-h)) / (2 * h), atol=1e-5)
+    for j in range(6):
+        np.testing.assert_allclose(rest[j], (moved(j=j, by=h) - moved(j=j, by=-h)) / (2 * h), atol=1e-5)
+
+
+def test_toxicity_query_against_enumeration(spark):
+    """The whole query on short texts: marginals by all label sequences, then the logistic score."""
+    rows = [(i, " ".join(["zorgle" if i % 4 == 0 and k == 2 else f"w{(i * 7 + k) % 23}" for k in range(2 + i % 7)]), "en", "s") for i in range(400)]
+    docs = make_docs(spark, rows + [(1000, "", "en", "s"), (1001, None, "en", "s")])
+    labels = spark.createDataFrame([(i, 1, int("zorgle" in t)) for i, t, *_ in rows], "doc_id long, quality int, toxic int")
+    field = toxicity.train(docs, labels)
+    got = {x.doc_id: x for x in toxicity.score_documents(docs, labels).collect()}
+    for i, text, *_ in rows[:60]:
+        d = field.odds(toxicity.buckets([toxicity.normal(t) for t in text.split()]))
+        p = plain_marginals(d, field.start, field.move)
+        z = np.clip(np.dot(toxicity.summary(p), field.whole), -30, 30)
+        np.testing.assert_allclose(got[i].score, 1 / (1 + np.exp(-z)), rtol=1e-6)
+        spans = [text[x.start : x.stop] for x in got[i].spans]
+        words = text.split()
+        runs, before = [], -2
+        for k in range(len(words)):
+            if p[k] >= toxicity.SPAN:
+                runs[-1:] = [runs[-1] + " " + words[k]] if before == k - 1 else [*runs[-1:], words[k]]
+                before = k
+        assert spans == runs
+    assert got[1000].score == got[1001].score == 0
 
 
 def test_toxicity_held_out_and_spans(spark):
@@ -141,23 +203,22 @@ def test_rates_match_targets(spark):
     p = r.dirichlet([2, 0.5], 600)
     n = r.integers(1, 500, 600)
     soft = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>")
-    steps = mixing.fit_rates(soft, {"prose": 0.6, "junk": 0.4})
+    steps = mixing.fit_rates(soft, {"prose": 0.6, "junk": 0.4}).steps
     rates = mixing.replay(p, steps)
     share = (rates * n) @ p / n.sum()
     assert (rates >= 0).all()
     np.testing.assert_allclose(share, [0.6, 0.4], atol=2e-4)
-    # the same by plain projected gradient, all rates held
+    # the same by plain projected gradient, all rates held; the first steps, before momentum, are equal
     q, whole = np.ones(600), (p * n[:, None]).T @ p / n.sum()
-    for _ in range(len(steps)):
-        q = np.maximum(0, q - p @ np.linalg.solve(whole + 1e-9 * np.eye(2), (q * n) @ p / n.sum() - [0.6, 0.4]))
-    np.testing.assert_allclose(rates, q, atol=1e-6)
+    q = np.maximum(0, q - p @ np.linalg.solve(whole + 1e-9 * np.eye(2), (q * n) @ p / n.sum() - [0.6, 0.4]))
+    np.testing.assert_allclose(mixing.replay(p, steps[:1]), q, atol=1e-6)
 
 
 def test_unreachable_targets_stay_finite(spark):
     soft = spark.createDataFrame([(10, [1.0, 0.0]), (0, [0.5, 0.5])], "n long, p array<double>")
-    steps = mixing.fit_rates(soft, {"prose": 0.5, "junk": 0.5})
+    steps = mixing.fit_rates(soft, {"prose": 0.5, "junk": 0.5}).steps
     assert np.isfinite(mixing.replay(np.array([[1.0, 0.0], [0.5, 0.5]]), steps)).all()
-    assert mixing.fit_rates(soft.limit(0), {"prose": 1.0}) == []
+    assert mixing.fit_rates(soft.limit(0), {"prose": 1.0}).steps == []
 
 
 def test_mixing_edges(spark, edge_docs, empty_docs, edge_labels):

@@ -175,8 +175,8 @@ def test_packing(spark, edge_docs, empty_docs):
     words = {}
     by_id = {i: s for i, _, _, s in EDGE if i is not None}
     for x in rows:
-        sizes[x.bin_id] += x.n_tokens
-        words[x.doc_id] = words.get(x.doc_id, 0) + x.n_tokens
+        sizes[x.bin_id] += x.n_words
+        words[x.doc_id] = words.get(x.doc_id, 0) + x.n_words
         if by_id.get(x.doc_id):
             sources[x.bin_id, by_id[x.doc_id]] += 1
     assert max(sizes.values()) <= 100 and max(sources.values()) == 1
@@ -214,7 +214,7 @@ def test_topk_against_all_pairs(spark):
 
 def test_threshold_stops_early():
     x = np.random.default_rng(0).integers(-1000, 1000, (3000, 2)).astype(float)
-    lists = topk.Lists(x, np.arange(3000), 1000.0)
+    lists = topk.Lists(x / topk.SCALE, np.arange(3000), False)
     q = np.array([900.0, -800.0])
     scores, ids = lists.top(q, -1)
     want = np.lexsort((np.arange(3000), -(x @ q)))[:10]
