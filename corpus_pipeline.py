@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept.
 Models learn from the labelled documents of ``sf_dir``, outside the held-out
-fold. All stages but the last return the columns of documents.
+fold. All stages but the last return the columns of documents, whatever those
+are named. Lengths are tokens of ``tokens.VOCABULARY``.
+
+Defined results, for all stages: an empty table gives an empty one; a null id
+is a document like any other; rows that repeat are judged alike; with no labels
+to learn from, a stage judges as its docstring says.
 """
 
 from __future__ import annotations
@@ -10,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, mixing, packing, simhash, toxicity
-from weftline.session import materialize, table
+from weftline.llm import langid, mixing, packing, simhash, tokens, toxicity
+from weftline.llm.common import columns_of, unused
+from weftline.session import materialize, release, table
 
 #: A document whose language is less sure than this is rejected.
 LEAST_SURE = 0.5
@@ -22,30 +28,39 @@ TARGETS = {"prose": 0.93, "junk": 0.07}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
-    found = langid.predict(docs, table(spark, sf_dir, "documents"))
-    return found.where((F.col("__lang.lang") != "und") & (F.col("__lang.score") >= LEAST_SURE)).select(*docs.columns)
+    """Documents in a known language.
+
+    Null texts, texts without letters, and texts less sure than ``LEAST_SURE``
+    go; if no document has a language to learn, all do.
+    """
+    name = unused("__lang", docs.columns)
+    found = F.col(name)
+    judged = langid.predict(docs, table(spark, sf_dir, "documents"), name=name)
+    return judged.where((found["lang"] != "und") & (found["score"] >= LEAST_SURE)).select(*columns_of(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic."""
+    """Documents that aren't toxic; null and empty texts aren't, and without toxic labels none is."""
+    name = unused("__toxic", docs.columns)
     field = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.tag(docs, field).where(F.col("__toxic.score") < MOST_TOXIC).select(*docs.columns)
+    return toxicity.tag(docs, field, name).where(F.col(name)["score"] < MOST_TOXIC).select(*columns_of(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component, that with the smallest id; null and wordless texts are copies of one another."""
     return simhash.deduplicate(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target mixture asks for."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), TARGETS)
+    """Documents as often as the target mixture of tokens asks for; without labels all have equal rates, and null texts have no tokens."""
+    labels, learn = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labels, learn, TARGETS, length=tokens.length())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placed parts of documents: bin_id, slot, doc_id, part, n_tokens."""
-    return packing.pack(docs, cluster=packing.text_cluster(F.col("text")))  # near copies are gone, repeats of a row are not
+    """Placed parts of documents: bin_id, slot, doc_id, part, n_tokens; null texts take a slot and no room."""
+    same = packing.text_cluster(F.col("text"))  # near copies are gone, repeats of a row are not
+    return packing.pack(docs, cluster=same, length=tokens.length(), name="n_tokens")
 
 
 STAGES = [("language ID", language_id), ("toxicity", toxic), ("SimHash near-dedup", near_dedup), ("mixing to target weights", mixture), ("best-fit packing", pack)]
@@ -57,6 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "stage")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
