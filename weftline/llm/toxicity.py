@@ -35,7 +35,7 @@ TRAIN_DOCS = 10_000
 #: Lengths of the prefixes that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Share of a marker's documents that are toxic, at least.
-PURE = 0.6
+PURE = 0.5
 #: Buckets that the features of tokens are hashed to.
 BUCKETS = 1 << 18
 #: Passes over the sample, and tasks of a pass; each sends its slopes to the driver, 2 MB.
