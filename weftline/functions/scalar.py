@@ -44,10 +44,12 @@ def fixed_width(name: str, width: int) -> dict[str, Column]:
     return {f"{name}__{i}": F.get(F.col(name), F.lit(i)).cast("float") for i in range(width)}
 
 
-def prose_profile(df: DataFrame, column: str, sample: int = 10_000, order: str | None = None) -> DataFrame:
-    """Of a string column's first ``sample`` non-null values: distinct ones, their mean number of words, and whether it is prose."""
+def prose_profile(df: DataFrame, column: str, sample: int | None = 10_000, order: str | None = None) -> DataFrame:
+    """Of a string column's first ``sample`` non-null values, or of all: distinct ones, their mean number of words, and whether it is prose."""
     rows = df.where(F.col(column).isNotNull())
-    rows = (rows.orderBy(order) if order else rows).limit(sample).select(column).distinct()
+    if sample is not None:
+        rows = (rows.orderBy(order) if order else rows).limit(sample)
+    rows = rows.select(column).distinct()
     out = rows.agg(F.count("*").alias("n_unique"), F.avg(F.regexp_count(column, F.lit(r"\s+")) + 1).alias("mean_words"))
     return out.withColumn("is_prose", (F.col("n_unique") >= 20) & (F.coalesce(F.col("mean_words"), F.lit(0.0)) >= 4))
 

@@ -186,6 +186,13 @@ def gaussian_matrix(rows: int, columns: int, seed: int = 1, density: float = 1.0
     return (m / rows**0.5).tolist()
 
 
+def random_places(width: int, dim: int, seed: int = 1) -> list[int]:
+    """Places of an array drawn without replacement."""
+    import random
+
+    return random.Random(seed).sample(range(width), min(dim, width))
+
+
 def impute_mean(df: DataFrame, embedding: str, width: int) -> DataFrame:
     """Missing elements at the mean of their place."""
     x = lambda i: F.get(embedding, F.lit(i)).cast("double")
@@ -205,9 +212,7 @@ def reduce_dims(df: DataFrame, embedding: str, width: int, method: str, dim: int
         return df.withColumn(embedding, first_k(x, dim))
     df = impute_mean(df, embedding, width)
     if method == "random_k":
-        import random
-
-        at = random.Random(seed).sample(range(width), min(dim, width))
+        at = random_places(width, dim, seed)
         return df.withColumn(embedding, F.array(*[F.get(x, F.lit(i)) for i in at], *[F.lit(0.0)] * (dim - len(at))))
     if method in ("gaussian_random_projection", "sparse_random_projection", "sign_random_projection"):
         m = sign_matrix(dim, width, seed) if method.startswith("sign") else gaussian_matrix(dim, width, seed, 1.0 if method.startswith("gauss") else width**-0.5)

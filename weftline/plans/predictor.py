@@ -65,9 +65,9 @@ class Settings:
     #: Rewrites: counts of references, depth of unrolled junctions.
     refcounts: str | None = "before"
     junction_depth: int = 1
-    #: Rows to learn from, and of a context table, at most.
-    train_rows: int = 50_000
-    context_rows: int = 50_000
+    #: Rows to learn from, and of a context table, at most; None takes all.
+    train_rows: int | None = 50_000
+    context_rows: int | None = 50_000
     anchor_fraction: float = 0.0
     restrict: bool = False
     fill_from_test_keys: bool = False
@@ -102,8 +102,10 @@ def prepare(task: Task, settings: Settings, evaluate: str) -> Prepared:
     rows = materialize(rel.df, "task")
     train = rows.where(F.col(split) == "train") if evaluate == "val" else rows.where(F.col(split) != "test")
     test = rows.where(F.col(split) == evaluate)
-    scored = recency_scores(train, id_col, time, settings.half_life_steps, "__score", settings.seed)
-    sample = train_sample(scored, test, entity, id_col, "__score", settings.train_rows, settings.anchor_fraction, settings.restrict, settings.fill_from_test_keys).drop("__score")
+    sample = train
+    if settings.train_rows is not None:
+        scored = recency_scores(train, id_col, time, settings.half_life_steps, "__score", settings.seed)
+        sample = train_sample(scored, test, entity, id_col, "__score", settings.train_rows, settings.anchor_fraction, settings.restrict, settings.fill_from_test_keys).drop("__score")
     chosen = materialize(sample.withColumn(split, F.lit("train")).unionByName(test.withColumn(split, F.lit("test"))), "chosen")
     tables = {task.table: rel.with_df(chosen.withColumn(ROW, F.col(id_col)))}
     for t, r in db.tables.items():
@@ -132,7 +134,7 @@ def restrict_to_relevant(p: Prepared, settings: Settings) -> Database:
         for e in into:
             part = rows.select(ROW, F.col(e.target_col).cast("string").alias("__key"), F.lit(e.source).alias("__from"))
             links = part if links is None else links.unionByName(part)
-        if links is not None and rows.count() > settings.context_rows:
+        if links is not None and settings.context_rows is not None and rows.count() > settings.context_rows:
             kept = context_sample(links, ["__from", "__key"], ROW, F.xxhash64(ROW, F.lit(settings.seed)), settings.context_rows)
             rows = rows.join(kept, ROW, "left_semi")
         tables[t] = p.db.tables[t].with_df(materialize(rows, "context"))

@@ -6,8 +6,10 @@ rules; what they produce are plans for the optimizer.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from weftline.catalog import SEPARATOR, Database, Edge, Rel
-from weftline.operators.algebra import join
+from weftline.operators.algebra import empirical_keys, join
 from weftline.operators.counts import add_count_features
 from weftline.plans.graph import drop_unreachable, longest_path, neighbours
 
@@ -133,3 +135,94 @@ def join_longest_path(db: Database) -> Rel:
         df = join(out.df, db.tables[b].df, [e.source_col], [e.target_col], "outer")
         out = Rel(f"{out.name}+{b}", df, out.keys, out.times + db.tables[b].times)
     return out
+
+
+def _longest_from(arcs: dict[tuple[str, str], tuple[list[str], list[str]]], starts: list[str]) -> list[str]:
+    """The simple directed path of most tables; of equals the first in order."""
+
+    def walk(path: list[str]) -> list[str]:
+        best = path
+        for a, b in arcs:
+            if a == path[-1] and b not in path:
+                got = walk([*path, b])
+                best = got if len(got) > len(best) else best
+        return best
+
+    return max((walk([n]) for n in starts), key=len, default=[])
+
+
+def join_paths(db: Database, arcs: dict[tuple[str, str], tuple[list[str], list[str]]], start: str | None = None, how: str = "outer") -> Database:
+    """Tables joined along longest paths of ``arcs``, the first from ``start``, until every table is in one; a table is joined once."""
+    left, tables, owner = list(db.tables), {}, {}
+    while left:
+        path = _longest_from({k: v for k, v in arcs.items() if k[0] in left and k[1] in left}, [start] if start in left else left)
+        out = db.tables[path[0]]
+        for a, b in zip(path, path[1:]):
+            on = arcs[a, b]
+            out = Rel(out.name, join(out.df, db.tables[b].df, on[0], on[1], how), out.keys, out.times + db.tables[b].times)
+        name = "+".join(path)
+        tables[name] = Rel(name, out.df, out.keys, out.times)
+        owner |= dict.fromkeys(path, name)
+        left = [t for t in left if t not in path]
+    return Database(tables, tuple(Edge(owner[e.source], e.source_col, owner[e.target], e.target_col, e.type) for e in db.edges))
+
+
+def key_matches(db: Database) -> dict[tuple[str, str], tuple[list[str], list[str]]]:
+    """Pairs of tables that can be joined on what they refer to in common.
+
+    A set of a table's references is a key if no two rows agree in it. Two
+    tables match if what a key of one refers to is part of what a key of the
+    other does; of several keys the first, smaller ones first.
+    """
+    keys: dict[str, list[dict[str, str]]] = {}
+    for name, rel in db.tables.items():
+        refs = [(e.source_col, e.target_col) for e in db.edges if e.source == name]
+        sets = [list(c) for n in range(1, len(refs) + 1) for c in combinations(refs, n)]
+        keys[name] = []
+        if sets:
+            found = {r.cols: r.is_key for r in empirical_keys(rel.df, [[c for c, _ in s] for s in sets]).collect()}  # a row a set
+            keys[name] = [{target: col for col, target in s} for s in sets if found[",".join(c for c, _ in s)]]
+    out = {}
+    for a in keys:
+        for b in keys:
+            match = next(((x, y) for x in keys[a] for y in keys[b] if x.keys() <= y.keys()), None) if a != b else None
+            if match:
+                out[a, b] = (list(match[0].values()), [match[1][t] for t in match[0]])
+    return out
+
+
+def simplify_by_paths(db: Database, task: str) -> Database:
+    """The older way to shrink a schema: joins along references from the task table, then along matching keys, then no self references.
+
+    The task table is the one whose name, a list of joined tables, holds it.
+    """
+    db = normalize(db)
+    arcs = {(e.source, e.target): ([e.source_col], [e.target_col]) for e in db.edges if e.source != e.target}
+    db = join_paths(db, arcs, task)
+    return drop_self_references(join_paths(db, key_matches(db)))
+
+
+def plan_graph(rel: Rel) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, str]]]:
+    """A relation's plan as nodes (id, operation, columns) and edges (input, operation, side); the root has id 0."""
+    nodes: list[tuple[int, str, int]] = []
+    edges: list[tuple[int, int, str]] = []
+
+    def visit(plan) -> int:
+        own = len(nodes)
+        nodes.append((own, plan.nodeName(), plan.output().size()))
+        inputs = plan.children()
+        for i in range(inputs.size()):
+            side = "" if inputs.size() == 1 else ("left", "right")[i] if inputs.size() == 2 else str(i + 1)
+            edges.append((visit(inputs.apply(i)), own, side))
+        return own
+
+    visit(rel.df._jdf.queryExecution().analyzed())
+    return nodes, edges
+
+
+def plan_dot(rel: Rel) -> str:
+    """``plan_graph`` as text for graph tools."""
+    nodes, edges = plan_graph(rel)
+    lines = [f'  n{i} [label="{name} ({columns})"];' for i, name, columns in nodes]
+    lines += [f'  n{a} -> n{b} [label="{side}"];' for a, b, side in edges]
+    return "\n".join([f'digraph "{rel.name}" {{', *lines, "}"])

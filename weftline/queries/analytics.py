@@ -140,11 +140,11 @@ def argmax_proba(t):
 # results
 
 
-@query("""WITH a AS (SELECT s_suppkey AS number, s_acctbal AS value FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT s_suppkey AS number, s_acctbal AS value FROM supplier WHERE s_suppkey % 3 = 0)
+@query("""WITH a AS (SELECT s_suppkey * 30 AS number, s_acctbal AS value FROM supplier), b AS (SELECT p_partkey AS number, p_retailprice AS value FROM part)
 SELECT number, a.value AS value_0, b.value AS value_1 FROM a FULL JOIN b USING (number)""")
 def combine_trials(t):
-    s = t.supplier.select(F.col("s_suppkey").alias("number"), F.col("s_acctbal").alias("value"))
-    return results.full_join_trials([s.where("number % 2 = 0"), s.where("number % 3 = 0")])
+    a = t.supplier.select((F.col("s_suppkey") * 30).alias("number"), F.col("s_acctbal").alias("value"))
+    return results.full_join_trials([a, t.part.select(F.col("p_partkey").alias("number"), F.col("p_retailprice").alias("value"))])
 
 
 @query(f"WITH {SCORES_SQL} SELECT model, task, mae, dense_rank() OVER (PARTITION BY task ORDER BY mae DESC NULLS LAST) AS rank FROM scores")
@@ -217,11 +217,11 @@ def task_labels(t):
     return results.disambiguate(rows, "name", F.col("s_name")).select("s_suppkey", "label")
 
 
-@query("""WITH r AS (SELECT p_brand AS run, p_type AS path, CAST(max(p_size) AS VARCHAR) AS value FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL)
+@query("""WITH r AS (SELECT p_brand AS run, p_type AS path, CAST(max(p_size) AS VARCHAR) AS value FROM part GROUP BY ALL)
 SELECT path, count(DISTINCT value) AS n_values, count(DISTINCT run) AS n_runs, count(DISTINCT run) < (SELECT count(DISTINCT run) FROM r) AS incomplete FROM r GROUP BY path
 HAVING count(DISTINCT value) > 1 OR count(DISTINCT run) < (SELECT count(DISTINCT run) FROM r)""")
 def config_diff(t):
-    rows = t.part.where("p_partkey % 3 != 0").groupBy(F.col("p_brand").alias("run"), F.col("p_type").alias("path")).agg(F.max("p_size").cast("string").alias("value"))
+    rows = t.part.groupBy(F.col("p_brand").alias("run"), F.col("p_type").alias("path")).agg(F.max("p_size").cast("string").alias("value"))
     return scalar.config_diff(rows)
 
 

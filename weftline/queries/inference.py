@@ -189,7 +189,7 @@ def _fused_task(t) -> Task:
     return files.load_task(db, task_rows(t).drop("target"), ("c_custkey", "customer", "c_custkey"), "cutoff", "label")
 
 
-FUSED = predictor.Settings(dim=1, activation=None, train_rows=1 << 40, context_rows=1 << 40)
+FUSED = predictor.Settings(dim=1, activation=None, train_rows=None, context_rows=None)
 _ORDER_FEATURES = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "hour(o_orderdate)", "epoch(o_orderdate)", "o_totalprice")
 _TASK_FEATURES = ("year(cutoff)", "epoch(cutoff)", "c_acctbal", "refs", "cnt", "ctx")
 
@@ -202,7 +202,7 @@ c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, avg(emb) AS ctx FROM task JOI
 f AS (SELECT task_id, split, label, {", ".join(f"CAST({x} AS FLOAT)::DOUBLE AS f{i}" for i, x in enumerate(_TASK_FEATURES))}
   FROM (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, ctx FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff))),
 k AS (SELECT label AS k, ln(count(*) / sum(count(*)) OVER ()) AS prior, {", ".join(f"avg(f{i}) AS a{i}, greatest(var_pop(f{i}), 0.001) AS v{i}" for i in range(6))} FROM f WHERE split <> 'test' GROUP BY label),
-l AS (SELECT task_id, label, k, prior {"".join(f" + coalesce(-(f{i} - a{i}) ** 2 / (2 * v{i}) - ln(2 * pi() * v{i}) / 2, 0)" for i in range(6))} AS z FROM f CROSS JOIN k WHERE split = 'test')
+l AS (SELECT task_id, label, k, prior {"".join(f" + coalesce(0 - (f{i} - a{i}) * (f{i} - a{i}) / (2 * v{i}) - ln(2 * pi() * v{i}) / 2, 0)" for i in range(6))} AS z FROM f CROSS JOIN k WHERE split = 'test')
 SELECT task_id AS __task_id, label, CAST(arg_max(k, z) AS INTEGER) AS y_pred, round(sum(CASE WHEN k = 1 THEN exp(z - top) END) / sum(exp(z - top)), 4) + 0 AS p
 FROM (SELECT *, max(z) OVER (PARTITION BY task_id) AS top FROM l) GROUP BY task_id, label""")
 def predict_fused(t):

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from weftline.operators import studies
 from weftline.operators.pooling import combine, pool
 from weftline.queries.base import PREDS_SQL, SCORES_SQL, TASK_SQL, preds, query, r6, rounded, scores, task_rows
-from weftline.queries.vectors import _arr, _r
+from weftline.queries.vectors import KEYED_SQL, _arr, _r, keyed
 
 
-@query("""WITH tr AS (SELECT o_orderkey AS number, o_orderdate AS start, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS complete FROM orders), te AS (SELECT o_orderkey AS number, o_totalprice AS test FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH tr AS (SELECT o_orderkey AS number, o_orderdate AS start, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS complete FROM orders), te AS (SELECT l_orderkey AS number, max(l_extendedprice) AS test FROM lineitem GROUP BY 1)
 SELECT number, CAST(epoch(complete) - epoch(start) AS DOUBLE) AS duration_s, test FROM tr LEFT JOIN te USING (number)""")
 def trials_with_tests(t):
     tr = t.orders.select(F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR") * (F.col("o_orderkey") % 24).cast("int")).alias("complete"))
-    te = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("number"), F.col("o_totalprice").alias("test"))
+    te = t.lineitem.groupBy(F.col("l_orderkey").alias("number")).agg(F.max("l_extendedprice").alias("test"))
     return studies.trials_with_tests(tr, te).select("number", "duration_s", "test")
 
 
@@ -69,13 +69,13 @@ def ensemble_subsets(t):
 
 def _late(how: str, sql: str):
     def f(t):
-        ctx = pool(t.embeddings.where("label != 3"), ["label"], "embedding", "max", "ctx").drop("cnt")
+        ctx = pool(t.embeddings, ["label"], "embedding", "max", "ctx").drop("cnt")
         own = F.transform("embedding", lambda x: x.cast("double"))
-        return t.embeddings.join(ctx, "label", "left").select("vec_id", _r(combine(own, F.col("ctx"), how)).alias("emb"))
+        return keyed(t.embeddings).join(ctx, "label", "left").select("vec_id", _r(combine(own, F.col("ctx"), how)).alias("emb"))
 
     f.__name__ = f"late_fusion_{how}"
-    query(f"""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label <> 3), a AS (SELECT label, i, max(CAST(x AS DOUBLE)) AS v FROM e GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS ctx FROM a GROUP BY label)
-SELECT vec_id, {_arr(f'CASE WHEN ctx IS NULL THEN embedding ELSE list_transform(list_zip(embedding, ctx), lambda p: {sql}) END')} AS emb FROM embeddings LEFT JOIN c USING (label)""")(f)
+    query(f"""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i, max(CAST(x AS DOUBLE)) AS v FROM e GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS ctx FROM a GROUP BY label)
+SELECT vec_id, {_arr(f'CASE WHEN ctx IS NULL THEN embedding ELSE list_transform(list_zip(embedding, ctx), lambda p: {sql}) END')} AS emb FROM {KEYED_SQL} LEFT JOIN c USING (label)""")(f)
 
 
 for _how, _sql in (("sum", "CAST(p[1] AS DOUBLE) + p[2]"), ("max", "greatest(CAST(p[1] AS DOUBLE), p[2])")):

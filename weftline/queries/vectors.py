@@ -18,6 +18,14 @@ def _r(c):
     return F.transform(c, lambda x: r6(x.cast("double")))
 
 
+#: Embeddings of which some have no key, so that they have no context.
+KEYED_SQL = "(SELECT vec_id, embedding, CASE WHEN vec_id % 7 <> 0 THEN label END AS label FROM embeddings)"
+
+
+def keyed(embeddings):
+    return embeddings.withColumn("label", F.when(F.col("vec_id") % 7 != 0, F.col("label")))
+
+
 @query("SELECT o_orderkey, " + ", ".join(f"CAST({p}(o_orderdate) AS FLOAT) AS o_{p}" for p in ("year", "month", "day", "hour")) + ", CAST(epoch(o_orderdate) AS DOUBLE) AS o_total_seconds FROM orders")
 def datetime_encode(t):
     return t.orders.select("o_orderkey", *[c.alias(k) for k, c in scalar.datetime_parts(F.col("o_orderdate"), "o").items()])
@@ -35,19 +43,23 @@ def array_fixed_width(t):
     return t.embeddings.select("vec_id", F.col("embedding").alias("e")).select("vec_id", *[r6(cols[f"e__{i}"].cast("double")).alias(f"e__{i}") for i in range(62, 67)])
 
 
-@query("""WITH s AS (SELECT DISTINCT text FROM (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 500))
-SELECT count(*) AS n_unique, round(avg(len(regexp_extract_all(text, '\\s+')) + 1), 6) AS mean_words, count(*) >= 20 AND avg(len(regexp_extract_all(text, '\\s+')) + 1) >= 4 AS is_prose FROM s""")
+def _prose_sql(limit: str) -> str:
+    return f"""WITH s AS (SELECT DISTINCT text FROM (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id {limit}))
+SELECT count(*) AS n_unique, round(avg(len(regexp_extract_all(text, '\\s+')) + 1), 6) AS mean_words, count(*) >= 20 AND avg(len(regexp_extract_all(text, '\\s+')) + 1) >= 4 AS is_prose FROM s"""
+
+
+@query(_prose_sql("LIMIT 10000"))
 def prose_profile(t):
-    return rounded(scalar.prose_profile(t.documents, "text", 500, "doc_id"))
+    return rounded(scalar.prose_profile(t.documents, "text", order="doc_id"))
 
 
-@query("""WITH s AS (SELECT DISTINCT text FROM (SELECT text FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 10000))
-SELECT count(*) AS n_unique, round(avg(len(regexp_extract_all(text, '\\s+')) + 1), 6) AS mean_words, count(*) >= 20 AND avg(len(regexp_extract_all(text, '\\s+')) + 1) >= 4 AS is_prose FROM s""")
+@query(_prose_sql(""))
 def prose_profile_whole(t):
-    return rounded(scalar.prose_profile(t.documents, "text", order="doc_id"))
+    return rounded(scalar.prose_profile(t.documents, "text", sample=None))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS w FROM part), h AS (SELECT p_partkey, CAST('0x' || substr(md5(w), 1, 13) AS BIGINT) AS h FROM w)
+SELECT p_partkey, """ + ", ".join(f"CAST(coalesce(sum(CASE WHEN (h >> 32) % 2 = 0 THEN 1 ELSE -1 END) FILTER (h % 16 = {i}), 0) AS FLOAT) AS p_name__txt_{i}" for i in range(16)) + " FROM h GROUP BY p_partkey")
 def text_embed(t):
     return models.embed_text(t.part.select("p_partkey", "p_name"), "p_name", 16).drop("p_name")
 
@@ -82,12 +94,12 @@ def pool_tables(t):
     return pooling.pool(parts[0].unionByName(parts[1]), ["label"], "emb", "mean").withColumn("emb", _r(F.col("emb")))
 
 
-@query(f"""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label <> 3), a AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS v FROM e GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS ctx FROM a GROUP BY label)
-SELECT vec_id, {_arr('CASE WHEN ctx IS NULL THEN embedding ELSE list_transform(list_zip(embedding, ctx), lambda p: (CAST(p[1] AS DOUBLE) + CAST(0.5 AS DOUBLE) * p[2]) / 2) END')} AS emb FROM embeddings LEFT JOIN c USING (label)""")
+@query(f"""WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS v FROM e GROUP BY ALL), c AS (SELECT label, list(v ORDER BY i) AS ctx FROM a GROUP BY label)
+SELECT vec_id, {_arr('CASE WHEN ctx IS NULL THEN embedding ELSE list_transform(list_zip(embedding, ctx), lambda p: (CAST(p[1] AS DOUBLE) + CAST(0.5 AS DOUBLE) * p[2]) / 2) END')} AS emb FROM {KEYED_SQL} LEFT JOIN c USING (label)""")
 def combine_embeddings(t):
-    ctx = pooling.pool(t.embeddings.where("label != 3"), ["label"], "embedding", "mean", "ctx").drop("cnt")
+    ctx = pooling.pool(t.embeddings, ["label"], "embedding", "mean", "ctx").drop("cnt")
     own = F.transform("embedding", lambda x: x.cast("double"))
-    return t.embeddings.join(ctx, "label", "left").select("vec_id", _r(pooling.combine(own, F.col("ctx"), "mean", 0.5)).alias("emb"))
+    return keyed(t.embeddings).join(ctx, "label", "left").select("vec_id", _r(pooling.combine(own, F.col("ctx"), "mean", 0.5)).alias("emb"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x, (i - 1) // 16 AS b FROM e),
@@ -113,31 +125,39 @@ def reduce_sign_rp(t):
     return out.withColumn("emb", _r(F.col("emb")))
 
 
-def _reduce(method: str):
+def _reduce(method: str, sql: str | None = None):
     def f(t):
         rows = t.embeddings.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("emb"))
-        return models.reduce_dims(rows, "emb", 64, method, 8)
+        out = models.reduce_dims(rows, "emb", 64, method, 8)
+        return out.withColumn("emb", _r(F.col("emb"))) if sql else out
 
     f.__name__ = f"reduce_{method}"
-    query()(f)
+    query(sql)(f)
+
 
+def _product_sql(matrix: list[list[float]]) -> str:
+    """Each row of a literal matrix times the embedding."""
+    rows = ", ".join(f"list_inner_product(CAST(embedding AS DOUBLE[]), [{', '.join(f'{x!r}::DOUBLE' for x in row)}])" for row in matrix)
+    return f"SELECT vec_id, {_arr(f'[{rows}]')} AS emb FROM embeddings"
 
-for _m in ("gaussian_random_projection", "sparse_random_projection", "pca", "pca_whiten", "svd", "svd_whiten", "random_k"):
+
+_reduce("gaussian_random_projection", _product_sql(models.gaussian_matrix(8, 64, 1)))
+_reduce("sparse_random_projection", _product_sql(models.gaussian_matrix(8, 64, 1, 64**-0.5)))
+_reduce("random_k", f"SELECT vec_id, {_arr('[' + ', '.join(f'embedding[{i + 1}]' for i in models.random_places(64, 8, 1)) + ']')} AS emb FROM embeddings")
+for _m in ("pca", "pca_whiten", "svd", "svd_whiten"):
     _reduce(_m)
 
 
-@query(f"""WITH f AS (SELECT label, vec_id % 4 AS est, embedding[1:5] AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label, vec_id % 4 ORDER BY vec_id) = 1),
-e AS (SELECT label, est, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM f)
-SELECT label, {_arr('list(x ORDER BY i, est)')} AS emb FROM e GROUP BY label""")
+@query(f"""WITH e AS (SELECT vec_id // 4 AS row, vec_id % 4 AS est, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT row, {_arr('list(x ORDER BY i, est)')} AS emb FROM e GROUP BY row""")
 def merge_estimators(t):
-    first = t.embeddings.groupBy("label", (F.col("vec_id") % 4).alias("est")).agg(F.min_by("embedding", "vec_id").alias("x"))
-    out = pooling.merge_estimators(first.withColumn("x", F.slice("x", 1, 5)), "label", "est", "x")
-    return out.withColumn("emb", _r(F.col("emb")))
+    rows = t.embeddings.select(F.floor(F.col("vec_id") / 4).alias("row"), (F.col("vec_id") % 4).alias("est"), F.col("embedding").alias("x"))
+    return pooling.merge_estimators(rows, "row", "est", "x").withColumn("emb", _r(F.col("emb")))
 
 
-@query("SELECT vec_id, label, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0 AS _ctx_emb_{i}" for i in range(5)) + " FROM embeddings")
+@query("SELECT vec_id, label, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) + 0 AS _ctx_emb_{i}" for i in range(64)) + " FROM embeddings")
 def fuse_early(t):
-    return rounded_floats(pooling.fuse(t.embeddings, "embedding", 5))
+    return rounded_floats(pooling.fuse(t.embeddings, "embedding", 64))
 
 
 def rounded_floats(df):

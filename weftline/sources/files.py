@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+import re
+import sqlite3
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from weftline.catalog import Database, Edge, Rel, Task
 from weftline.operators.algebra import number_splits, union_splits
@@ -63,6 +70,75 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_flow_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One YAML flow mapping per line, such as ``{name: a, y_pred: 0.5, proba: [0.1, 0.9]}``; fields of the schema, null where absent.
+
+    Values are plain, in single or double quotes, or lists of numbers.
+    """
+    kinds = StructType.fromDDL(schema)
+    value = r"""('(?:[^']|'')*'|"(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^,{}\[\]]*)"""
+
+    def field(name: str, kind) -> Column:
+        found = F.trim(F.regexp_extract("value", rf"(?:^\s*\{{|,)\s*['\"]?{re.escape(name)}['\"]?:\s*{value}\s*(?=[,}}])", 1))
+        if isinstance(kind, ArrayType):
+            return F.from_json(F.nullif(found, F.lit("")), kind.simpleString())
+        bare = F.when(found.startswith("'"), F.replace(F.substring(found, F.lit(2), F.length(found) - 2), F.lit("''"), F.lit("'")))
+        bare = bare.when(found.startswith('"'), F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
+        known = F.when((found == "") | found.isin("null", "~"), None).otherwise(bare)
+        return known.cast(kind) if kind.typeName() in ("string", "boolean") else F.when(F.lower(known).isin(".nan", "nan"), F.lit("NaN")).otherwise(known).try_cast(kind)
+
+    return spark.read.text(path).where(F.trim("value") != "").select(*[field(f.name, f.dataType).alias(f.name) for f in kinds])
+
+
+def read_legacy_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of the line format before Parquet, in today's columns; raises where a line isn't a prediction."""
+    schema = "name string, id string, event string, eval_mode string, cutoff_timestamp string, key bigint, y_true double, y_pred double, task_type string, p_pred double, proba array<double>"
+    rows = read_flow_lines(spark, path, schema)
+    if not rows.where("event IS NULL OR event != 'prediction'").isEmpty():
+        raise ValueError("a line is no prediction")
+    return rows.select("name", "id", "eval_mode", *PREDICTION_COLUMNS)
+
+
+def write_flow_lines(df: DataFrame, path: str) -> None:
+    """A row per line as a flow mapping: JSON, which is YAML, with strings in double quotes."""
+    df.select(F.to_json(F.struct(*df.columns))).write.mode("overwrite").text(path)
+
+
+def read_sqlite(spark: SparkSession, paths: list[str], sql: str, schema: str, at_once: int = 10_000) -> DataFrame:
+    """Rows of a query over SQLite files, a task for some files each, with the file as column ``path``.
+
+    The files must lie where all executors can open them; they are opened
+    read-only and stream in batches.
+    """
+    kinds = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(StructType([*kinds.fields, StructField("path", StringType())]))
+
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                    found = db.execute(sql)
+                    while rows := found.fetchmany(at_once):
+                        columns = [*zip(*rows), [path] * len(rows)]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, f"{schema}, path string")
+
+
+#: What a study's trials are, in the tables of the study storage format.
+TRIALS_SQL = """SELECT t.number, t.state, t.datetime_start AS start, t.datetime_complete AS complete, v.value
+FROM trials t JOIN studies s ON s.study_id = t.study_id LEFT JOIN trial_values v ON v.trial_id = t.trial_id AND v.objective = 0
+WHERE s.study_name = '{study}'"""
+
+
+def read_trials(spark: SparkSession, paths: list[str], study: str) -> DataFrame:
+    """A study's trials from SQLite files: number, state, start, complete, duration_s (null while a trial runs), value, path."""
+    rows = read_sqlite(spark, paths, TRIALS_SQL.format(study=study.replace("'", "''")), "number bigint, state string, start string, complete string, value double")
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "complete")}
+    seconds = F.unix_micros(F.col("complete").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    return rows.withColumns(times).withColumn("duration_s", seconds / 1e6)
+
+
 def read_objects(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """One JSON object per file; raises where a required field is missing."""
     df = spark.read.schema(schema).option("multiLine", True).json(path)
