@@ -147,3 +147,25 @@ def test_quantiles_and_splits_without_a_task_of_all_rows(spark):
         own = sorted((x for x in split if x.l == label), key=lambda x: (x.v is not None, x.v, x.i))
         assert [x.split for x in own] == ["train" if 100 * (k + 1) <= 70 * len(own) else "test" for k in range(len(own))]
     assert [x.i for x in algebra.row_slice(df, ["i"], 100, 105).orderBy("i").collect()] == [100, 101, 102, 103, 104]
+
+
+def test_no_scratch_on_one_machine_of_a_cluster():
+    from types import SimpleNamespace as N
+
+    from weftline.session import shared_dir
+
+    context = N(master="spark://somewhere:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False, isEmpty=lambda: True))))
+    with pytest.raises(RuntimeError):
+        shared_dir(N(sparkContext=context, conf=N(get=lambda *_: None)))
+
+
+def test_released_steps_are_gone(spark):
+    import os
+
+    from weftline.session import materialize, release
+
+    df = materialize(spark.range(3))
+    path = df._weftline_path
+    assert os.path.isdir(path)
+    release(df, df)
+    assert not os.path.exists(path)
