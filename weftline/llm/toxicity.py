@@ -32,13 +32,15 @@ from weftline.session import materialize, release
 
 #: Labelled documents to learn from, at most; those with the smallest id hashes.
 TRAIN_DOCS = 10_000
+#: Those of them whose whole texts the field is fitted to, at most.
+FIELD_DOCS = 3_000
 #: Lengths of the prefixes that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Share of a marker's documents that are toxic, at least.
 PURE = 0.5
-#: Buckets that the features of tokens are hashed to.
-BUCKETS = 1 << 18
-#: Passes over the sample, and tasks of a pass; each sends its slopes to the driver, 2 MB.
+#: Buckets that the features of tokens are hashed to; their weights travel with each pass, half a MB.
+BUCKETS = 1 << 17
+#: Passes over the sample, and tasks of a pass; each sends its slopes to the driver, half a MB.
 ROUNDS, PARTS = 40, 8
 #: Chance markers to expect among all tried.
 CHANCE = 0.05
@@ -147,7 +149,7 @@ class Field:
 
     def odds(self, features: np.ndarray) -> np.ndarray:
         """Log odds of label 1 against 0 from tokens alone, given the buckets of each."""
-        return np.clip(self.weights[features].sum(1) + self.bias, -30, 30)
+        return np.clip(self.weights[features].sum(1, dtype=float) + self.bias, -30, 30)
 
 
 def slopes(field: Field, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ def slopes(field: Field, sizes: np.ndarray, tokens: np.ndarray, labels: np.ndarr
 
 def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, l2: float = 0.02, parts: int = PARTS) -> Field:
     """Maximum likelihood with a small ridge, by Adagrad over ``sequences``; a pass a round, slopes added up in tasks."""
-    field = Field(np.zeros(BUCKETS), -2.0, 0.0, np.zeros((2, 2)))
+    field = Field(np.zeros(BUCKETS, np.float32), -2.0, 0.0, np.zeros((2, 2)))
     sq_w, sq = np.full(BUCKETS, 1e-6), np.full(6, 1e-6)
     rows = rows.coalesce(parts)
     for _ in range(rounds):
@@ -184,16 +186,17 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, rate: float = 0.5, l2: float = 0.
                         w, r = slopes(field, sizes, tokens, labels, features.reshape(-1, len(PREFIXES) + 2))
                         weights += w
                         rest += r
-            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([rest.tolist()], pa.list_(pa.float64()))], ["w", "r"])
+            yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([rest.tolist()], pa.list_(pa.float64()))], ["w", "r"])
 
         found = rows.mapInArrow(add, "w binary, r array<double>").toArrow()
-        grad = sum((np.frombuffer(w) for w in found.column("w").to_pylist()), np.zeros(BUCKETS)) + l2 * field.weights
+        grad = sum((np.frombuffer(w, np.float32) for w in found.column("w").to_pylist()), np.zeros(BUCKETS)) + l2 * field.weights
         rest = np.sum([np.zeros(6), *found.column("r").to_pylist()], 0)
         rest[1:] += l2 * np.concatenate([[field.start], field.move.ravel()])
         sq_w += grad**2
         sq += rest**2
         step = rate * rest / np.sqrt(sq)
-        field = Field(field.weights - rate * grad / np.sqrt(sq_w), float(field.bias - step[0]), float(field.start - step[1]), field.move - step[2:].reshape(2, 2))
+        weights = (field.weights - rate * grad / np.sqrt(sq_w)).astype(np.float32)
+        field = Field(weights, float(field.bias - step[0]), float(field.start - step[1]), field.move - step[2:].reshape(2, 2))
     return field
 
 
@@ -353,7 +356,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field |
     markers = find_markers(sample)
     if not markers:
         return None
-    rows = materialize(sequences(sample, markers), "sequences")
+    ids = sample.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIELD_DOCS)
+    rows = materialize(sequences(sample.join(F.broadcast(ids), "doc_id", "left_semi"), markers), "sequences")
     field = fit(rows)
     facts = tag(sample, field).select("__toxic.facts", "label").toArrow()
     field.whole = calibrate(np.array(facts.column("facts").to_pylist()), np.array(facts.column("label").to_pylist(), float) > 0)
