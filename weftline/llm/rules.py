@@ -2,10 +2,9 @@
 
 Base measures come from a text's words and lines. Then the normalised lines of
 all documents are counted by host (``source``): in how many of the host's
-documents each occurs. Lines of more documents than the limit, the larger of
-``LEAST_DOCS`` and ``SHARE`` of the host's documents, are removed, and a
-document that keeps too few of its words is rejected. With a share of 0 the
-limit is ``LEAST_DOCS`` however many documents the host has.
+documents each occurs. Lines of more than ``MOST_DOCS`` documents, in hosts of
+any size, are removed, and a document that keeps too few of its words is
+rejected.
 
 Defined results: a null text has no words and fails the base rules; documents
 without a source form one host with those whose source is empty; repeated rows
@@ -21,12 +20,12 @@ from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
-#: A line is common if more of its host's documents have it than this share, and than this number.
-SHARE, LEAST_DOCS = 0.05, 20
+#: A line is common if more of its host's documents have it.
+MOST_DOCS = 20
 #: What must be left of a document: words, and percent of its words.
 LEAST_WORDS, LEAST_PERCENT = 20, 40
-#: Parts that a line's documents are dealt to where they meet the common lines.
-SALTS = 16
+#: Common lines of more than one in so many of all lines go to the documents by broadcast; there can be no more of them.
+MOST_HOT = 10_000
 #: Words of a window whose repetition counts.
 WINDOW = 8
 
@@ -93,20 +92,26 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def common_lines(measured: DataFrame, share: float = SHARE) -> DataFrame:
-    """(__host, h): the hashes of each host's common lines, a row each."""
-    docs = measured.groupBy("__host").agg(F.count("*").alias("__docs"))
+def common_lines(measured: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(__host, h, __n): the hashes of each host's common lines, and in how many documents they are."""
     lines = measured.select("__host", F.explode(F.array_distinct(F.transform("__hashed", lambda x: x["h"]))).alias("h"))
-    counts = lines.groupBy("__host", "h").agg(F.count("*").alias("__n")).where(F.col("__n") > LEAST_DOCS)
-    return counts.join(docs, "__host").where(F.col("__n") > F.lit(share) * F.col("__docs")).select("__host", "h")
+    return lines.groupBy("__host", "h").agg(F.count("*").alias("__n")).where(F.col("__n") > most_docs)
 
 
-def judge(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """One row per document: doc_id, the base measures, base_failed, words_removed, kept."""
+def judge(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
+    """One row per document: doc_id, the base measures, base_failed, words_removed, kept.
+
+    Lines that hold a large share of all rows, which would land in one task,
+    meet the documents by broadcast; the rest, each a small share, by a join.
+    """
     measured = materialize(base_measures(docs).withColumn("__row", F.monotonically_increasing_id()), "lines")
-    lines = measured.select("__row", "__host", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("__salt"), F.explode("__hashed").alias("x")).select("__row", "__host", "__salt", "x.h", "x.n")
-    common = common_lines(measured, share).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    gone = lines.join(common, ["__host", "h", "__salt"]).groupBy("__row").agg(F.sum("n").alias("__gone"))
+    lines = measured.select("__row", "__host", F.explode("__hashed").alias("x")).select("__row", "__host", "x.h", "x.n")
+    common = materialize(common_lines(measured, most_docs), "common")
+    total = measured.agg(F.coalesce(F.sum(F.size("__hashed")), F.lit(0))).first()[0]
+    is_hot = F.col("__n") > max(64, total // MOST_HOT)
+    hot = F.broadcast(common.where(is_hot).select("__host", "h"))
+    met = lines.join(hot, ["__host", "h"]).unionByName(lines.join(hot, ["__host", "h"], "left_anti").join(common.where(~is_hot).select("__host", "h"), ["__host", "h"]))
+    gone = met.groupBy("__row").agg(F.sum("n").alias("__gone"))
     df = measured.drop("__hashed", "__host").join(gone, "__row", "left").withColumn("words_removed", F.coalesce("__gone", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("words_removed")
     kept = ~F.col("base_failed") & (left >= LEAST_WORDS) & (100 * left >= LEAST_PERCENT * F.col("n_words"))
@@ -133,11 +138,8 @@ WITH d AS (
   SELECT r, host, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '{SPACE}+', ' ', 'g')) AS l,
          len(list_filter(regexp_split_to_array(l, '{SPACE}+'), lambda x: x <> '')) AS n
   FROM (SELECT r, host, unnest(ls) AS l FROM w)
-), hosts AS (
-  SELECT host, count(*) AS docs FROM d GROUP BY host
 ), common AS (
-  SELECT host, l FROM lines JOIN hosts USING (host) GROUP BY host, l, docs
-  HAVING count(DISTINCT r) > {LEAST_DOCS} AND count(DISTINCT r) > {SHARE} * docs
+  SELECT host, l FROM lines GROUP BY host, l HAVING count(DISTINCT r) > {MOST_DOCS}
 ), gone AS (
   SELECT r, sum(n) AS words_removed FROM lines SEMI JOIN common USING (host, l) GROUP BY r
 ), m AS (
