@@ -14,7 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ from weftline.session import materialize
 class Vectorizer:
     """Mixed columns as float features: numbers as they are, times in parts, arrays in columns, strings by frequent levels.
 
-    ``fit`` reads the data once for what depends on it (constant columns, array
-    widths, levels); ``transform`` is a projection and can be pushed around.
+    ``fit`` reads the data twice: once for constant columns, once for the levels
+    of all strings; ``transform`` is a projection and can be pushed around.
     """
 
     def __init__(self, levels: int = 8, width: int = 16, exclude: tuple[str, ...] = ()):
@@ -43,9 +43,13 @@ class Vectorizer:
                 continue
             kind = "number" if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else "time" if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "array" if isinstance(f.dataType, T.ArrayType) else "string"
             self.columns.append((f.name, kind))
-            if kind == "string":
-                top = df.where(F.col(f.name).isNotNull()).groupBy(f.name).count().orderBy(F.desc("count"), f.name).limit(self.levels)
-                self.known[f.name] = [r[0] for r in top.collect()]
+        self.known = {c: [] for c, kind in self.columns if kind == "string"}
+        if self.known:
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.known])).alias("x")
+            counts = df.select(each).select("x.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+            best = Window.partitionBy("c").orderBy(F.desc("n"), "v")
+            for r in counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.levels).orderBy("c", "r").collect():  # a few levels a column
+                self.known[r.c].append(r.v)
         return self
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +62,7 @@ class Vectorizer:
             elif kind == "array":
                 out |= fixed_width(name, self.width)
             else:
-                out |= {f"{name}_{i}": (F.col(name) == v).cast("float") for i, v in enumerate(self.known[name])}
+                out |= {f"{name}_{i}": (F.col(name).cast("string") == v).cast("float") for i, v in enumerate(self.known[name])}
         return df.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 

@@ -58,7 +58,8 @@ def at_cutoffs(df: DataFrame, times: list[str], cutoffs: DataFrame, most_broadca
     """Rows visible at each of a set of cutoffs (one column), with the cutoff as a column.
 
     One job for all points in time. The cutoffs are few by nature, which is
-    checked before they are broadcast.
+    checked before they are broadcast. Beyond that the join is by partitions of
+    both sides; its result, each row at each later cutoff, is as large as it.
     """
     small = cutoffs.limit(most_broadcast + 1).count() <= most_broadcast
     name = cutoffs.columns[0]
