@@ -49,12 +49,17 @@ def test_counts_with_many_ties():
 def test_counts_equal_a_tokenizer_library(spark, edge_docs):
     from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
+    import sentencepiece
+
     scores = tokens.load()
-    t = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items()], 0, True))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.VOCABULARY)
+    marks = [(model.id_to_piece(i), float(model.get_score(i))) for i in range(model.get_piece_size()) if model.is_byte(i)]  # what unknown letters fall back on
+    t = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items(), *marks], 0, True))
     t.normalizer = normalizers.Replace(" ", "▁")
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     texts = ["", " ", "  a b", "a\nb c", "▁x▁▁y", "hello world  ", "isn't it 1,000?", prose(3, 300), *[x for _, x, *_ in EDGE if x]]
     assert tokens.counter(scores)()(texts).to_pylist() == [len(t.encode(x).ids) for x in texts]
+    assert not {p for p, _ in marks} & set(scores) and tokens.counter(scores)()(["<0x41>"]).to_pylist()[0] > 1  # a byte's name is plain text
     got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(edge_docs).collect()}
     assert got[2] == 0 and got[3] == 0 and got[9] == len(t.encode("x" * 50_000).ids)
 

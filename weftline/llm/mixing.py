@@ -45,11 +45,11 @@ TRAIN_DOCS = 12_000
 #: first five letters are one feature, which stands for a stem.
 BUCKETS = 1 << 14
 #: Steps at most.
-STEPS = 200
+STEPS = 100
 #: Largest distance of a domain's share from its target at which fitting stops.
 CLOSE = 1e-4
 #: Share of the squared distance below which a step gains nothing.
-TINY = 1e-6
+TINY = 1e-5
 #: Words, and their letters, whose bucket a task keeps.
 CACHE, CACHE_LETTERS = 300_000, 16_000_000
 
