@@ -169,3 +169,16 @@ def test_released_steps_are_gone(spark):
     assert os.path.isdir(path)
     release(df, df)
     assert not os.path.exists(path)
+
+
+def test_settled_steps_leave_nothing_else(spark):
+    import os
+
+    from weftline.session import materialize, settle, shared_dir
+
+    kept = materialize(spark.range(2))
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    out = settle(lambda: materialize(materialize(spark.range(3)).where("id > 0")))
+    assert out.count() == 2 and kept.count() == 2
+    after = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    assert len(after - before) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,16 @@ def release(*dfs: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def settle(make: Callable[[], DataFrame], label: str = "step") -> DataFrame:
+    """What ``make`` plans, written; the steps that it wrote on its way are removed."""
+    before = {path for _, path in _written}
+    out = materialize(make(), label)
+    for spark, path in list(_written):
+        if path not in before and path != out._weftline_path:
+            _remove(spark, path)
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
