@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import simhash
 from weftline.llm.common import look_up
-from weftline.session import materialize
+from weftline.session import materialize, settle
 
 #: Words, or what else lengths count, in a bin.
 CAPACITY = 2048
@@ -129,8 +129,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         items = materialize(items, "items")
     shards = max(1, -(-(items if near else docs).count() // shard_rows))
     if near:
-        roots = simhash.clusters(items.where("cluster IS NOT NULL").select(F.col("cluster").alias("t"), "fp"))
-        items = look_up(items, materialize(roots, "roots"), "fp").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
+        texts = items.where("cluster IS NOT NULL").select(F.col("cluster").alias("t"), "fp")
+        items = look_up(items, settle(lambda: simhash.clusters(texts), "roots"), "fp").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
     shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(8)), F.lit(shards)).alias("shard")
     items = items.select(shard, "doc_id", "n", "source", "cluster", "tie")
 

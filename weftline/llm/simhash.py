@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import columns_of, look_up, text_udf, unused
 from weftline.llm.graph import connected_components
-from weftline.session import materialize
+from weftline.session import materialize, settle
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 3
@@ -194,7 +194,7 @@ def components(prints: DataFrame, most_together: int = MOST_TOGETHER) -> DataFra
 def near_duplicates(docs: DataFrame, most_together: int = MOST_TOGETHER) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "prints")
-    found = look_up(prints, materialize(components(prints, most_together), "components"), "fp")
+    found = look_up(prints, settle(lambda: components(prints, most_together), "components"), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -223,7 +223,7 @@ def deduplicate(docs: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFr
     key_of = lambda t: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), t)
     text = F.xxhash64("text")
     prints = materialize(docs.select("doc_id", text.alias("t"), key_of(text).alias("k"), fingerprint(F.col("text")).alias("fp")), "prints")
-    roots = connected_components(link(prints.select("fp").distinct()))
+    roots = settle(lambda: connected_components(link(prints.select("fp").distinct())), "roots")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "k").alias("first")
     reps = prints.groupBy("fp").agg(F.min(order).alias("first"))
     whole = reps.join(roots, reps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
