@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept.
 Models learn from the labelled documents of ``sf_dir``, outside the held-out
 fold. All stages but the last return the columns of documents, whatever those
-are named. Lengths are tokens of ``tokens.VOCABULARY``.
+are named. Lengths are words.
 
 Defined results, for all stages: an empty table gives an empty one; a null id
 is a document like any other; rows that repeat are judged alike; with no labels
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid, mixing, packing, simhash, tokens, toxicity
+from weftline.llm import langid, mixing, packing, simhash, toxicity
 from weftline.llm.common import columns_of, unused
 from weftline.session import materialize, release, table
 
@@ -23,7 +23,7 @@ from weftline.session import materialize, release, table
 LEAST_SURE = 0.5
 #: A document this likely to be toxic is rejected.
 MOST_TOXIC = 0.5
-#: Shares of tokens; toxic documents are gone before, so their domain has no target.
+#: Shares of words; toxic documents are gone before, so their domain has no target.
 TARGETS = {"prose": 0.93, "junk": 0.07}
 
 
@@ -52,15 +52,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target mixture of tokens asks for; without labels all have equal rates, and null texts have no tokens."""
-    labels, learn = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
-    return mixing.mix(docs, labels, learn, TARGETS, length=tokens.length())
+    """Documents as often as the target mixture of words asks for; without labels all have equal rates, and null texts have no words."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placed parts of documents: bin_id, slot, doc_id, part, n_tokens; null texts take a slot and no room."""
-    same = packing.text_cluster(F.col("text"))  # near copies are gone, repeats of a row are not
-    return packing.pack(docs, cluster=same, length=tokens.length(), name="n_tokens")
+    """Placed parts of documents: bin_id, slot, doc_id, part, n_words; null texts take a slot and no room."""
+    return packing.pack(docs, cluster=packing.text_cluster(F.col("text")))  # near copies are gone, repeats of a row are not
 
 
 STAGES = [("language ID", language_id), ("toxicity", toxic), ("SimHash near-dedup", near_dedup), ("mixing to target weights", mixture), ("best-fit packing", pack)]
