@@ -250,5 +250,5 @@ def test_pipeline(spark, edge_labels, tmp_path):
     assert len(ids) - ids.count(None) == len(set(ids) - {None}) and not any(i is not None and i >= 1000 for i in ids)
     assert set(range(20, 170)) <= set(ids)
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns == ["bin_id", "slot", "doc_id", "part", "n_tokens"] and out.count() > 100
+    assert out.columns == ["bin_id", "slot", "doc_id", "part", "n_words"] and out.count() > 100
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
