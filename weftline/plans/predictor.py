@@ -111,11 +111,11 @@ def prepare(task: Task, settings: Settings, evaluate: str) -> Prepared:
     for t, r in db.tables.items():
         if t != task.table and settings.fusion != "none":
             tables[t] = r.with_df(materialize(r.df.withColumn(ROW, F.monotonically_increasing_id()), "rows"))
-    db = Database(tables, tuple(e for e in db.edges if e.source in tables and e.target in tables))
-    refs: dict[str, set[str]] = {t: set(r.keys) for t, r in tables.items()}
-    for e in db.edges:
+    refs: dict[str, set[str]] = {t: set(r.keys) for t, r in db.tables.items()}
+    for e in db.edges:  # of tables that are left out too: their keys are no features either
         refs[e.source].add(e.source_col)
         refs[e.target].add(e.target_col)
+    db = Database(tables, tuple(e for e in db.edges if e.source in tables and e.target in tables))
     refs[task.table] |= {entity}
     return Prepared(db, task.table, id_col, time, name(task.target_col), split, refs)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from weftline import models
@@ -12,9 +14,20 @@ from weftline.plans import graph, inference, predictor, rewrite
 from weftline.queries.algebra import SPEC, task_of
 from weftline.queries.base import TASK_SQL, query, r6, task_rows
 from weftline.session import materialize
+from weftline.queries.vectors import _arr, _r
 from weftline.sources import files
 
 
+def _sign(i: int, j: int) -> int:
+    """An element of the sign projection, up to its scale."""
+    return 1 if sign_bit(i, j, 1) else -1
+
+
+def _single(x: str) -> str:
+    """A value as a single-precision float, in double."""
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+
+
 def _star(t) -> Database:
     return files.load_database(t.spark, t.folder, {k: SPEC[k] for k in ("region", "nation", "customer", "orders")})
 
@@ -176,10 +189,17 @@ def predict_regression(t):
     return out.select("c_custkey", "target", F.greatest("y_pred", F.lit(0.0)).alias("y_pred"))
 
 
-@query()
+_EXTRACTED = {5: "n", 6: "n90", 7: "n365", 8: "c_acctbal"} | {9 + i: f"CAST(r = {i} AS INTEGER)" for i in range(5)}
+
+
+@query(f"""WITH {TASK_SQL}, seg AS (SELECT c_mktsegment, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS r FROM customer GROUP BY 1),
+x AS (SELECT c_custkey, c_acctbal, r, count(o_orderdate) AS n, count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 90 DAY) AS n90, count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 365 DAY) AS n365
+  FROM task JOIN customer USING (c_custkey) JOIN seg USING (c_mktsegment) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate <= cutoff WHERE split = 'test' GROUP BY ALL),
+z AS (SELECT c_custkey, {", ".join(f"coalesce(({_single(x)} - avg({_single(x)}) OVER ()) / nullif(stddev_pop({_single(x)}) OVER (), 0), 0) AS z{j}" for j, x in _EXTRACTED.items())} FROM x)
+SELECT c_custkey, {_arr('[' + ', '.join('(' + ' + '.join(f"{_sign(i, j)} * z{j}" for j in _EXTRACTED) + ') / sqrt(CAST(8 AS DOUBLE))' for i in range(8)) + ']')} AS emb FROM z""")
 def extract_embeddings(t):
     x, names = _features(t)
-    return models.extract(x.where("split = 'test'"), names, 8, ["c_custkey"])
+    return models.extract(x.where("split = 'test'"), names, 8, ["c_custkey"]).withColumn("emb", _r(F.col("emb")))
 
 
 def _fused_task(t) -> Task:
@@ -191,36 +211,47 @@ def _fused_task(t) -> Task:
 
 FUSED = predictor.Settings(dim=1, activation=None, train_rows=None, context_rows=None)
 _ORDER_FEATURES = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "hour(o_orderdate)", "epoch(o_orderdate)", "o_totalprice")
-_TASK_FEATURES = ("year(cutoff)", "epoch(cutoff)", "c_acctbal", "refs", "cnt", "ctx")
-
-
-@query(f"""WITH {TASK_SQL}, o AS (SELECT o_custkey, o_orderdate, {", ".join(f"CAST({x} AS FLOAT)::DOUBLE AS x{i}" for i, x in enumerate(_ORDER_FEATURES))} FROM orders),
+#: The task's own features, by their places among all; those that are the same in all rows are left out.
+_TASK_FEATURES = {0: "year(cutoff)", 4: "epoch(cutoff)", 5: "c_acctbal", 6: "refs"}
+def _predictor_sql(features: tuple[str, ...]) -> str:
+    """Gaussian naive Bayes on ``features`` of the rewritten task, its context ``cnt`` and ``ctx``, and ``late``, both combined."""
+    own = " + ".join(f"{_sign(0, j)} * coalesce(({_single(x)} - avg({_single(x)}) OVER ()) / nullif(stddev_pop({_single(x)}) OVER (), 0), 0)" for j, x in ({**_TASK_FEATURES, 7: "cnt"}).items())
+    n = range(len(features))
+    return f"""WITH {TASK_SQL}, o AS (SELECT o_custkey, o_orderdate, {", ".join(f"{_single(x)} AS x{i}" for i, x in enumerate(_ORDER_FEATURES))} FROM orders),
 s AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(6))} FROM o),
-e AS (SELECT o_custkey, o_orderdate, {" + ".join(f"{1 if sign_bit(0, i, 1) else -1} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6))} AS emb FROM o CROSS JOIN s),
+e AS (SELECT o_custkey, o_orderdate, {" + ".join(f"{_sign(0, i)} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6))} AS emb FROM o CROSS JOIN s),
 r AS (SELECT o_custkey, count(*) AS refs FROM orders GROUP BY 1),
 c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, avg(emb) AS ctx FROM task JOIN e ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY ALL),
-f AS (SELECT task_id, split, label, {", ".join(f"CAST({x} AS FLOAT)::DOUBLE AS f{i}" for i, x in enumerate(_TASK_FEATURES))}
-  FROM (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, ctx FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff))),
-k AS (SELECT label AS k, ln(count(*) / sum(count(*)) OVER ()) AS prior, {", ".join(f"avg(f{i}) AS a{i}, greatest(var_pop(f{i}), 0.001) AS v{i}" for i in range(6))} FROM f WHERE split <> 'test' GROUP BY label),
-l AS (SELECT task_id, label, k, prior {"".join(f" + coalesce(0 - (f{i} - a{i}) * (f{i} - a{i}) / (2 * v{i}) - ln(2 * pi() * v{i}) / 2, 0)" for i in range(6))} AS z FROM f CROSS JOIN k WHERE split = 'test')
+t AS (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, ctx FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff)),
+w AS (SELECT *, {own} AS own FROM t),
+f AS (SELECT task_id, split, label, {", ".join(f"{_single(x)} AS f{i}" for i, x in enumerate(features))} FROM (SELECT *, coalesce((own + ctx) / 2, own) AS late FROM w)),
+k AS (SELECT label AS k, ln(count(*) / sum(count(*)) OVER ()) AS prior, {", ".join(f"avg(f{i}) AS a{i}, greatest(var_pop(f{i}), 0.001) AS v{i}" for i in n)} FROM f WHERE split <> 'test' GROUP BY label),
+l AS (SELECT task_id, label, k, prior {"".join(f" + coalesce(0 - (f{i} - a{i}) * (f{i} - a{i}) / (2 * v{i}) - ln(2 * pi() * v{i}) / 2, 0)" for i in n)} AS z FROM f CROSS JOIN k WHERE split = 'test')
 SELECT task_id AS __task_id, label, CAST(arg_max(k, z) AS INTEGER) AS y_pred, round(sum(CASE WHEN k = 1 THEN exp(z - top) END) / sum(exp(z - top)), 4) + 0 AS p
-FROM (SELECT *, max(z) OVER (PARTITION BY task_id) AS top FROM l) GROUP BY task_id, label""")
+FROM (SELECT *, max(z) OVER (PARTITION BY task_id) AS top FROM l) GROUP BY task_id, label"""
+
+
+def _predicted(t, settings: predictor.Settings):
+    out = predictor.predict(_fused_task(t), settings, models.BayesBackbone())
+    return out.select("__task_id", "label", "y_pred", (F.round(F.get("proba", F.lit(1)), 4) + F.lit(0.0)).alias("p"))
+
+
+@query(_predictor_sql((*_TASK_FEATURES.values(), "cnt", "ctx")))
 def predict_fused(t):
     """The whole predictor: rewrites, relevance, extraction, as-of pooling, early fusion, and a closed-form backbone."""
-    out = predictor.predict(_fused_task(t), FUSED, models.BayesBackbone())
-    return out.select("__task_id", "label", "y_pred", (F.round(F.get("proba", F.lit(1)), 4) + F.lit(0.0)).alias("p"))
+    return _predicted(t, FUSED)
 
 
-@query()
+@query(_predictor_sql((*_TASK_FEATURES.values(), "late")))
 def predict_late(t):
-    out = predictor.predict(_fused_task(t), predictor.Settings(fusion="late"))
-    return out.select("__task_id", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))
+    """The same with late fusion."""
+    return _predicted(t, replace(FUSED, fusion="late"))
 
 
-@query()
+@query(_predictor_sql(tuple(_TASK_FEATURES.values())))
 def predict_unfused(t):
-    out = predictor.predict(_fused_task(t), predictor.Settings(fusion="none"))
-    return out.select("__task_id", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))
+    """The same from the task's own features alone."""
+    return _predicted(t, replace(FUSED, fusion="none"))
 
 
 @query()
