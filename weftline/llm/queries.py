@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import fim, langid, mixing, packing, periods, quality, rules, simhash, tokens, topk, toxicity, warc
+from weftline.llm import fim, jaccard, langid, mixing, packing, periods, quality, rules, simhash, tokens, topk, toxicity, warc
 from weftline.session import table
 
 
@@ -58,9 +58,13 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_quality, op3_tokens, op4_toxicity, op5_warc, op6_mixing, op7_lines, op8_packing, op9_topk, op10_language, op11_fim, op12_periods)
+    for f in (op1_simhash, op2_quality, op3_tokens, op4_toxicity, op5_warc, op6_mixing, op7_lines, op8_packing, op9_topk, op10_language, op11_fim, op12_periods, op13_jaccard)
 }
 #: Where SQL can express the rows.
-ORACLE: dict[str, str] = {"op7_lines": rules.ORACLE, "op9_topk": topk.ORACLE, "op11_fim": fim.ORACLE}
+ORACLE: dict[str, str] = {"op7_lines": rules.ORACLE, "op9_topk": topk.ORACLE, "op11_fim": fim.ORACLE, "op13_jaccard": jaccard.ORACLE}
