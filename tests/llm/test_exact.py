@@ -3,7 +3,6 @@
 import io
 import os
 import random
-import warnings
 from collections import Counter
 
 import numpy as np
@@ -208,21 +207,25 @@ def test_revisits_are_checked_against_what_was_read(spark):
     assert len(list(warc.read_records(io.BytesIO(warc.make_record(1, "u", b"x", None))))) == 1
 
 
-def plain_closest(p, n, goal, metric):
-    """Constrained least squares by cyclic coordinate descent over all rates."""
-    a = (p * n[:, None] / n.sum()).T
-    h = a.T @ metric @ a
-    r = np.ones(len(n))
+def plain_closest(p, n, goal, most):
+    """Least squares with the pull, by many plain projected-gradient steps over all rates, each with its momentum."""
+    a = (p * n[:, None]).T / n.sum()
+    w, pull = n / n.sum(), mixing.PULL
+    long = np.linalg.eigvalsh(a @ p)[-1] + pull
+    r = ahead = np.ones(len(n))
+    for k in range(200_000):
+        slope = p @ (a @ ahead - goal) + pull * (ahead - 1)
+        new = np.clip(ahead - slope / long, 0, most)
+        if slope @ (w * (new - r)) > 0:
+            ahead = r = new
+        else:
+            ahead, r = new + k / (k + 3) * (new - r), new
     off = a @ r - goal
-    for _ in range(4000):
-        for i in np.flatnonzero(h.diagonal() > 0):
-            new = max(0.0, r[i] - a[:, i] @ metric @ off / h[i, i])
-            off += a[:, i] * (new - r[i])
-            r[i] = new
-    return off
+    return (off @ off + pull * (w @ (r - 1) ** 2)) / 2
 
 
 def test_mixture_ends_at_the_closest_totals(spark):
+    """On targets within reach and out of it."""
     r = np.random.default_rng(2)
     for alpha, goal in (([2, 1, 0.5], [0.5, 0.3, 0.2]), ([9, 8, 0.2], [0.05, 0.05, 0.9]), ([5, 5, 5], [0.98, 0.01, 0.01])):
         p, n = r.dirichlet(alpha, 80), r.integers(0, 300, 80)
@@ -230,22 +233,19 @@ def test_mixture_ends_at_the_closest_totals(spark):
             p = p * 0.4 + 0.2  # no document is mostly of one domain
         p = p / p.sum(1, keepdims=True)
         soft = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>")
-        fitted = mixing.fit_rates(soft, dict(zip("abc", goal)))
-        metric = np.linalg.inv((p * n[:, None]).T @ p / n.sum() + 1e-9 * np.eye(3))
-        want = plain_closest(p, n.astype(float), np.array(goal), metric)
-        assert fitted.converged
-        assert fitted.off @ metric @ fitted.off <= want @ metric @ want * 1.01 + 1e-6
-        rates = mixing.replay(p, fitted.steps)
-        np.testing.assert_allclose((rates * n) @ p / n.sum() - goal, fitted.off, atol=1e-9)
+        for most in (mixing.MOST_RATE, 2.0):
+            fitted = mixing.fit_rates(soft, dict(zip("abc", goal)), most=most)
+            rates = mixing.rate_of(p, n, fitted.u, most)
+            np.testing.assert_allclose((rates * n) @ p / n.sum() - goal, fitted.off, atol=1e-9)
+            loss = (fitted.off @ fitted.off + mixing.PULL * (n @ (rates - 1) ** 2) / n.sum()) / 2
+            assert loss <= plain_closest(p, n.astype(float), np.array(goal), most) * 1.001 + 1e-9
 
 
 def test_mixing_query_against_plain_rates(spark, edge_docs, edge_labels):
     """The whole query: posteriors by the model on each text, rates by replayed steps, copies by the draw."""
     docs = edge_docs.union(make_docs(spark, [(100 + i, prose(i, 40), "en", "s") for i in range(50)]))
     model = mixing.train(docs, edge_labels)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        got = mixing.rates(docs, edge_labels).collect()
+    got = mixing.rates(docs, edge_labels).collect()
     texts = {i: t for i, t, *_ in EDGE} | {100 + i: prose(i, 40) for i in range(50)}
     for x in got:
         if x.doc_id is None:

@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import EDGE, make_docs, prose
 
 from weftline.llm import langid, mixing, quality, toxicity
@@ -203,22 +205,42 @@ def test_rates_match_targets(spark):
     p = r.dirichlet([2, 0.5], 600)
     n = r.integers(1, 500, 600)
     soft = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>")
-    steps = mixing.fit_rates(soft, {"prose": 0.6, "junk": 0.4}).steps
-    rates = mixing.replay(p, steps)
+    rates = mixing.rate_of(p, n, mixing.fit_rates(soft, {"prose": 0.6, "junk": 0.4}).u)
     share = (rates * n) @ p / n.sum()
     assert (rates >= 0).all()
-    np.testing.assert_allclose(share, [0.6, 0.4], atol=2e-4)
-    # the same by plain projected gradient, all rates held; the first steps, before momentum, are equal
-    q, whole = np.ones(600), (p * n[:, None]).T @ p / n.sum()
-    q = np.maximum(0, q - p @ np.linalg.solve(whole + 1e-9 * np.eye(2), (q * n) @ p / n.sum() - [0.6, 0.4]))
-    np.testing.assert_allclose(mixing.replay(p, steps[:1]), q, atol=1e-6)
+    np.testing.assert_allclose(share, [0.6, 0.4], atol=1e-5)
+    # of all rates that meet the targets those nearest to 1, found here by a plain solution
+    a = (p * n[:, None]).T / n.sum()
+    nearest = 1 + p @ np.linalg.solve(a @ p, np.array([0.6, 0.4]) - a.sum(1))
+    assert (nearest > 0).all()
+    np.testing.assert_allclose(rates, nearest, atol=1e-3)
 
 
 def test_unreachable_targets_stay_finite(spark):
     soft = spark.createDataFrame([(10, [1.0, 0.0]), (0, [0.5, 0.5])], "n long, p array<double>")
-    steps = mixing.fit_rates(soft, {"prose": 0.5, "junk": 0.5}).steps
-    assert np.isfinite(mixing.replay(np.array([[1.0, 0.0], [0.5, 0.5]]), steps)).all()
-    assert mixing.fit_rates(soft.limit(0), {"prose": 1.0}).steps == []
+    fitted = mixing.fit_rates(soft, {"prose": 0.5, "junk": 0.5})
+    np.testing.assert_allclose(mixing.rate_of(np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([10, 0]), fitted.u), [0.5, 1.0], atol=1e-5)
+    assert mixing.fit_rates(soft.limit(0), {"prose": 1.0}).u.tolist() == [0]
+
+
+@pytest.mark.parametrize("rare", [0.1, 0.01, 0.001, 0.0001, 0.0])
+def test_a_rare_domain_takes_no_rates_away(spark, rare):
+    """However rare a domain is, the totals end no farther from the targets than they start, and rates stay small."""
+    r = np.random.default_rng(1)
+    junk, n = r.random(1000) * rare, r.integers(0, 900, 1000)
+    p = np.stack([1 - junk, junk], 1)
+    soft = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>")
+    goal = np.array([0.93, 0.07])
+    fitted = mixing.fit_rates(soft, dict(zip("pj", goal)))
+    rates = mixing.rate_of(p, n, fitted.u)
+    assert (rates[n == 0] == 1).all() and rates.max() <= mixing.MOST_RATE
+    start, end = n @ p / n.sum() - goal, (rates * n) @ p / n.sum() - goal
+    np.testing.assert_allclose(end, fitted.off, atol=1e-9)
+    assert np.linalg.norm(end) <= np.linalg.norm(start) + 1e-12
+    if rare == 0.1:
+        assert np.abs(end).max() < 1e-4
+    whole = spark.createDataFrame([(float(x), [float(v) for v in q], int(w)) for x, q, w in zip(rates, p, n)], "r double, p array<double>, n long")
+    assert whole.where(F.abs(mixing.rate_column(fitted.u, F.col("p"), F.col("n")) - F.col("r")) > 1e-9).count() == 0
 
 
 def test_mixing_edges(spark, edge_docs, empty_docs, edge_labels):

@@ -2,29 +2,32 @@
 
 A softmax regression, learnt from the labelled table, gives each document a
 posterior over domains: ``junk`` (quality 0), ``toxic`` (quality 1, toxic 1)
-and ``prose`` (neither). Document rates r >= 0 are then fitted so that the
-expected tokens of the domains, sum of r * tokens * posterior, match the
-targets: least squares by projected gradient with momentum from r = 1, the residual measured
-in the metric of the domains' own token covariance, which makes one step
-exact while no rate is at its bound.
-
-A rate is a function of a document's posterior and of the residuals so far.
-So each iteration is one distributed sum of as many numbers as there are
-domains, the workers replay the steps, and no rates are kept or collected.
+and ``prose`` (neither). Document rates from 0 to ``MOST_RATE`` are then fitted
+so that the expected tokens of the domains, sum of r * tokens * posterior,
+match the targets: least squares on the domains' shares, with a slight pull of
+all tokens towards rate 1 that makes the fit unique, by lazy projected gradient:
+the slopes gather in one number a domain, u, and the rate of a document with
+posterior p is 1 - p . u projected into its bounds. Every pass tries several
+lengths of a step at once, along the slope and along the slope scaled by the
+second moments of the rates not at a bound, and takes the one that raises the
+lower bound on the least squares most. It ends where that bound is met, so that
+no rates come closer.
+
+So each pass is one distributed sum of a bounded number of numbers, and no
+rates are kept or collected.
 
 Domains without a target are left out of the posterior.
 
-Defined results: null and empty texts have no tokens, get a posterior and a
-rate, and change no total; with no labels all posteriors are equal; targets no
-rates can meet end at the closest totals, where steps gain nothing more, and
-fitting that ends before warns; repeated rows get equal rates; an empty table
-gives an empty one; other columns stay as they are. Copies are the rate rounded down or up by a hash of the id and the text,
-so that their expectation is the rate.
+Defined results: null and empty texts have no tokens, change no total and keep
+rate 1; with no labels all posteriors are equal; targets that no rates meet end
+at the closest totals, never farther than all rates 1 are; a fit that doesn't
+settle raises; repeated rows get equal rates; an empty table gives an empty
+one; other columns stay as they are. Copies are the rate rounded down or up by
+a hash of the id and the text, so that their expectation is the rate.
 """
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,12 +47,16 @@ TRAIN_DOCS = 12_000
 #: Buckets of hashed words that the classifier sees beside the measures of form; words with the same
 #: first five letters are one feature, which stands for a stem.
 BUCKETS = 1 << 14
-#: Steps at most.
+#: A document is taken so often at most; targets that need more are out of reach.
+MOST_RATE = 16.0
+#: Weight of the tokens' squared distance from rate 1 against that of the shares from the targets.
+PULL = 1e-6
+#: Passes; a fit that still moves after them raises.
 STEPS = 100
-#: Largest distance of a domain's share from its target at which fitting stops.
-CLOSE = 1e-4
-#: Share of the squared distance below which a step gains nothing.
-TINY = 1e-5
+#: Share of the loss that its lower bound may lack at the end.
+TINY = 1e-6
+#: Lengths of a step that a pass tries.
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 1e-2, 1e-3, 1e-4, 1e-5)
 #: Words, and their letters, whose bucket a task keeps.
 CACHE, CACHE_LETTERS = 300_000, 16_000_000
 
@@ -171,87 +178,78 @@ def posteriors(model: Classifier, domains: tuple[str, ...] = DOMAINS) -> Column:
     return text_udf(work, _SHAPE)(F.col("text"))
 
 
-Step = tuple[np.ndarray, float]
+def rate_of(p: np.ndarray, n: np.ndarray, u: np.ndarray, most: float = MOST_RATE) -> np.ndarray:
+    """The rates of documents with posteriors ``p`` and lengths ``n``; 1 for those without length."""
+    return np.where(n > 0, np.clip(1 - p @ u, 0.0, most), 1.0)
 
 
-def replay(p: np.ndarray, steps: list[Step]) -> np.ndarray:
-    """The rates of documents with posteriors ``p`` after steps: each a momentum along the last change, a move, a projection."""
-    before = r = np.ones(len(p))
-    for move, momentum in steps:
-        before, r = r, np.maximum(0.0, r + momentum * (r - before) - p @ move)
-    return r
+def rate_column(u: np.ndarray, p: Column, n: Column, most: float = MOST_RATE) -> Column:
+    """The same by built-in functions."""
+    dot = F.aggregate(F.zip_with(p, F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), 1 - dot))).otherwise(1.0)
 
 
-def _totals(soft: DataFrame, steps: list[Step], k: int, second: bool = False) -> np.ndarray:
-    """Sums of r * n * p by domain, or of n * p * p' by pairs of domains; one number each from each task."""
-    def run(batches):
-        out = np.zeros(k * k if second else k)
-        for b in batches:
-            n = np.asarray(b.column("n").to_numpy(zero_copy_only=False), float)
-            p = np.array(b.column("p").flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
-            out += ((p * n[:, None]).T @ p).ravel() if second else (replay(p, steps) * n) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([i for i in range(len(out))], pa.int32()), pa.array(out)], ["i", "v"])
+@dataclass(frozen=True)
+class State:
+    """Sums over documents at ``u``, as shares of all tokens."""
 
-    rows = soft.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k * k if second else k)
-    for i, v in rows:
-        out[i] = v
-    return out.reshape(k, k) if second else out
+    u: np.ndarray
+    off: np.ndarray  # tokens by domain, less the targets
+    pull: float  # squared distance of the tokens from rate 1
+    free: np.ndarray  # second moments by pairs of domains, of rates not at a bound
 
+    def loss(self) -> float:
+        return float(self.off @ self.off + PULL * self.pull) / 2
 
-@dataclass(frozen=True)
-class Fit:
-    """Steps from rate 1, what is left between shares and targets, and whether no step would bring it closer."""
+    def bound(self) -> float:
+        """What no rates' loss is below."""
+        z = PULL * self.u
+        return float(PULL * self.pull / 2 + z @ self.off - z @ z / 2)
 
-    steps: list[Step]
-    off: np.ndarray
-    converged: bool
+    def slope(self) -> np.ndarray:
+        return self.off - PULL * self.u
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS) -> Fit:
-    """The projected-gradient steps that lead from rate 1 to the fitted rates, over rows (n, p).
+def _states(soft: DataFrame, trials: list[np.ndarray], goal: np.ndarray, most: float) -> tuple[float, list[State]]:
+    """The number of tokens, and the state at each of ``trials``, in one pass over rows (n, p)."""
+    k = len(goal)
+    size = k + 1 + k * k
 
-    Steps gather momentum, which starts anew whenever the totals don't come
-    closer in the metric; a plain step always brings them closer if any does.
-    Totals are linear in rates, so a step is one pass, momentum or not. Done
-    where the targets are met, or where a plain step gains nothing more: no
-    rates come closer then.
-    """
+    def run(batches):
+        out = np.zeros(1 + size * len(trials))
+        for b in batches:
+            n = np.asarray(b.column("n").to_numpy(zero_copy_only=False), float)
+            p = np.array(b.column("p").flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
+            out[0] += n.sum()
+            for i, u in enumerate(trials):
+                r = rate_of(p, n, u, most)
+                free = n * ((r > 0) & (r < most))
+                out[1 + i * size : 1 + (i + 1) * size] += np.concatenate([(r * n) @ p, [n @ (r - 1) ** 2], ((p * free[:, None]).T @ p).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int64()), pa.array(out)], ["i", "v"])
+
+    out = np.zeros(1 + size * len(trials))
+    for i, v in soft.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[i] = v
+    sums = out[1:].reshape(-1, size) / max(out[0], 1.0)
+    return out[0], [State(u, x[:k] - goal, float(x[k]), x[k + 1 :].reshape(k, k)) for u, x in zip(trials, sums)]
+
+
+def fit_rates(soft: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, most: float = MOST_RATE) -> State:
+    """The state at the fitted rates, over rows (n, p)."""
     goal = np.array([float(w) for w in targets.values()])
     goal = goal / goal.sum()
-    whole = _totals(soft, [], len(goal), second=True)
-    lengths = whole.sum()
-    if lengths <= 0:
-        return Fit([], np.zeros(len(goal)), True)
-    metric = np.linalg.inv(whole / lengths + 1e-9 * np.eye(len(goal)))
-    taken: list[Step] = []
-    off = last = whole.sum(1) / lengths - goal
-    loss, age = off @ metric @ off, 0
+    tokens, (state,) = _states(soft, [np.zeros(len(goal))], goal, most)
+    if tokens <= 0:
+        return state
+    first, unit = state, np.eye(len(goal))
+    longest = float(np.linalg.eigvalsh(state.free)[-1]) + PULL
     for _ in range(steps):
-        if np.abs(off).max() < CLOSE:
-            return Fit(taken, off, True)
-        momentum = age / (age + 3)
-        step = (metric @ (off + momentum * (off - last)), momentum)
-        new = _totals(soft, [*taken, step], len(goal)) / lengths - goal
-        gain = loss - new @ metric @ new
-        if gain <= TINY * loss:
-            if not age:
-                return Fit(taken, off, True)
-            age = 0
-            continue
-        taken, last, off, loss, age = [*taken, step], off, new, loss - gain, age + 1
-    return Fit(taken, off, bool(np.abs(off).max() < CLOSE))
-
-
-def rate_column(steps: list[Step], p: Column) -> Column:
-    """The rate from the posterior ``p``, replayed by built-in functions."""
-    if not steps:
-        return F.lit(1.0)
-    made = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in move]).alias("m"), F.lit(float(momentum)).alias("k")) for move, momentum in steps])
-    dot = lambda m: F.aggregate(F.zip_with(p, m, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("b"))
-    step = lambda a, s: F.struct(F.greatest(F.lit(0.0), a["r"] + s["k"] * (a["r"] - a["b"]) - dot(s["m"])).alias("r"), a["r"].alias("b"))
-    return F.aggregate(made, start, step, lambda a: a["r"])
+        if state.loss() - max(state.bound(), 0.0) <= TINY * state.loss():
+            return min(first, state, key=State.loss)
+        scaled = np.linalg.solve(state.free + PULL * unit, state.slope())
+        trials = [state.u + x * scaled for x in LENGTHS] + [state.u + x / longest * state.slope() for x in (1.0, 8.0, 64.0)]
+        state = max(_states(soft, trials, goal, most)[1], key=State.bound)
+    raise RuntimeError(f"rates still move after {steps} passes, {np.abs(state.off).max():.5f} from a target")
 
 
 def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: dict[str, float], most: int, length: Column | None, keep: list[Column], name: str) -> DataFrame:
@@ -262,9 +260,7 @@ def _rated(docs: DataFrame, labels: DataFrame, train_docs: DataFrame, targets: d
     n = own["n"] if length is None else length
     rows = materialize(soft.select(*keep, F.struct(n.alias("n"), own["p"].alias("p"), draw.alias("draw")).alias(name)), "mix")
     fitted = fit_rates(rows.select(own["n"].alias("n"), own["p"].alias("p")), targets)
-    if not fitted.converged:
-        warnings.warn(f"mixing ends {np.abs(fitted.off).max():.5f} from a target after {len(fitted.steps)} steps", stacklevel=3)
-    rows = rows.withColumn(name, own.withField("rate", rate_column(fitted.steps, own["p"])))
+    rows = rows.withColumn(name, own.withField("rate", rate_column(fitted.u, own["p"], own["n"])))
     return rows.withColumn(name, own.withField("copies", F.floor(own["rate"] + own["draw"]).cast("int")))
 
 
