@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.session import materialize
@@ -43,6 +44,18 @@ def text_udf(work: Callable[[], Callable[[list], pa.Array]], kind: str) -> Calla
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run within: for rows so wide that the usual number fills a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unused(name: str, taken: Iterable[str]) -> str:
     """``name``, with marks after it until no column of ``taken`` has it."""
     lower = {t.lower() for t in taken}

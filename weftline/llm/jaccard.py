@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import look_up, text_udf
+from weftline.llm.common import batches_of, look_up, text_udf
 from weftline.llm.graph import connected_components
 from weftline.session import materialize, release
 
@@ -56,6 +56,8 @@ BLOCK = 1 << 21
 PATIENCE = 16
 #: Rows that are broadcast, at most: two longs each.
 MOST_BROADCAST = 2_000_000
+#: Texts or sets in an Arrow batch.
+WIDE_ROWS = 1000
 
 _TOP = 1 << 62
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -110,7 +112,8 @@ def common_shingles(docs: DataFrame, most: int = MOST_COMMON, least: int = LEAST
             yield count()
 
     seen = docs.select("text").mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    seen = materialize(seen, "common")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        seen = materialize(seen, "common")
     size = F.floor(F.log2("n") * 8).alias("size")
     bar, above = None, 0
     for x, n in seen.groupBy(size).count().orderBy(F.desc("size")).collect():
@@ -324,7 +327,8 @@ def _links(keyed: DataFrame, sets: DataFrame, label: str, patience: int | None =
         rows = rows.withColumn("key", F.xxhash64("g", "many", F.pmod(F.xxhash64("key", "row"), parts)))
     rows = materialize(rows.select("key", "row", "comp").distinct(), f"{label}-rows")
     whole = _met(sets.select("row", "set"), rows, "row").repartition("key").sortWithinPartitions("key", F.size("set"))
-    found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct(), f"{label}-links")
+    with batches_of(sets.sparkSession, WIDE_ROWS):
+        found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct(), f"{label}-links")
     release(keyed, groups, rows)
     return found
 
@@ -366,7 +370,8 @@ def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id."""
     common = common_shingles(docs)
     found = docs.select("doc_id", _sets(F.col("text"), common).alias("x")).withColumn("row", F.monotonically_increasing_id())
-    prints = materialize(found.select("row", "doc_id", "x.n", "x.s", "x.keys", "x.set"), "sets")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        prints = materialize(found.select("row", "doc_id", "x.n", "x.s", "x.keys", "x.set"), "sets")
     known = prints.where("s IS NOT NULL")
     reps = materialize(known.groupBy("s").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "reps")
     again = materialize(look_up(known.select("s", F.col("row").alias("this")), reps.select("s", "row"), "s").where("this != row").select(F.col("this").alias("row")), "again")
