@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -46,6 +47,27 @@ def test_packing_query_against_trying_all_bins(spark):
     assert least <= taken == len(set(bins))
 
 
+def test_equal_rows_fill_several_shards_fast(spark):
+    """A third and more of all rows may be copies of one: no task gets them all, and none tries all bins for each."""
+    n = 200_000
+    docs = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    placed = materialize(packing.pack(docs, cluster=F.lit(1)), "placed")
+    assert placed.count() == placed.select("bin_id").distinct().count() == n
+    sizes = [x["count"] for x in placed.groupBy(F.floor(F.col("bin_id") / 2**32)).count().collect()]
+    assert len(sizes) == -(-n // packing.SHARD_ROWS) and max(sizes) < 2 * packing.SHARD_ROWS
+    began = time.perf_counter()
+    assert packing.best_fit([(3, "s", 1)] * 40_000, 2048) == list(range(40_000))
+    assert time.perf_counter() - began < 20
+
+
+def test_copies_among_others_against_trying_all_bins():
+    r = random.Random(4)
+    for capacity in (1, 7, 64, 2048):
+        items = [(r.randint(0, capacity), r.choice(["a", "b", None]), 1) for _ in range(100)] + [(r.randint(0, capacity), r.choice("abcdef"), r.choice([1, 2, None])) for _ in range(200)]
+        items.sort(key=lambda x: -x[0])
+        assert packing.best_fit(items, capacity) == plain_best_fit(items, capacity)
+
+
 def test_packing_keeps_near_copies_of_large_ids_apart(spark):
     text = prose(1, 300)
     docs = make_docs(spark, [(BIG + 1, text, "en", "a"), (BIG + 3, text.replace("a", "A", 1), "en", "b"), (None, "other words here", "en", "c"), (5, None, None, None)])

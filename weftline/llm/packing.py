@@ -2,14 +2,16 @@
 
 Documents go in decreasing length into the open bin with the least room that
 takes them; a bin takes no second document of one source and none of one
-duplicate cluster. Bins carry both as bitmaps, and lie in order of what room
-they have; the search goes on to the successor while bins conflict, so it
-ends at the tightest bin that fits, or opens one.
+duplicate cluster. Bins lie in order of the room they have, in a tree whose
+nodes hold bitmaps of their bins; what bins hold of a source or a cluster are
+bitmaps too. So the search for a successor passes over any number of bins that
+conflict at once, and ends at the tightest bin that fits, or opens one.
 
 A document longer than a bin is cut: its full parts fill bins of their own and
-its rest is packed as a document. Documents are dealt to shards by a hash of
-their id and text, a number of shards in proportion to the rows, and every
-shard is packed by itself; so memory is bounded and no bin spans two tasks.
+its rest is packed as a document. Rows are numbered and dealt to shards by a
+hash of their number, a number of shards in proportion to the rows, and every
+shard is packed by itself; so rows that repeat lie in all shards, memory is
+bounded, and no bin spans two tasks.
 
 Clusters are the components of near copies: texts whose SimHash fingerprints
 link, as in ``simhash``, or that differ in case and spacing only.
@@ -22,8 +24,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,34 +42,43 @@ PLACED = pa.schema([("bin_id", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[int]:
     """The bin of each item (length, source, cluster), in the given order; lengths are at most ``capacity``."""
-    sources: dict[object, int] = {}
-    clusters: dict[object, int] = {}
-    rooms: list[int] = []  # residuals with a bin, ascending
-    by_room: dict[int, list[int]] = {}  # residual: bins, ascending
-    marks: list[list[int]] = []  # of each bin: its bitmaps of sources and of clusters
+    base = 1 << capacity.bit_length()  # the leaf of room r is base + r, the parent of a node half its number
+    tree: dict[int, int] = {}
+    held: dict[tuple[bool, object], int] = {}  # by source, and by cluster, the bins that hold it
+    rooms: list[int] = []
     out = []
     for length, source, cluster in items:
-        s = 0 if source is None else 1 << sources.setdefault(source, len(sources))
-        c = 0 if cluster is None else 1 << clusters.setdefault(cluster, len(clusters))
-        found = None
-        for at in range(bisect_left(rooms, length), len(rooms)):
-            room = rooms[at]
-            found = next((b for b in by_room[room] if not (marks[b][0] & s or marks[b][1] & c)), None)
-            if found is not None:
-                by_room[room].remove(found)
-                if not by_room[room]:
-                    del by_room[room], rooms[at]
-                break
-        if found is None:
-            found, room = len(marks), capacity
-            marks.append([0, 0])
-        marks[found][0] |= s
-        marks[found][1] |= c
-        left = room - length
-        if left not in by_room:
-            by_room[left] = []
-            insort(rooms, left)
-        insort(by_room[left], found)
+        keys = [(kind, x) for kind, x in ((False, source), (True, cluster)) if x is not None]
+        free = -1
+        for key in keys:
+            free &= ~held.get(key, 0)
+        node = base + length
+        fit = tree.get(node, 0) & free
+        while not fit and node > 1:  # up, to the first subtree of more room that holds a bin without conflict
+            if not node & 1:
+                fit = tree.get(node + 1, 0) & free
+            node = node + 1 if fit else node >> 1
+        while fit and node < base:  # and down to the least room in it
+            node <<= 1
+            fit = tree.get(node, 0) & free
+            if not fit:
+                node += 1
+                fit = tree[node] & free
+        if fit:
+            found = (fit & -fit).bit_length() - 1
+        else:
+            found, node = len(rooms), base + capacity
+            rooms.append(capacity)
+            for k in range(node.bit_length()):
+                tree[node >> k] = tree.get(node >> k, 0) | 1 << found
+        rooms[found] -= length
+        bit, new = 1 << found, base + rooms[found]
+        while node != new:
+            tree[node] ^= bit
+            tree[new] = tree.get(new, 0) | bit
+            node, new = node >> 1, new >> 1
+        for key in keys:
+            held[key] = held.get(key, 0) | bit
         out.append(found)
     return out
 
@@ -125,13 +134,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         F.when(F.col("text").isNotNull(), cluster).alias("cluster"), F.xxhash64("text", "source").alias("tie"),
         *([simhash.fingerprint(F.col("text")).alias("fp")] if near else []),
     )
-    if near:
-        items = materialize(items, "items")
-    shards = max(1, -(-(items if near else docs).count() // shard_rows))
+    items = materialize(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    shards = max(1, -(-items.count() // shard_rows))
     if near:
         texts = items.where("cluster IS NOT NULL").select(F.col("cluster").alias("t"), "fp")
         items = look_up(items, settle(lambda: simhash.clusters(texts), "roots"), "fp").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("root", "fp")))
-    shard = F.pmod(F.xxhash64("doc_id", "tie", F.lit(8)), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("row", F.lit(8)), F.lit(shards)).alias("shard")
     items = items.select(shard, "doc_id", "n", "source", "cluster", "tie")
 
     def run(rows: pa.Table) -> pa.Table:
