@@ -139,3 +139,24 @@ def test_forest_spans_without_all_pairs():
     found = jaccard.forest(sets, list(range(200)))
     assert len(found) == 199
     assert jaccard.forest(sets, [0] * 200) == []
+
+
+def test_sift_passes_all_that_link():
+    r = np.random.default_rng(3)
+    passed = total = 0
+    for _ in range(40):
+        base = np.unique(r.integers(0, 2**61, r.integers(1, 700)))
+        sets = []
+        for _ in range(20):
+            cut = base[r.random(len(base)) > r.choice([0, 0.05, 0.12, 0.3, 0.6])]
+            s = np.unique(np.concatenate([cut, r.integers(0, 2**61, r.integers(0, 1 + len(base) // 6))]))
+            if len(s):
+                sets.append(s)
+        sets.sort(key=len)
+        comp = r.integers(0, 8, len(sets))
+        near = lambda a, b: 100 * (o := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - o)
+        keep = jaccard.sift(np.array([len(s) for s in sets]), comp, [np.frombuffer(jaccard.parities(s), np.uint64) for s in sets])
+        want = [any(comp[i] != comp[j] and near(s, t) for j, t in enumerate(sets) if i != j) for i, s in enumerate(sets)]
+        assert not (np.array(want) & ~keep).any()
+        passed, total = passed + int(keep.sum()) - sum(want), total + len(sets)
+    assert passed < total / 4

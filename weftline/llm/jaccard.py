@@ -16,8 +16,10 @@ Groups are made in three rounds, each leaving out what the ones before joined:
 sets that share one of their KEYS smallest hashes, compared until few links
 come; one set of each component for every shingle that prefixes of several
 components share; and all sets for such shingles that are left. The last round
-alone is exact, the others keep it small. Rows without a link pass through
-none but a count of their prefix.
+alone is exact, the others keep it small. Before its sets are read, a group is
+sifted by bitmaps of a few bits a shingle: the bits in which two differ are
+fewer than the shingles in which their sets do, so who differs from all others
+in too many has no link there.
 
 Defined results: null and wordless texts have empty sets, which link with
 nothing and are components of their own; fewer than five words are one
@@ -56,6 +58,8 @@ BLOCK = 1 << 21
 PATIENCE = 16
 #: Rows that are broadcast, at most: two longs each.
 MOST_BROADCAST = 2_000_000
+#: Groups of more sets than this aren't sifted in the first round, which compares no such group whole.
+MOST_SIFTED = 256
 #: Texts or sets in an Arrow batch.
 WIDE_ROWS = 1000
 
@@ -129,8 +133,65 @@ def common_shingles(docs: DataFrame, most: int = MOST_COMMON, least: int = LEAST
     return v[np.lexsort((v, n))]
 
 
+def parities(v: np.ndarray) -> bytes:
+    """A bitmap of twice as many bits as shingles or more, a power of two: whether an odd number of them falls on a bit."""
+    size = max(64, 1 << int(2 * len(v) - 1).bit_length())
+    return np.packbits(np.bincount(v & (size - 1), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def sift(n: np.ndarray, comp: np.ndarray, bits: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which sets may link with one of another component, by their sizes, in ascending order, and bitmaps of 64-bit words."""
+    keep = np.zeros(len(n), bool)
+    words = np.array([len(b) for b in bits])
+    plain = {w: np.stack([b for b in bits if len(b) == w]) for w in np.unique(words)}
+    first = {w: int(np.searchsorted(words, w)) for w in plain}  # bitmaps grow with sizes, so those of one width lie together
+    folded = {w: plain[2 * w][:, :w] ^ plain[2 * w][:, w:] for w in plain if 2 * w in plain}
+    for i in range(len(n) - 1):
+        end = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+        w = int(words[i])
+        for rows, start in ((plain[w], first[w]), (folded.get(w), first.get(2 * w, 0))):
+            if rows is None:
+                continue
+            lo, hi = max(i + 1, start), min(end, start + len(rows))
+            if lo >= hi:
+                continue
+            differ = np.bitwise_count(rows[lo - start : hi - start] ^ bits[i]).sum(1, dtype=np.int64)
+            both = n[i] + n[lo:hi]
+            near = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (comp[lo:hi] != comp[i])
+            keep[lo:hi] |= near
+            keep[i] |= near.any()
+    return keep
+
+
+def _sifted(most: int | None):
+    """Streams rows (key, n, row, comp, bits) sorted by key and n; passes on those that may link within their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, rows, comps, bits = None, [], [], [], []
+
+        def passed() -> pa.RecordBatch:
+            keep = np.ones(len(n), bool) if most is not None and len(n) > most else sift(np.array(n), np.array(comps), bits)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(int(keep.sum()), key), np.array(rows)[keep], np.array(comps)[keep])], ["key", "row", "comp"])
+
+        for batch in batches:
+            for k, size, row, comp, b in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "row", "comp", "bits"))):
+                if k != key and rows:
+                    if len(rows) > 1:
+                        yield passed()
+                    n, rows, comps, bits = [], [], [], []
+                key = k
+                n.append(size)
+                rows.append(row)
+                comps.append(comp)
+                bits.append(np.frombuffer(b, np.uint64))
+        if len(rows) > 1:
+            yield passed()
+
+    return run
+
+
 def _sets(text: Column, common: np.ndarray) -> Column:
-    """Of a text a struct: n, s (a digest of its set, null if empty), keys (its smallest hashes), set (in the global order)."""
+    """Of a text a struct: n, s (a digest of its set, null if empty), bits, keys (its smallest hashes), set (in the global order)."""
     by_value = np.argsort(common, kind="stable")
     sorted_common = common[by_value]
 
@@ -148,10 +209,10 @@ def _sets(text: Column, common: np.ndarray) -> Column:
             u = v.view(np.uint64)
             digests.append(np.array([_mixed(u + _ODD[1]).sum(), _mixed(u * _ODD[2] + _ODD[3]).sum()], np.uint64).tobytes() if len(v) else None)
         lists = lambda parts: pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, parts)]), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))).cast(pa.list_(pa.int64()))
-        columns = [pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary()), lists([v[:KEYS] for v in found]), lists([ordered(v) for v in found])]
-        return pa.StructArray.from_arrays(columns, ["n", "s", "keys", "set"])
+        columns = [pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array([parities(v) for v in found], pa.binary()), lists([v[:KEYS] for v in found]), lists([ordered(v) for v in found])]
+        return pa.StructArray.from_arrays(columns, ["n", "s", "bits", "keys", "set"])
 
-    return text_udf(lambda: each, "struct<n: bigint, s: binary, keys: array<bigint>, set: array<bigint>>")(text)
+    return text_udf(lambda: each, "struct<n: bigint, s: binary, bits: binary, keys: array<bigint>, set: array<bigint>>")(text)
 
 
 class Branch:
@@ -326,6 +387,9 @@ def _links(keyed: DataFrame, sets: DataFrame, label: str, patience: int | None =
         parts = F.greatest(F.ceil(F.col("many") / TOGETHER), F.ceil(F.col("size") / BLOCK)).cast("int")
         rows = rows.withColumn("key", F.xxhash64("g", "many", F.pmod(F.xxhash64("key", "row"), parts)))
     rows = materialize(rows.select("key", "row", "comp").distinct(), f"{label}-rows")
+    small = _met(sets.select("row", "n", "bits"), rows, "row").repartition("key").sortWithinPartitions("key", "n")
+    before, rows = rows, materialize(small.mapInArrow(_sifted(None if patience is None else MOST_SIFTED), "key bigint, row bigint, comp bigint"), f"{label}-sifted")
+    release(before)
     whole = _met(sets.select("row", "set"), rows, "row").repartition("key").sortWithinPartitions("key", F.size("set"))
     with batches_of(sets.sparkSession, WIDE_ROWS):
         found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct(), f"{label}-links")
@@ -371,7 +435,7 @@ def join(docs: DataFrame) -> DataFrame:
     common = common_shingles(docs)
     found = docs.select("doc_id", _sets(F.col("text"), common).alias("x")).withColumn("row", F.monotonically_increasing_id())
     with batches_of(docs.sparkSession, WIDE_ROWS):
-        prints = materialize(found.select("row", "doc_id", "x.n", "x.s", "x.keys", "x.set"), "sets")
+        prints = materialize(found.select("row", "doc_id", "x.n", "x.s", "x.bits", "x.keys", "x.set"), "sets")
     known = prints.where("s IS NOT NULL")
     reps = materialize(known.groupBy("s").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "reps")
     again = materialize(look_up(known.select("s", F.col("row").alias("this")), reps.select("s", "row"), "s").where("this != row").select(F.col("this").alias("row")), "again")
@@ -387,10 +451,11 @@ def join(docs: DataFrame) -> DataFrame:
     if not shared.isEmpty():
         one = shared.groupBy("key", "comp").agg(F.min(F.struct("row", "n")).alias("x")).select("key", "comp", "x.row", "x.n")
         more = _links(one, sets, "few")
-        before, roots = roots, _roots(links.union(more))
+        before, roots = roots, roots if more.isEmpty() else _roots(links.union(more))
         rest = _met(shared.drop("comp"), roots, "row", "left").select("key", "row", comp.alias("comp"), "n")
         last = _links(rest, sets, "all")
-        release(before)
+        if before is not roots:
+            release(before)
         if not last.isEmpty():
             before, roots = roots, _roots(links.union(more).union(last))
             release(before)
