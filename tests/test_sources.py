@@ -139,9 +139,9 @@ def test_quantiles_and_splits_without_a_task_of_all_rows(spark):
     values = np.concatenate([np.full(400, 7.0), r.normal(0, 5, 333), [1e9, -1e9]])
     df = spark.createDataFrame([(i, float(v), "ab"[i % 2]) for i, v in enumerate(values)] + [(9999, None, None)], "i long, v double, l string")
     at = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
-    got = metrics.quantiles(df, "v", at).first()
-    np.testing.assert_allclose([got[k] for k in at], np.quantile(values, list(at.values())))
-    assert metrics.quantiles(df.limit(0), "v", {"m": 0.5}).first().m is None
+    got = metrics.quantiles(df, {"v": F.col("v")}, at).first()
+    np.testing.assert_allclose([got[f"v_{k}"] for k in at], np.quantile(values, list(at.values())))
+    assert metrics.quantiles(df.limit(0), {"v": F.col("v")}, {"m": 0.5}).first().v_m is None
     split = sampling.stratified_split(df, "l", F.col("v"), "i", 70).collect()
     for label in ("a", "b", None):
         own = sorted((x for x in split if x.l == label), key=lambda x: (x.v is not None, x.v, x.i))

@@ -14,34 +14,62 @@ def range_of(df: DataFrame, column: str, bins: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col(column))) if cuts else F.lit(0)
 
 
-def with_offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """``df`` with range ``__b`` joined to each sum over the ranges before it; as many rows as ranges are sorted in one place."""
-    totals = df.groupBy(F.col("__b").alias("__s")).agg(*[c.alias(k) for k, c in sums.items()])
-    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__s", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
-    return df.join(F.broadcast(offsets), F.col("__b") == F.col("__s")).drop("__b", "__s")
+def with_offsets(df: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with range ``__b`` joined to each sum over the group's ranges before it; as many rows as a group has ranges are sorted in one place."""
+    totals = df.groupBy(*by, F.col("__b").alias("__s")).agg(*[c.alias(k) for k, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"__g_{k}") for k in by], "__s", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+    same = F.col("__b") == F.col("__s")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+    return df.join(offsets if by else F.broadcast(offsets), same).drop("__b", "__s", *[f"__g_{k}" for k in by])
 
 
-def quantiles(df: DataFrame, column: str, at: dict[str, float], bins: int = 64) -> DataFrame:
-    """One row of exact, interpolated quantiles of a column, nulls aside; null without values.
+#: A quantile's place is first found to one in so many rows of its group; groups of up to twice as many rows are looked through whole.
+ACCURACY = 10_000
 
-    Distinct values are counted by ranges, and ranges are offset by those
-    before, so no task holds all values; of each quantile the one or two values
-    beside its place are left.
+
+def quantiles(df: DataFrame, values: dict[str, Column], at: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact, interpolated quantiles ``<value>_<place>`` of several values, nulls aside; one row a group, or one in all.
+
+    Mergeable sketches bracket every place of every value and group at once. A
+    second pass counts what is below each bracket and the distinct values in
+    it, a few in ten thousand, among which the place is then exact; so neither
+    a group's values nor their distinct ones are held or sorted anywhere.
+    Without values a quantile is null.
     """
-    g = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
-    g = g.withColumn("__b", range_of(df.select(F.col(column).cast("double").alias("__x")), "__x", bins))
-    upto = Window.partitionBy("__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    g = with_offsets(g.withColumn("__below", F.coalesce(F.sum("__n").over(upto), F.lit(0))), {"__o": F.sum("__n")})
-    g = g.withColumn("__below", F.col("__below") + F.col("__o")).crossJoin(F.broadcast(g.agg(F.sum("__n").alias("__all"))))
-    aggs = []
-    for name, q in at.items():
-        place = F.lit(q) * (F.col("__all") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        held = lambda i: F.when((F.col("__below") <= i) & (i < F.col("__below") + F.col("__n")), F.col("__x"))
-        share = F.max(place - low)
-        aggs.append((F.max(held(low)) * (1 - share) + F.max(held(high)) * share).alias(name))
-    return g.agg(*aggs)
+    keys = [*by, "__c"]
+    slack = 3.0 / ACCURACY
+    ends = [F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in at.values()]) for d in (-slack, slack)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("__c"), x.cast("double").alias("__x")) for k, x in values.items()])).alias("__v")
+    long = df.select(*by, each).select(*by, "__v.*").where("__x IS NOT NULL")
+    sketch = long.groupBy(*keys).agg(F.count("*").alias("__all"), *[F.percentile_approx("__x", e, F.lit(ACCURACY)).alias(n) for e, n in zip(ends, ("__lo", "__hi"))])
+    whole = F.col("__all") < 2 * ACCURACY
+    if by:
+        met = long.alias("l").join(sketch.alias("s"), [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("l.*", "__all", "__lo", "__hi")
+    else:
+        met = long.join(F.broadcast(sketch), "__c")  # as many rows as values
+    places = range(len(at))
+    x = F.col("__x")
+    inside = whole
+    for i in places:
+        inside = inside | ((x >= F.col("__lo")[i]) & (x <= F.col("__hi")[i]))
+    below = [F.count_if(~whole & (x < F.col("__lo")[i])).alias(f"__b{i}") for i in places]
+    first = [F.first(c).alias(c) for c in ("__all", "__lo", "__hi")]
+    g = met.groupBy(*keys, F.when(inside, x).alias("__y")).agg(F.count("*").alias("__n"), *below, *first)
+    group = Window.partitionBy(*keys)
+    g = g.select(*keys, "__y", "__n", "__all", "__lo", "__hi", F.array(*[F.sum(f"__b{i}").over(group) for i in places]).alias("__below")).where("__y IS NOT NULL")
+    g = g.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(len(at) - 1))))
+    i, y = F.col("__i"), F.col("__y")
+    g = g.where(whole | ((y >= F.get("__lo", i)) & (y <= F.get("__hi", i))))
+    upto = Window.partitionBy(*keys, "__i").orderBy("__y").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("__under", F.get("__below", i) + F.coalesce(F.sum("__n").over(upto), F.lit(0)))
+    place = F.get(F.array(*[F.lit(float(q)) for q in at.values()]), i) * (F.col("__all") - 1)
+    held = lambda p: F.max(F.when((F.col("__under") <= p) & (p < F.col("__under") + F.col("__n")), y))
+    share = F.max(place - F.floor(place))
+    found = g.groupBy(*keys, "__i").agg((held(F.floor(place)) * (1 - share) + held(F.ceil(place)) * share).alias("__q"))
+    out = [F.max(F.when((F.col("__c") == k) & (i == n), F.col("__q"))).alias(f"{k}_{name}") for k in values for n, name in enumerate(at)]
+    return found.groupBy(*by).agg(*out)
 
 
 def ordinal_ranks(df: DataFrame, columns: list[str], tie: str) -> DataFrame:
@@ -62,48 +90,76 @@ def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
 
 
 def regression(df: DataFrame, label: str, pred: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Errors, their spread, and explained variance; medians are exact."""
+    """Errors, their spread, and explained variance, for all rows or by group; medians are exact."""
     y, e = F.col(label), F.col(pred) - F.col(label)
     n, sse = F.count("*"), F.sum(e * e)
     aggs = {
         "mae": F.avg(F.abs(e)), "mae_var": F.var_samp(F.abs(e)), "mae_std": F.stddev_samp(F.abs(e)), "mae_sem": F.stddev_samp(F.abs(e)) / F.sqrt(n),
-        "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "median_ae": F.median(F.abs(e)), "max_error": F.max(F.abs(e)),
+        "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "median_ae": None, "max_error": F.max(F.abs(e)),
         "r2": 1 - sse / (F.var_pop(y) * n), "explained_variance": 1 - F.var_pop(e) / F.var_pop(y),
-        "mean_residual": F.avg(e), "median_residual": F.median(e), "n": n,
+        "mean_residual": F.avg(e), "median_residual": None, "n": n,
     }
-    if by:
-        return df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
-    whole = df.agg(*[c.alias(k) for k, c in aggs.items() if not k.startswith("median")])
-    errors = df.select(e.alias("e"), F.abs(e).alias("a"))
-    out = whole.crossJoin(quantiles(errors, "a", {"median_ae": 0.5})).crossJoin(quantiles(errors, "e", {"median_residual": 0.5}))  # single rows
-    return out.select(*aggs)
+    facts = df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items() if c is not None])
+    medians = quantiles(df, {"ae": F.abs(e), "residual": e}, {"median": 0.5}, by).withColumnsRenamed({"ae_median": "median_ae", "residual_median": "median_residual"})
+    return with_quantiles(facts, medians, by).select(*by, *aggs)
+
+
+def with_quantiles(facts: DataFrame, found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Facts of groups beside their quantiles; null keys are groups too."""
+    if not by:
+        return facts.crossJoin(F.broadcast(found))  # single rows
+    names = [c for c in found.columns if c not in by]
+    a, b = facts.alias("a"), found.alias("b")
+    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by], "left").select("a.*", *[f"b.{c}" for c in names])
 
 
-def score_groups(df: DataFrame, label: str, score: str, bins: int = 64) -> DataFrame:
-    """Positives and negatives by distinct score, with the numbers of both at lower scores.
+def score_groups(df: DataFrame, label: str, score: str, by: tuple[str, ...] = (), bins: int = 64) -> DataFrame:
+    """Positives and negatives by distinct score within a group, with the numbers of both at lower scores.
 
-    Running sums go within ranges of scores, offset by the ranges before.
+    Running sums go within (group, range of scores), offset by the group's
+    ranges before, so that no group is sorted in one task.
     """
-    g = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    g = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
     g = g.withColumn("__b", range_of(df, score, bins))
-    lower = Window.partitionBy("__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumns({f"__{k}": F.coalesce(F.sum(k).over(lower), F.lit(0)) for k in ("neg", "pos")})
-    g = with_offsets(g, {"__on": F.sum("neg"), "__op": F.sum("pos")})
-    return g.select(score, "pos", "neg", (F.col("__neg") + F.col("__on")).alias("neg_below"), (F.col("__pos") + F.col("__op")).alias("pos_below"))
+    g = with_offsets(g, {"__on": F.sum("neg"), "__op": F.sum("pos")}, by)
+    return g.select(*by, score, "pos", "neg", (F.col("__neg") + F.col("__on")).alias("neg_below"), (F.col("__pos") + F.col("__op")).alias("pos_below"))
 
 
-def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
-    """AUROC with ties at half, and average precision, over score groups."""
-    g = score_groups(df, label, score)
-    g = g.crossJoin(F.broadcast(g.agg(F.sum("pos").alias("__pos_all"), F.sum("neg").alias("__neg_all"))))
+def ranking(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """AUROC with ties at half, and average precision, over score groups; one row a group, or one in all.
+
+    Sums of products of counts beside what lies below; those above follow from
+    the group's totals, which the same aggregate has. A measure without
+    positives, or AUROC without negatives, is null.
+    """
+    g = score_groups(df, label, score, by)
+    totals = g.groupBy(*by).agg(F.sum("pos").alias("__pos_all"), F.sum("neg").alias("__neg_all"))
+    g = with_quantiles(g, totals, by)
     above = F.col("__pos_all") - F.col("pos_below")
-    precision = above / (above + F.col("__neg_all") - F.col("neg_below"))
-    return g.agg(
+    precision = F.coalesce(above / F.nullif(above + F.col("__neg_all") - F.col("neg_below"), F.lit(0)), F.lit(0.0))
+    return g.groupBy(*by).agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.nullif(F.first("__pos_all") * F.first("__neg_all"), F.lit(0))).alias("auroc"),
         (F.sum(F.col("pos") * precision) / F.nullif(F.first("__pos_all"), F.lit(0))).alias("ap"),
     )
 
 
+def one_vs_rest(df: DataFrame, label: str, proba: str) -> DataFrame:
+    """Per class, its place in ``proba``, how many rows have it, and how its probability ranks them before the rest; and a row of means over classes.
+
+    Classes that no row has, or all have, rank nothing and are in no mean, and
+    the row of means has a null class. Rows without a label or probabilities
+    are left out.
+    """
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("long").alias("__y"), F.posexplode(proba).alias("class", "__score")).where("__score IS NOT NULL")
+    rows = rows.select(F.col("class").cast("long").alias("class"), (F.col("class") == F.col("__y")).cast("long").alias("__is"), F.col("__score").cast("double").alias("__score"))
+    counts = rows.groupBy("class").agg(F.sum("__is").alias("n"))
+    each = ranking(rows, "__is", "__score", ("class",)).join(counts, "class").select("class", "n", "auroc", F.when(F.col("auroc").isNotNull(), F.col("ap")).alias("ap"))
+    macro = each.agg(F.lit(None).cast("long").alias("class"), F.sum("n").alias("n"), F.avg("auroc").alias("auroc"), F.avg("ap").alias("ap"))
+    return each.unionByName(macro)
+
+
 def binary(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Confusion counts and what follows from them; ratios without a base are null."""
     y, p = F.col(label) == 1, F.col(pred) == 1
@@ -130,24 +186,22 @@ def multiclass(df: DataFrame, label: str, pred: str) -> DataFrame:
 PLACES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
 
-def distribution(df: DataFrame, x: Column, prefix: str) -> DataFrame:
-    """One row: extremes, quantiles (interpolated), mean and population deviation."""
-    values = df.select(x.alias("x"))
-    out = {"min": F.min("x"), "max": F.max("x"), "mean": F.avg("x"), "std": F.stddev_pop("x")}
-    facts = values.agg(*[c.alias(f"{prefix}_{k}") for k, c in out.items()])
-    return facts.crossJoin(quantiles(values, "x", {f"{prefix}_{k}": q for k, q in PLACES.items()}))
+def distributions(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row: of each value extremes, quantiles (interpolated), mean and population deviation."""
+    facts = df.agg(*[f(x).alias(f"{v}_{k}") for v, x in values.items() for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))])
+    return with_quantiles(facts, quantiles(df, values, PLACES), ())
 
 
 def target_coverage(train: DataFrame, test: DataFrame, target: str, pred: str) -> DataFrame:
     """How well the learnt-from targets cover those to predict, and their shape; all parts are single rows."""
     y = F.col(target)
-    a = train.agg(F.count("*").alias("n_train"), F.skewness(y).alias("train_skew"), F.kurtosis(y).alias("train_excess_kurtosis")).crossJoin(distribution(train, y, "train"))
+    a = train.agg(F.count("*").alias("n_train"), F.skewness(y).alias("train_skew"), F.kurtosis(y).alias("train_excess_kurtosis")).crossJoin(distributions(train, {"train": y}))
     a = a.withColumn("train_abs_z_max", F.greatest(F.col("train_max") - F.col("train_mean"), F.col("train_mean") - F.col("train_min")) / F.nullif(F.col("train_std"), F.lit(0.0)))
     ends = train.agg(F.min(y).alias("__min"), F.max(y).alias("__max"))
     b = test.crossJoin(F.broadcast(ends)).agg(
         F.count("*").alias("n_test"), F.avg((y < F.col("__min")).cast("int")).alias("frac_test_below_train_min"), F.avg((y > F.col("__max")).cast("int")).alias("frac_test_above_train_max")
     )
-    b = b.crossJoin(distribution(test, y, "test")).crossJoin(distribution(test, F.col(pred), "pred"))
+    b = b.crossJoin(distributions(test, {"test": y, "pred": F.col(pred)}))
     b = b.withColumn("frac_test_outside_train_range", F.col("frac_test_below_train_min") + F.col("frac_test_above_train_max"))
     b = b.withColumn("pred_spread_ratio", (F.col("pred_max") - F.col("pred_min")) / F.nullif(F.col("test_max") - F.col("test_min"), F.lit(0.0)))
     return a.crossJoin(b)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.scalar import argmax, bind, ensemble_proba, total
+from weftline.functions.scalar import argmax, ensemble_proba
+from weftline.operators.metrics import quantiles, with_quantiles
 
 KEYS = ["key", "cutoff_timestamp"]
 
@@ -91,11 +93,12 @@ def win_matrix(df: DataFrame, metrics: list[str], lower: dict[str, bool]) -> Dat
 
 def regret(df: DataFrame, task: str, value: str, maximize: bool = True) -> DataFrame:
     """Distance from the task's best, and that over the task's interquartile range where it has one."""
-    by = Window.partitionBy(task)
     x = F.col(value)
-    r = F.max(x).over(by) - x if maximize else x - F.min(x).over(by)
-    iqr = df.groupBy(task).agg((F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"))
-    return df.withColumn("regret", r).join(iqr, task).withColumn("norm_regret", F.when(F.col("iqr") > 0, F.col("regret") / F.col("iqr"))).drop("iqr")
+    facts = df.where(F.col(task).isNotNull()).groupBy(task).agg((F.max(x) if maximize else F.min(x)).alias("__best"))
+    facts = with_quantiles(facts, quantiles(df, {"x": x}, {"q25": 0.25, "q75": 0.75}, (task,)), (task,))
+    iqr = F.col("x_q75") - F.col("x_q25")
+    r = F.col("__best") - x if maximize else x - F.col("__best")
+    return df.join(facts, task).withColumn("regret", r).withColumn("norm_regret", F.when(iqr > 0, F.col("regret") / iqr)).drop("__best", "x_q25", "x_q75")
 
 
 def relative_cost(df: DataFrame, task: str, variant: str, cost: str) -> DataFrame:
@@ -116,25 +119,26 @@ def marginals(df: DataFrame, params: list[str], task: str, loss: str) -> DataFra
 def value_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles by group."""
     x = F.col(value)
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q(0.25).alias("q25"), F.median(x).alias("median"), q(0.75).alias("q75"), F.max(x).alias("max"))
+    facts = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    quarters = quantiles(df, {"x": x}, {"q25": 0.25, "median": 0.5, "q75": 0.75}, tuple(by))
+    out = with_quantiles(facts, quarters, tuple(by))
+    return out.select(*by, "n", "mean", "std", "min", F.col("x_q25").alias("q25"), F.col("x_median").alias("median"), F.col("x_q75").alias("q75"), "max")
 
 
 def rowwise(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """Statistics across the columns of each row, nulls aside; no aggregation, so no shuffle."""
-    a = F.array_sort(F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull()))
-    at = lambda t, i: F.get(t["a"], i.cast("int"))
-    first = lambda a: F.struct(a.alias("a"), F.size(a).alias("n"), total(a).alias("sum"))
+    """Statistics across the columns of each row, nulls aside; no aggregation, so no shuffle.
 
-    def second(t: Column) -> Column:
-        median = (at(t, F.floor((t["n"] - 1) / 2)) + at(t, F.floor(t["n"] / 2))) / 2
-        return F.struct(t["a"].alias("a"), t["n"].alias("n"), t["sum"].alias("sum"), (t["sum"] / F.nullif(t["n"], F.lit(0))).alias("mean"), median.alias("median"))
-
-    def third(t: Column) -> Column:
-        sq = F.aggregate(t["a"], F.lit(0.0), lambda s, v: s + (v - t["mean"]) * (v - t["mean"]))
-        return F.struct(t["n"].alias("n"), t["sum"].alias("sum"), t["mean"].alias("mean"), t["median"].alias("median"), F.sqrt(sq / F.nullif(t["n"] - 1, F.lit(0))).alias("std"))
-
-    return df.select(*keep, bind(a, lambda a: bind(first(a), lambda t: bind(second(t), third))).alias("__r")).select(*keep, "__r.*")
+    Sums are written out over the columns; only the median needs them sorted.
+    """
+    x = [F.col(f"__x{i}") for i in range(len(columns))]
+    df = df.select(*keep, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
+    plus = lambda terms: reduce(add, terms, F.lit(0.0))
+    df = df.withColumns({"n": reduce(add, [v.isNotNull().cast("int") for v in x], F.lit(0)), "sum": plus(F.coalesce(v, F.lit(0.0)) for v in x)})
+    df = df.withColumns({"mean": F.col("sum") / F.nullif(F.col("n"), F.lit(0)), "__a": F.array_sort(F.array(*x))})  # nulls last
+    middle = lambda i: F.get("__a", F.floor(i).cast("int"))
+    median = F.when(F.col("n") > 0, (middle((F.col("n") - 1) / 2) + middle(F.col("n") / 2)) / 2)
+    squares = plus(F.coalesce((v - F.col("mean")) * (v - F.col("mean")), F.lit(0.0)) for v in x)
+    return df.select(*keep, "n", "sum", "mean", median.alias("median"), F.sqrt(squares / F.nullif(F.col("n") - 1, F.lit(0))).alias("std"))
 
 
 def disambiguate(df: DataFrame, name: str, extra: Column, out: str = "label") -> DataFrame:

@@ -76,7 +76,7 @@ def median_step(df: DataFrame, time: str) -> DataFrame:
     days = t.groupBy("d").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     across = days.withColumn("b", F.lag("last").over(Window.orderBy("d"))).select(F.col("first").alias("t"), "b")
     gaps = inside.select("t", "b").union(across).where("b is not null").select(((F.col("t") - F.col("b")) / 1e6).alias("gap"))
-    return quantiles(gaps, "gap", {"median_step_s": 0.5})
+    return quantiles(gaps, {"step_s": F.col("gap")}, {"median": 0.5}).withColumnRenamed("step_s_median", "median_step_s")
 
 
 def stratified_split(df: DataFrame, label: str, order: Column, tie: str, train_percent: int = 80, bins: int = 64) -> DataFrame:

@@ -58,6 +58,33 @@ def metrics_multiclass(t):
     return rounded(metrics.multiclass(rows, "y", "p"))
 
 
+_OVR = """x AS (SELECT c_custkey, c_nationkey % 5 AS y, (c_custkey * 7919 % 211 + 1) AS a, (c_custkey * 104729 % 97 + 1) AS b, (c_custkey * 31 % 53 + 1 + 40 * CAST(c_nationkey % 5 = 2 AS INT)) AS c, 7 AS d FROM customer),
+l AS (SELECT y = k AS p, k, round(CASE k WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN c ELSE d END / CAST(a + b + c + d AS DOUBLE), 4) AS s FROM x CROSS JOIN (VALUES (0), (1), (2), (3)) v(k)),
+g AS (SELECT k, s, count(*) FILTER (p) AS pos, count(*) FILTER (NOT p) AS neg FROM l GROUP BY ALL),
+w AS (SELECT *, coalesce(sum(neg) OVER lo, 0) AS nb, sum(pos) OVER hi AS pa, sum(neg) OVER hi AS na FROM g
+ WINDOW lo AS (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hi AS (PARTITION BY k ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT CAST(k AS BIGINT) AS class, CAST(sum(pos) AS BIGINT) AS n, sum(pos * (nb + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc, sum(pos * pa / (pa + na)) / nullif(sum(pos), 0) AS ap FROM w GROUP BY k)"""
+
+
+@query(f"""WITH {_OVR} SELECT class, n, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM m UNION ALL SELECT NULL, CAST(sum(n) AS BIGINT), round(avg(auroc), 6), round(avg(ap), 6) FROM m""")
+def metrics_one_vs_rest(t):
+    k, hit = F.col("c_custkey"), (F.col("c_nationkey") % 5 == 2).cast("int")
+    parts = [k * 7919 % 211 + 1, k * 104729 % 97 + 1, k * 31 % 53 + 1 + 40 * hit, F.lit(7)]
+    rows = t.customer.select((F.col("c_nationkey") % 5).alias("y"), F.array(*[F.round(p / sum(parts[1:], parts[0]), 4) for p in parts]).alias("proba"))
+    return rounded(metrics.one_vs_rest(rows, "y", "proba"))
+
+
+_REG_BY = """SELECT o_orderpriority, round(avg(a), 3) AS mae, round(median(a), 3) AS median_ae, round(median(e), 3) AS median_residual, count(*) AS n
+FROM (SELECT o_orderpriority, (o_orderkey * 7919 % 1000 - 500) * 10.0 + o_totalprice - o_totalprice AS e, abs((o_orderkey * 7919 % 1000 - 500) * 10.0 + o_totalprice - o_totalprice) AS a FROM orders) GROUP BY 1"""
+
+
+@query(_REG_BY)
+def metrics_regression_by(t):
+    rows = t.orders.select("o_orderpriority", F.col("o_totalprice").alias("y"), (F.col("o_totalprice") + (F.col("o_orderkey") * 7919 % 1000 - 500) * F.lit(10.0)).alias("p"))
+    m = metrics.regression(rows, "y", "p", ("o_orderpriority",))
+    return m.select("o_orderpriority", *[F.round(c, 3).alias(c) for c in ("mae", "median_ae", "median_residual")], "n")
+
+
 def _dist(c: str, p: str) -> str:
     q = ", ".join(f"round(quantile_cont({c}, {v}), 4) AS {p}_{n}" for n, v in (("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p99", 0.99)))
     return f"round(min({c}), 4) AS {p}_min, round(max({c}), 4) AS {p}_max, round(avg({c}), 4) AS {p}_mean, round(stddev_pop({c}), 4) AS {p}_std, {q}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import table, tidy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ def query(sql: str | None = None):
     """Registers a function of ``T`` (tables by name) under its name, with its SQL if there is any."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(lambda: f(Tables(spark, sf_dir)))
         if sql:
             SQL[f.__name__] = sql
         return f

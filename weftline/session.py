@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: What the call of ``settle`` or ``tidy`` that is under way has written; every thread has its own.
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (steps := _steps.get()) is not None:
+        steps.append(path)
     return path
 
 
@@ -65,21 +70,46 @@ def release(*dfs: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def _within(make: Callable[[], DataFrame], unread: Callable[[DataFrame, str], bool]) -> DataFrame:
+    """What ``make`` gives; of the steps that it wrote, here and not in other threads, those that are unread are removed."""
+    outer, steps = _steps.get(), []
+    token = _steps.set(steps)
+    try:
+        out = make()
+    finally:
+        _steps.reset(token)
+    for path in steps:
+        if unread(out, path):
+            _remove(out.sparkSession, path)
+        elif outer is not None:
+            outer.append(path)
+    return out
+
+
 def settle(make: Callable[[], DataFrame], label: str = "step") -> DataFrame:
     """What ``make`` plans, written; the steps that it wrote on its way are removed."""
-    before = {path for _, path in _written}
-    out = materialize(make(), label)
-    for spark, path in list(_written):
-        if path not in before and path != out._weftline_path:
-            _remove(spark, path)
-    return out
+    return _within(lambda: materialize(make(), label), lambda out, path: path != out._weftline_path)
+
+
+def tidy(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` plans, lazy as it is; the steps that its plan doesn't read are removed."""
+    read: list[str] = []
+
+    def unread(out: DataFrame, path: str) -> bool:
+        if not read:
+            read.extend(["", *out.inputFiles()])
+        return not any(path.rpartition("/")[2] in f for f in read)
+
+    return _within(make, unread)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if (spark, path) in _written:
+    try:
         _written.remove((spark, path))
+    except ValueError:  # by a path that was given up before
+        pass
 
 
 @atexit.register
