@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.scalar import argmax, datetime_parts, fixed_width, softmax
 from weftline.operators.algebra import column_profile
-from weftline.operators.pooling import first_k, project, sign_matrix
+from weftline.operators.pooling import first_k, interleave, project, sign_matrix
 from weftline.session import materialize
 
 
@@ -162,18 +162,20 @@ class FrameBackbone:
         return test.mapInPandas(run, schema)
 
 
-def extract(df: DataFrame, features: list[str], dim: int, keep: list[str], seed: int = 1, activation: str | None = None) -> DataFrame:
+def extract(df: DataFrame, features: list[str], dim: int, keep: list[str], seed: int = 1, activation: str | None = None, estimators: int = 1) -> DataFrame:
     """Default row embeddings: standardised features, missing ones at their mean, through a sign projection.
 
+    Every estimator has a projection of its own, by its seed; an embedding
+    holds those of all, one after another, so that they are pooled together.
     With ``relu`` elements below 0 become 0, so that pooled embeddings tell
     apart rows whose features agree column by column.
     """
     if not features:
-        return df.select(*keep, F.array(*[F.lit(0.0)] * dim).alias("emb"))
+        return df.select(*keep, F.array(*[F.lit(0.0)] * (dim * estimators)).alias("emb"))
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     stats = df.agg(*[F.struct(F.avg(value(c)).alias("m"), F.stddev_pop(value(c)).alias("s")).alias(c) for c in features]).first()
     z = [F.coalesce((value(c) - F.lit(stats[c]["m"])) / F.lit(stats[c]["s"] or 1.0), F.lit(0.0)) if stats[c]["m"] is not None else F.lit(0.0) for c in features]
-    out = project(F.array(*z), sign_matrix(dim, len(features), seed))
+    out = project(F.array(*z), [row for e in range(estimators) for row in sign_matrix(dim, len(features), seed + e)])
     if activation == "relu":
         out = F.transform(out, lambda v: F.greatest(v, F.lit(0.0)))
     elif activation:
@@ -243,6 +245,18 @@ def reduce_dims(df: DataFrame, embedding: str, width: int, method: str, dim: int
     return df.withColumn(embedding, first_k(x, dim))
 
 
+def reduce_estimators(df: DataFrame, embedding: str, estimators: int, width: int, method: str, dim: int, seed: int = 1, apart: bool = False) -> DataFrame:
+    """Embeddings of ``estimators`` times ``width`` elements reduced to ``dim``: jointly, or each estimator's ``apart`` to ``dim`` of its own."""
+    x = F.col(embedding)
+    if not apart:
+        return reduce_dims(df.withColumn(embedding, interleave(x, estimators, width)), embedding, estimators * width, method, dim, seed)
+    names = [f"__e{i}" for i in range(estimators)]
+    df = df.withColumns({n: F.slice(x, i * width + 1, width) for i, n in enumerate(names)})
+    for n in names:
+        df = reduce_dims(df, n, width, method, dim, seed)
+    return df.withColumn(embedding, F.concat(*names)).drop(*names)
+
+
 def embed_text(df: DataFrame, column: str, dim: int = 32, prefix: str | None = None, hashed: int = 256, reduce: str | None = None, seed: int = 1) -> DataFrame:
     """Text features: each distinct value hashed to ``dim`` signed term frequencies, joined back.
 

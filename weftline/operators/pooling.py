@@ -146,6 +146,11 @@ def merge_estimators(df: DataFrame, row: str, est: str, embedding: str, name: st
     return each.select(row, F.flatten(F.transform(dims, lambda d: F.transform("__all", lambda s: F.get(s["x"], d)))).alias(name))
 
 
+def interleave(x: Column, estimators: int, width: int) -> Column:
+    """An array of estimators one after another, by dimension first and estimator within it."""
+    return x if estimators == 1 else F.array(*[F.get(x, F.lit(e * width + d)) for d in range(width) for e in range(estimators)])
+
+
 def fuse(df: DataFrame, embedding: str, width: int, prefix: str = "_ctx_emb_") -> DataFrame:
     """An array's elements as float columns; null beyond its end."""
     return df.select(*[c for c in df.columns if c != embedding], *[F.get(embedding, F.lit(i)).cast("float").alias(f"{prefix}{i}") for i in range(width)])

@@ -46,11 +46,89 @@ def train_sample(train: DataFrame, test: DataFrame, key: str, id_col: str, score
     return anchors.unionByName(top(rest, F.col(score), size - held, id_col))
 
 
+def top_per_group(df: DataFrame, group: str, score: str, k: Column, tie: str, bins: int = 256) -> DataFrame:
+    """The ``k`` best rows of each of a few groups of any size; ``k`` may follow from a group's columns.
+
+    Scores are counted by group and range. Ranges wholly among the best stay as
+    they are, and only rows of the range that holds a group's last place are
+    ranked, so a group is no one task's.
+    """
+    columns = df.columns
+    df = df.withColumn("__b", range_of(df, score, bins)).withColumn("__k", k)
+    sizes = df.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__s")).agg(F.count("*").alias("__n"))
+    better = Window.partitionBy("__g").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__better", F.coalesce(F.sum("__n").over(better), F.lit(0)))
+    df = df.join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__s"))).where(F.col("__better") < F.col("__k"))
+    whole = F.col("__better") + F.col("__n") <= F.col("__k")
+    rank = F.row_number().over(Window.partitionBy(group, "__b").orderBy(F.desc(score), tie))
+    edge = df.where(~whole).withColumn("__r", rank).where(F.col("__better") + F.col("__r") <= F.col("__k"))
+    return df.where(whole).select(*columns).unionByName(edge.select(*columns))
+
+
+def batch_samples(train: DataFrame, test: DataFrame, batch: str, key: str, id_col: str, score: str, size: int, anchor_fraction: float = 0.0, restrict: bool = True, fill_from_test_keys: bool = False) -> DataFrame:
+    """For each batch of rows to predict its own rows to learn from, as ``train_sample`` would take them: ``batch``, and ``train``'s columns.
+
+    All batches take a fixed number of passes. Anchors are ranked by batch and
+    key. What fills a batch from all rows is among the ``size`` best of all,
+    as a batch leaves no more of those out than it has anchors; so it is found
+    once. What fills a batch from rows of its keys is found by score ranges.
+    """
+    columns = train.columns
+    batches = materialize(test.select(F.col(batch).alias("__t"), F.col(key).alias("__key")).distinct(), "batches")
+    every = batches.select("__t").distinct()
+    if not fill_from_test_keys and train.limit(size + 1).count() <= size:
+        return every.join(F.broadcast(train)).select(F.col("__t").alias(batch), *columns)  # a sample of at most ``size`` rows each
+    best = materialize(top(train, F.col(score), size, id_col).withColumn("__place", F.row_number().over(Window.orderBy(F.desc(score), id_col))), "best")  # ``size`` rows
+    if not restrict:
+        return every.join(F.broadcast(best)).select(F.col("__t").alias(batch), *columns)
+    keys = batches.where("__key IS NOT NULL")
+    budget = keys.groupBy("__t").agg(F.count("*").alias("__keys"))
+    depth = F.greatest(F.lit(1), F.rint(F.lit(size * anchor_fraction) / F.col("__keys"))) if anchor_fraction > 0 else F.lit(0)
+    own = materialize(train.join(keys, F.col(key) == F.col("__key")).drop("__key").join(F.broadcast(budget), "__t"), "own")
+    rank = F.row_number().over(Window.partitionBy("__t", key).orderBy(F.desc(score), id_col))
+    anchors = materialize(own.withColumn("__r", rank).where(F.col("__r") <= depth).select("__t", *columns), "anchors")
+    held = anchors.groupBy("__t").agg(F.count("*").alias("__held"))
+    every = materialize(every.join(held, "__t", "left").select("__t", F.coalesce("__held", F.lit(0)).alias("__held")), "held")
+    taken = anchors.select(F.col("__t").alias("__at"), F.col(id_col).alias("__taken"))
+    left = (F.col("__t") == F.col("__at")) & (F.col(id_col) == F.col("__taken"))
+    if fill_from_test_keys:
+        sizes = own.groupBy("__t").agg(F.count("*").alias("__own"))
+        every = every.join(sizes, "__t", "left").withColumn("__inner", F.coalesce(F.col("__own") > F.col("__held"), F.lit(False)))
+    else:
+        every = every.withColumn("__inner", F.lit(False))
+    need = F.lit(size) - F.col("__held")
+    outer = every.where(~F.col("__inner")).join(F.broadcast(best)).join(taken, left, "left_anti")
+    outer = outer.withColumn("__r", F.row_number().over(Window.partitionBy("__t").orderBy("__place"))).where(F.col("__r") <= need)
+    out = anchors.unionByName(outer.select("__t", *columns))
+    if fill_from_test_keys:
+        inner = own.drop("__keys").join(F.broadcast(every.where("__inner").select("__t", "__held")), "__t").join(taken, left, "left_anti")
+        inner = top_per_group(materialize(inner, "inner"), "__t", score, need, id_col)
+        out = out.unionByName(inner.select("__t", *columns))
+    return out.withColumnRenamed("__t", batch)
+
+
+def row_sets(links: DataFrame, group: list[str], row: str) -> DataFrame:
+    """One of the groups with each set of rows: its columns.
+
+    A set's signature doesn't depend on order: its size and two combined
+    hashes, so no set is collected.
+    """
+    each = links.select(*group, row).distinct().groupBy(*group)
+    signed = each.agg(F.count("*").alias("__n"), *[F.bit_xor(F.xxhash64(row, F.lit(i))).alias(f"__h{i}") for i in (1, 2)])
+    return signed.groupBy("__n", "__h1", "__h2").agg(F.min(F.struct(*group)).alias("__first")).select(*[F.col(f"__first.{g}").alias(g) for g in group])
+
+
 def context_sample(links: DataFrame, group: list[str], row: str, order: Column, cap: int) -> DataFrame:
-    """Rows of a context table: all if they are at most ``cap``, else an equal budget of one or more per group of its links."""
+    """Rows of a context table: all if they are at most ``cap``, else an equal budget of one or more per set of rows that a group of its links has.
+
+    Groups with the same rows count once, over all links.
+    """
     if links.select(row).distinct().count() <= cap:
         return links.select(row).distinct()
-    groups = links.select(*group).distinct().count()
+    kept = materialize(row_sets(links, group, row), "sets")
+    groups = kept.count()
+    a, b = links.alias("a"), kept.alias("b")
+    links = a.join(b, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group], "left_semi")
     by = Window.partitionBy(*group).orderBy(order, row)
     return links.withColumn("__r", F.row_number().over(by)).where(F.col("__r") <= max(1, cap // groups)).select(row).distinct()
 

@@ -12,12 +12,12 @@ from weftline.plans.graph import inference_dag, topological
 from weftline.session import materialize
 
 
-def relevance(db: Database, task: str, rows: DataFrame, row_id: str = "__row") -> dict[str, DataFrame]:
+def relevance(db: Database, task: str, rows: DataFrame, row_id: str = "__row", shortest: bool = False) -> dict[str, DataFrame]:
     """The ids of each table's rows that the task's rows reach along the inference edges; tables without any are left out.
 
     One semi-join per edge, in topological order, with ids written between levels.
     """
-    edges = inference_dag(db, task)
+    edges = inference_dag(db, task, shortest)
     order = topological(list(db.tables), edges) or []
     found = {task: rows.select(row_id)}
     for t in order:

@@ -14,8 +14,8 @@ its neighbours.
 
 All steps are plans over rows; tables are written where a pass needs them
 twice. Keys and references carry no meaning of their own and are no features.
-Rows to predict are taken together, not in batches: the sample is bounded, and
-they stream past it.
+Rows to predict are taken together, or in batches that each have rows to learn
+from of their own; context is found and extracted once for all batches.
 
 Defined results: a row without context has null context, filled by the mean
 where it is extracted; a table without relevant rows is left out; without
@@ -26,21 +26,24 @@ along and never read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from inspect import signature
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.catalog import Database, Edge, Rel, Task
-from weftline.models import Backbone, LinearBackbone, Vectorizer, extract, reduce_dims
+from weftline.functions.scalar import log_target, unlog_target
+from weftline.models import Backbone, LinearBackbone, Vectorizer, extract, reduce_estimators
+from weftline.operators.algebra import numbered
 from weftline.operators.metrics import binary, ranking, regression, target_coverage
-from weftline.operators.pooling import combine, fuse, layer_norm, pool
-from weftline.operators.sampling import context_sample, recency_scores, train_sample
+from weftline.operators.pooling import combine, fuse, interleave, layer_norm, pool
+from weftline.operators.sampling import batch_samples, context_sample, recency_scores, train_sample
 from weftline.plans import rewrite
 from weftline.plans.graph import distances, inference_dag, topological
 from weftline.plans.inference import pool_edge, relevance
 from weftline.session import materialize
 
-ROW = "__row"
+ROW, BATCH, LEARNT = "__row", "__batch", "__learnt"
 
 
 @dataclass(frozen=True)
@@ -59,6 +62,12 @@ class Settings:
     activation: str | None = "relu"
     reduce: str | None = None
     reduce_dim: int = 8
+    #: Extractions with projections of their own, carried side by side; whether early fusion reduces each apart.
+    estimators: int = 1
+    reduce_apart: bool = False
+    #: Pool along shortest paths to the task alone; learn the logarithm of targets.
+    shortest_paths: bool = False
+    log_target: bool = False
     future: bool = False
     #: Numbers of context rows beside the features.
     counts: bool = True
@@ -68,6 +77,8 @@ class Settings:
     #: Rows to learn from, and of a context table, at most; None takes all.
     train_rows: int | None = 50_000
     context_rows: int | None = 50_000
+    #: Rows to predict of a batch; None takes all together.
+    batch_rows: int | None = None
     anchor_fraction: float = 0.0
     restrict: bool = False
     fill_from_test_keys: bool = False
@@ -91,6 +102,8 @@ class Prepared:
     target_col: str
     split_col: str
     refs: dict[str, set[str]] = field(default_factory=dict)
+    #: (batch, id): which rows to learn from and to predict are of which batch, if there are batches.
+    batches: DataFrame | None = None
 
 
 def prepare(task: Task, settings: Settings, evaluate: str) -> Prepared:
@@ -102,9 +115,18 @@ def prepare(task: Task, settings: Settings, evaluate: str) -> Prepared:
     rows = materialize(rel.df, "task")
     train = rows.where(F.col(split) == "train") if evaluate == "val" else rows.where(F.col(split) != "test")
     test = rows.where(F.col(split) == evaluate)
-    sample = train
-    if settings.train_rows is not None:
-        scored = recency_scores(train, id_col, time, settings.half_life_steps, "__score", settings.seed)
+    sample, batches = train, None
+    scored = recency_scores(train, id_col, time, settings.half_life_steps, "__score", settings.seed) if settings.train_rows is not None else None
+    if settings.batch_rows is not None:
+        dealt = numbered(test, [id_col], "__at").withColumn(BATCH, F.floor(F.col("__at") / settings.batch_rows).cast("long"))
+        dealt = materialize(dealt.select(BATCH, id_col, entity), "dealt")
+        if scored is None:
+            batches = dealt.select(BATCH).distinct().crossJoin(train.select(id_col))
+        else:
+            batches = batch_samples(scored.select(id_col, entity, "__score"), dealt, BATCH, entity, id_col, "__score", settings.train_rows, settings.anchor_fraction, settings.restrict, settings.fill_from_test_keys)
+        batches = materialize(batches.select(BATCH, id_col).union(dealt.select(BATCH, id_col)), "batches")
+        sample = train.join(batches.select(id_col).distinct(), id_col, "left_semi")
+    elif scored is not None:
         sample = train_sample(scored, test, entity, id_col, "__score", settings.train_rows, settings.anchor_fraction, settings.restrict, settings.fill_from_test_keys).drop("__score")
     chosen = materialize(sample.withColumn(split, F.lit("train")).unionByName(test.withColumn(split, F.lit("test"))), "chosen")
     tables = {task.table: rel.with_df(chosen.withColumn(ROW, F.col(id_col)))}
@@ -117,14 +139,14 @@ def prepare(task: Task, settings: Settings, evaluate: str) -> Prepared:
         refs[e.target].add(e.target_col)
     db = Database(tables, tuple(e for e in db.edges if e.source in tables and e.target in tables))
     refs[task.table] |= {entity}
-    return Prepared(db, task.table, id_col, time, name(task.target_col), split, refs)
+    return Prepared(db, task.table, id_col, time, name(task.target_col), split, refs, batches)
 
 
 def restrict_to_relevant(p: Prepared, settings: Settings) -> Database:
     """Tables with the rows that the task's rows reach, each up to the budget, shared out over the rows that refer to it."""
-    found = relevance(p.db, p.table, p.db.tables[p.table].df, ROW)
+    found = relevance(p.db, p.table, p.db.tables[p.table].df, ROW, settings.shortest_paths)
     tables = {p.table: p.db.tables[p.table]}
-    edges = [e for e in inference_dag(p.db, p.table) if e.source in found and e.target in found]
+    edges = [e for e in inference_dag(p.db, p.table, settings.shortest_paths) if e.source in found and e.target in found]
     for t in found:
         if t == p.table:
             continue
@@ -147,6 +169,15 @@ class Extractor:
     def __init__(self, p: Prepared, settings: Settings):
         self.p, self.settings = p, settings
         self.seen: dict[str, tuple[DataFrame, list[str]]] = {}
+        self.reduced = settings.reduce is not None and settings.fusion == "early"
+        #: Elements of an embedding, and of those one estimator's.
+        self.one = settings.reduce_dim if self.reduced else settings.dim
+        self.many = 1 if self.reduced and not settings.reduce_apart else settings.estimators
+        self.width = self.one * self.many
+
+    def merged(self, column: str):
+        """An embedding as the features it is fused as: by dimension first and estimator within it."""
+        return interleave(F.col(column), self.many, self.one)
 
     def features(self, rel: Rel) -> tuple[DataFrame, list[str]]:
         """Row ids with the table's vectorized columns; fitted and written once a table."""
@@ -162,7 +193,6 @@ class Extractor:
     def with_context(self, df: DataFrame, names: list[str], contexts: list[DataFrame]) -> tuple[DataFrame, list[str]]:
         """Context counts and, for early fusion, context elements as columns beside ``names``."""
         s = self.settings
-        width = s.reduce_dim if s.reduce and s.fusion == "early" else s.dim
         for i, c in enumerate(contexts):
             c = c.select(F.col(ROW).alias("__c"), F.col("emb").alias("__ctx"), F.col("cnt").alias("__cnt"))
             df = df.join(c, F.col(ROW) == F.col("__c"), "left").drop("__c")
@@ -172,8 +202,8 @@ class Extractor:
             df = df.drop("__cnt")
             if s.fusion == "early":
                 prefix = f"_ctx_emb_{i}_" if len(contexts) > 1 else "_ctx_emb_"
-                df = fuse(df, "__ctx", width, prefix)
-                names = [*names, *[f"{prefix}{k}" for k in range(width)]]
+                df = fuse(df.withColumn("__ctx", self.merged("__ctx")), "__ctx", self.width, prefix)
+                names = [*names, *[f"{prefix}{k}" for k in range(self.width)]]
             else:
                 df = df.drop("__ctx")
         return df, names
@@ -182,11 +212,11 @@ class Extractor:
         """(row, emb) of a table."""
         s = self.settings
         df, names = self.with_context(*self.features(rel), contexts)
-        out = extract(df, names, s.dim, [ROW], s.seed + 1, s.activation)
+        out = extract(df, names, s.dim, [ROW], s.seed + 1, s.activation, s.estimators)
         if contexts and s.fusion == "late":
             out = self.late(out, contexts)
-        if s.reduce and s.fusion == "early":
-            out = reduce_dims(materialize(out, "extracted"), "emb", s.dim, s.reduce, s.reduce_dim, s.seed)
+        if self.reduced:
+            out = reduce_estimators(materialize(out, "extracted"), "emb", s.estimators, s.dim, s.reduce, s.reduce_dim, s.seed, s.reduce_apart)
         return materialize(out, "embeddings")
 
     def late(self, own: DataFrame, contexts: list[DataFrame]) -> DataFrame:
@@ -211,7 +241,7 @@ class Extractor:
 def one_pass(db: Database, x: Extractor) -> list[DataFrame]:
     """The task rows' context, once all tables are extracted from the outermost inward."""
     task = x.p.table
-    edges = inference_dag(db, task)
+    edges = inference_dag(db, task, x.settings.shortest_paths)
     done: dict[str, DataFrame] = {}
     for t in reversed(topological(list(db.tables), edges) or []):
         if t != task:
@@ -261,16 +291,37 @@ def predict(task: Task, settings: Settings = Settings(), backbone: Backbone | No
         if settings.fusion == "early":
             df, names = x.with_context(df, names, contexts)
         else:
-            own = x.extract(rel, contexts).select(F.col(ROW).alias("__e"), "emb")
-            df = fuse(df.join(own, F.col(ROW) == F.col("__e")).drop("__e"), "emb", settings.dim, "_emb_")
-            names = [*names, *[f"_emb_{i}" for i in range(settings.dim)]]
-    rows = materialize(df, "vectors")
+            own = x.extract(rel, contexts).select(F.col(ROW).alias("__e"), x.merged("emb").alias("emb"))
+            df = fuse(df.join(own, F.col(ROW) == F.col("__e")).drop("__e"), "emb", x.width, "_emb_")
+            names = [*names, *[f"_emb_{i}" for i in range(x.width)]]
+    target = F.col(p.target_col)
+    learnt = log_target(target) if settings.log_target else target
+    rows = materialize(df.withColumn(LEARNT, F.when(F.col(p.split_col) == "train", learnt)), "vectors")
     names = known(rows.where(F.col(p.split_col) == "train"), names)
-    train, test = (rows.where(F.col(p.split_col) == s) for s in ("train", "test"))
     backbone = backbone or LinearBackbone(task.kind == "regression")
-    out = backbone.predict(train, test, names, p.target_col)
+    out = predict_rows(backbone, rows, p, names)
+    if settings.log_target:
+        out = out.withColumn("y_pred", unlog_target(F.col("y_pred")))
     made = [c for c in ("y_pred", "proba") if c in out.columns]
-    return out.select(F.col(ROW).alias(task.id_col), F.col(p.target_col).alias(task.target_col), *made)
+    return out.select(F.col(ROW).alias(task.id_col), target.alias(task.target_col), *made)
+
+
+def predict_rows(backbone: Backbone, rows: DataFrame, p: Prepared, names: list[str]) -> DataFrame:
+    """The rows to predict with what the backbone makes of them, batch by batch if there are batches.
+
+    A backbone that takes batches gets all at once.
+    """
+    parts = lambda df: [df.where(F.col(p.split_col) == s) for s in ("train", "test")]
+    if p.batches is None:
+        return backbone.predict(*parts(rows), names, LEARNT)
+    dealt = rows.join(p.batches.select(BATCH, F.col(p.id_col).alias("__b")), F.col(ROW) == F.col("__b")).drop("__b")
+    if "batch" in signature(backbone.predict).parameters:
+        return backbone.predict(*parts(dealt), names, LEARNT, batch=BATCH)
+    dealt, out = materialize(dealt, "dealt"), None
+    for (b,) in p.batches.select(BATCH).distinct().orderBy(BATCH).collect():
+        one = backbone.predict(*parts(dealt.where(F.col(BATCH) == b)), names, LEARNT)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else backbone.predict(*parts(dealt), names, LEARNT)
 
 
 def known(train: DataFrame, names: list[str]) -> list[str]:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from weftline import models
 from weftline.catalog import Database, Edge, Rel, Task
-from weftline.operators.algebra import numbered
+from weftline.functions.scalar import uniform
+from weftline.incontext import AttentionBackbone
+from weftline.operators import sampling
+from weftline.operators.algebra import number_splits, numbered
 from weftline.operators.pooling import sign_bit
 from weftline.plans import graph, inference, predictor, rewrite
 from weftline.queries.algebra import SPEC, task_of
@@ -18,9 +21,9 @@ from weftline.queries.vectors import _arr, _r
 from weftline.sources import files
 
 
-def _sign(i: int, j: int) -> int:
+def _sign(i: int, j: int, seed: int = 1) -> int:
     """An element of the sign projection, up to its scale."""
-    return 1 if sign_bit(i, j, 1) else -1
+    return 1 if sign_bit(i, j, seed) else -1
 
 
 def _single(x: str) -> str:
@@ -213,16 +216,19 @@ FUSED = predictor.Settings(dim=1, activation=None, train_rows=None, context_rows
 _ORDER_FEATURES = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "hour(o_orderdate)", "epoch(o_orderdate)", "o_totalprice")
 #: The task's own features, by their places among all; those that are the same in all rows are left out.
 _TASK_FEATURES = {0: "year(cutoff)", 4: "epoch(cutoff)", 5: "c_acctbal", 6: "refs"}
-def _predictor_sql(features: tuple[str, ...]) -> str:
-    """Gaussian naive Bayes on ``features`` of the rewritten task, its context ``cnt`` and ``ctx``, and ``late``, both combined."""
+def _predictor_sql(features: tuple[str, ...], estimators: int = 1) -> str:
+    """Gaussian naive Bayes on ``features`` of the rewritten task, its context ``cnt`` and ``ctx`` (``ctx1`` and so on for more estimators), and ``late``, own and context combined."""
+    more = [(e, f"{e or ''}") for e in range(estimators)]
+    emb = ", ".join(" + ".join(f"{_sign(0, i, 1 + e)} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6)) + f" AS emb{n}" for e, n in more)
+    ctx = ", ".join(f"avg(emb{n}) AS ctx{n}" for _, n in more)
     own = " + ".join(f"{_sign(0, j)} * coalesce(({_single(x)} - avg({_single(x)}) OVER ()) / nullif(stddev_pop({_single(x)}) OVER (), 0), 0)" for j, x in ({**_TASK_FEATURES, 7: "cnt"}).items())
     n = range(len(features))
     return f"""WITH {TASK_SQL}, o AS (SELECT o_custkey, o_orderdate, {", ".join(f"{_single(x)} AS x{i}" for i, x in enumerate(_ORDER_FEATURES))} FROM orders),
 s AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(6))} FROM o),
-e AS (SELECT o_custkey, o_orderdate, {" + ".join(f"{_sign(0, i)} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6))} AS emb FROM o CROSS JOIN s),
+e AS (SELECT o_custkey, o_orderdate, {emb} FROM o CROSS JOIN s),
 r AS (SELECT o_custkey, count(*) AS refs FROM orders GROUP BY 1),
-c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, avg(emb) AS ctx FROM task JOIN e ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY ALL),
-t AS (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, ctx FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff)),
+c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, {ctx} FROM task JOIN e ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY ALL),
+t AS (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, {", ".join(f"ctx{n}" for _, n in more)} FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff)),
 w AS (SELECT *, {own} AS own FROM t),
 f AS (SELECT task_id, split, label, {", ".join(f"{_single(x)} AS f{i}" for i, x in enumerate(features))} FROM (SELECT *, coalesce((own + ctx) / 2, own) AS late FROM w)),
 k AS (SELECT label AS k, ln(count(*) / sum(count(*)) OVER ()) AS prior, {", ".join(f"avg(f{i}) AS a{i}, greatest(var_pop(f{i}), 0.001) AS v{i}" for i in n)} FROM f WHERE split <> 'test' GROUP BY label),
@@ -254,6 +260,64 @@ def predict_unfused(t):
     return _predicted(t, replace(FUSED, fusion="none"))
 
 
+@query(_predictor_sql((*_TASK_FEATURES.values(), "cnt", "ctx", "ctx1", "ctx2", "ctx3"), 4))
+def predict_estimators(t):
+    """The same with four extractions side by side, pooled in one pass."""
+    return _predicted(t, replace(FUSED, estimators=4))
+
+
+_NEAR = {"n90": "count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 90 DAY)", "n365": "count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 365 DAY)", "n": "count(o_orderdate)", "c_acctbal": "c_acctbal"}
+
+
+@query(f"""WITH {TASK_SQL}, x AS (SELECT task_id, c_custkey, split, label, {", ".join(f"{x} AS {k}" for k, x in _NEAR.items())} FROM task JOIN customer USING (c_custkey) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY task_id, c_custkey, c_acctbal, split, label),
+s AS (SELECT {", ".join(f"avg({k}) AS m_{k}, stddev_pop({k}) AS s_{k}" for k in _NEAR)} FROM x WHERE split <> 'test'),
+z AS (SELECT task_id, c_custkey, split, label, {", ".join(f"({k} - m_{k}) / s_{k} AS {k}" for k in _NEAR)} FROM x CROSS JOIN s),
+p AS (SELECT q.c_custkey, q.label, k.label AS y, -({" + ".join(f"(q.{k} - k.{k}) * (q.{k} - k.{k})" for k in _NEAR)}) / 2 / 0.25 AS e FROM z q JOIN z k ON q.split = 'test' AND k.split <> 'test'),
+w AS (SELECT c_custkey, label, y, exp(e - max(e) OVER (PARTITION BY c_custkey)) AS w FROM p),
+r AS (SELECT c_custkey, label, sum(w * y) / sum(w) AS p FROM w GROUP BY ALL)
+SELECT c_custkey, label, CAST(p > 0.5 AS INTEGER) AS y_pred, round(p, 6) AS p FROM r""")
+def predict_in_context(t):
+    """Attention of every row to predict over all rows to learn from."""
+    from weftline.operators.counts import counts_as_of
+
+    rows = counts_as_of(task_rows(t), "c_custkey", F.col("cutoff"), t.orders, "o_custkey", F.col("o_orderdate"), "n", (90, 365))
+    rows = materialize(rows.join(t.customer.select(F.col("c_custkey").alias("__c"), "c_acctbal"), F.col("c_custkey") == F.col("__c")).drop("__c"), "rows")
+    names = [c for c in rows.columns if c not in ("c_custkey", "cutoff", "split", "label", "target")]
+    out = AttentionBackbone().predict(rows.where("split != 'test'"), rows.where("split = 'test'"), names, "label")
+    return out.select("c_custkey", "label", "y_pred", r6(F.get("proba", F.lit(1))).alias("p"))
+
+
+@query(f"""WITH {TASK_SQL}, test AS (SELECT (task_id - min(task_id) OVER ()) // 400 AS batch, c_custkey FROM task WHERE split = 'test'),
+train AS (SELECT task_id, c_custkey, md5('0:' || task_id) AS u FROM task WHERE split <> 'test'),
+b AS (SELECT batch, count(DISTINCT c_custkey) AS keys FROM test GROUP BY 1),
+anchors AS (SELECT batch, task_id FROM train JOIN (SELECT DISTINCT batch, c_custkey FROM test) USING (c_custkey) JOIN b USING (batch)
+ QUALIFY row_number() OVER (PARTITION BY batch, c_custkey ORDER BY u DESC, task_id) <= greatest(1, round_even(1000 * CAST(0.3 AS DOUBLE) / keys, 0))),
+rest AS (SELECT b.batch, task_id, row_number() OVER (PARTITION BY b.batch ORDER BY u DESC, task_id) AS r FROM b CROSS JOIN train ANTI JOIN anchors ON anchors.batch = b.batch AND anchors.task_id = train.task_id)
+SELECT batch, task_id FROM anchors UNION ALL SELECT batch, task_id FROM rest WHERE r <= 1000 - (SELECT count(*) FROM anchors a WHERE a.batch = rest.batch)""")
+def train_sample_batches(t):
+    """For every 400 rows to predict 1,000 to learn from: their own entities' first, then the best of all."""
+    rows = materialize(number_splits(task_rows(t), ["train", "val", "test"], ["c_custkey", "cutoff"], "task_id").select("task_id", "c_custkey", "split"), "rows")
+    test = rows.where("split = 'test'")
+    first = test.agg(F.min("task_id").alias("__first"))
+    test = test.crossJoin(F.broadcast(first)).withColumn("batch", F.floor((F.col("task_id") - F.col("__first")) / 400))
+    train = rows.where("split != 'test'").withColumn("u", uniform(F.col("task_id")))
+    return sampling.batch_samples(train, test, "batch", "c_custkey", "task_id", "u", 1000, 0.3).select("batch", "task_id")
+
+
+@query("""WITH l AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS k, 'customer' AS e, o_totalprice FROM orders UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), 'task', o_totalprice FROM orders
+ UNION ALL SELECT o_orderkey, CAST(c_nationkey AS VARCHAR), 'nation', o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT min(e || ' ' || k) AS g FROM (SELECT e, k, list(o_orderkey ORDER BY o_orderkey) AS s FROM l GROUP BY ALL) GROUP BY s),
+r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY e, k ORDER BY o_totalprice DESC, o_orderkey) AS r FROM l WHERE e || ' ' || k IN (SELECT g FROM g))
+SELECT DISTINCT o_orderkey FROM r WHERE r <= greatest(1, (SELECT count(*) FROM orders) // 2 // (SELECT count(*) FROM g))""")
+def context_row_sets(t):
+    """Half of all orders, shared out over the sets of them that customers, the task's rows and nations have; a customer's and its task row's are one."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    nations = orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    link = lambda df, edge, key: df.select("o_orderkey", F.col(key).cast("string").alias("k"), F.lit(edge).alias("e"), "o_totalprice")
+    links = link(orders, "customer", "o_custkey").union(link(orders, "task", "o_custkey")).union(link(nations, "nation", "c_nationkey"))
+    return sampling.context_sample(links, ["e", "k"], "o_orderkey", F.desc("o_totalprice"), t.orders.count() // 2)
+
+
 @query()
 def predict_layered(t):
     out = predictor.predict(_fused_task(t), predictor.Settings(layers=2, future=True))
