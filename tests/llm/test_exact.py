@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import EDGE, make_docs, prose
 from tests.llm.test_operators import plain_best_fit, plain_topk
 
-from weftline.llm import langid, mixing, packing, simhash, tokens, topk, warc
+from weftline.llm import common, langid, mixing, packing, simhash, tokens, topk, warc
 from weftline.llm.common import look_up, unused
 from weftline.session import materialize, scratch_path
 
@@ -171,6 +171,30 @@ def test_topk_of_huge_and_mixed_components(spark):
     assert got == plain_topk(small)
 
 
+def test_topk_of_very_different_widths(spark, monkeypatch):
+    """A vector of many components among short ones makes no block of them all as wide."""
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(0, 1, w)]) for i, w in enumerate([4] * 300 + [0, 1, 7, 4000, 9] + [5] * 99)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BLOCK_COMPONENTS", 512)
+    plain = topk.padded
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.search(df).collect())
+    wide = [(i, e + [0.0] * (4000 - len(e))) for i, e in rows]
+    assert got == plain_topk(wide)
+    import pyarrow as pa
+
+    column = pa.chunked_array([pa.array([[1.0, 2.0, 3.0], [], [4.0]], pa.list_(pa.float64()))])
+    assert plain(column, 2).tolist() == [[1, 2], [0, 0], [4, 0]] and plain(column, 4).tolist() == [[1, 2, 3, 0], [0] * 4, [4, 0, 0, 0]]
+
+
+def test_portions_are_bounded_by_letters():
+    texts = ["a" * 10, None, "b" * 95, "c" * 300, "", "d" * 5] + ["e"] * 10
+    got = list(common.portions(texts, 4, 100))
+    assert [x for a, b in got for x in texts[a:b]] == texts
+    assert all(b - a <= 4 and (b - a == 1 or sum(len(t or "") for t in texts[a:b]) <= 100) for a, b in got)
+    assert list(common.portions([], 4, 100)) == []
+
+
 def test_look_up_of_hot_keys(spark):
     keys = [1] * 700 + [2] * 300 + list(range(10, 300)) + [None] * 40
     rows = materialize(spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k long"), "t")

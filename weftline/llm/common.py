@@ -44,6 +44,19 @@ def text_udf(work: Callable[[], Callable[[list], pa.Array]], kind: str) -> Calla
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+def portions(texts: list, rows: int, letters: int) -> Iterator[tuple[int, int]]:
+    """Places (first, end) that cut ``texts`` into portions of at most so many rows and letters; a longer text is one of its own."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > first and (i - first >= rows or size + n > letters):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if texts:
+        yield first, len(texts)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for what is run within: for rows so wide that the usual number fills a worker."""

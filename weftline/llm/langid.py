@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TOKENIZERS, fold, held_out, text_udf
+from weftline.llm.common import TOKENIZERS, fold, held_out, portions, text_udf
 
 #: Documents to learn from, at most; those with the smallest id hashes.
 TRAIN_DOCS = 1000
@@ -39,6 +39,8 @@ UNKNOWN = 1e-9
 CACHE, CACHE_LETTERS = 300_000, 16_000_000
 #: Documents whose words are looked up together.
 AT_ONCE = 512
+#: Their letters, at most, unless one text alone has more.
+AT_ONCE_LETTERS = 4_000_000
 
 #: Marks that end a token; a token with others is taken apart when it is first met.
 MARKS = ".,;:!?\"()"
@@ -246,8 +248,8 @@ def scorer(langs: list[str], p: np.ndarray, pieces: list[str], at_once: int = AT
         def each(texts: list) -> pa.Array:
             nonlocal letters
             lang, score = [], []
-            for i in range(0, len(texts), at_once):
-                lists = [tokens_of(t) for t in texts[i : i + at_once]]
+            for i, end in portions(texts, at_once, AT_ONCE_LETTERS):
+                lists = [tokens_of(t) for t in texts[i:end]]
                 if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
                     letters = 0

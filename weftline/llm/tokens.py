@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TOKENIZERS, text_udf
+from weftline.llm.common import TOKENIZERS, portions, text_udf
 
 VOCABULARY = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: What an unknown letter scores below the worst piece.
@@ -32,6 +32,8 @@ PENALTY = 10.0
 #: Words, and their letters, whose counts a task keeps; beyond, it starts anew.
 CACHE, CACHE_LETTERS = 400_000, 16_000_000
 AT_ONCE = 512
+#: Their letters, at most, unless one text alone has more.
+AT_ONCE_LETTERS = 4_000_000
 SPACE = "▁"
 NEVER = float("-inf")
 #: A letter in no piece, between words that are matched together; words from this length on are counted alone.
@@ -151,8 +153,8 @@ def counter(scores: dict[str, float], cache: int = CACHE, at_once: int = AT_ONCE
         def each(texts: list) -> pa.Array:
             nonlocal letters
             out: list[int] = []
-            for i in range(0, len(texts), at_once):
-                lists = [words_of(t or "") for t in texts[i : i + at_once]]
+            for i, end in portions(texts, at_once, AT_ONCE_LETTERS):
+                lists = [words_of(t or "") for t in texts[i:end]]
                 if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
                     letters = 0

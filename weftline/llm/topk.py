@@ -22,12 +22,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 10
 SCALE = 1024
-#: Components of a block of vectors or queries, on average: 8 MB, or 16,384 vectors of 64. A vector
+#: Components of a block of vectors or queries of about one width, on average: 8 MB, or 16,384 vectors of 64. A vector
 #: is sent to one task for each block of queries, a query to one for each block of vectors.
 BLOCK_COMPONENTS = 1 << 20
 #: Depth of the first round; each later one goes twice as deep.
@@ -37,10 +37,12 @@ SCHEMA = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
 
 
 def padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors as rows of doubles, zeros to ``width``."""
+    """Vectors as rows of doubles, zeros to ``width``, and nothing beyond it."""
     sizes = pc.list_value_length(column).to_numpy()
+    flat = pc.list_flatten(column).to_numpy()
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.zeros((len(sizes), width))
-    out[np.arange(width) < sizes[:, None]] = pc.list_flatten(column).to_numpy()
+    out[np.arange(width) < sizes[:, None]] = flat[place < width]
     return out
 
 
@@ -102,7 +104,7 @@ def search_block(vectors: pa.Table, queries: pa.Table, k: int = K) -> pa.Table:
     """All queries of a pair of blocks against all its vectors; rows (vec_id, vec_key, v)."""
     own, keys = queries.column("vec_id").to_pylist(), queries.column("vec_key").to_pylist()
     sides = vectors.column("v"), queries.column("v")
-    width = max((pc.max(pc.list_value_length(c)).as_py() or 0) for c in sides)
+    width = min((pc.max(pc.list_value_length(c)).as_py() or 0) for c in sides)  # what one side lacks is zero
     x, q = (padded(c, width) for c in sides)
     whole = beyond_doubles(x, q)
     lists = Lists(x, vectors.column("vec_id").to_numpy().astype(np.int64), whole)
@@ -120,13 +122,23 @@ def search(vectors: DataFrame, k: int = K, every: int = 100, block_rows: int | N
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad))
     rows = rows.select("vec_id", F.xxhash64("embedding").alias("vec_key"), F.col("embedding").cast("array<double>").alias("v"))
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vec_key"])
-    n, m, width = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).first()
-    held = max(1, BLOCK_COMPONENTS // max(1, width or 0))
-    blocks, query_blocks = max(1, -(-n // (block_rows or held))), max(1, -(-m // (query_rows or held)))
+    kind = F.when(F.size("v") > 1, F.ceil(F.log2(F.size("v")))).otherwise(0).cast("int")
+    sizes = sorted(rows.groupBy(kind.alias("w")).agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).collect())  # by powers of two of a width
+
+    def dealt(counts: list[int], rows_each: int | None, salt: int) -> tuple[Column, int]:
+        """The number of a row's block, and how many there are; widths of one power of two lie together, so that padding at most doubles a block."""
+        block, total = F.lit(0), 0
+        for (w, *_), n in zip(sizes, counts):
+            k = max(1, -(-n // (rows_each or max(1, BLOCK_COMPONENTS >> w))))
+            block = F.when(kind == w, F.pmod(F.xxhash64("vec_id", "vec_key", F.lit(salt)), F.lit(k)).cast("int") + total).otherwise(block)
+            total += k
+        return block, max(1, total)
+
+    block, blocks = dealt([n for _, n, _ in sizes], block_rows, 1)
+    query_block, query_blocks = dealt([m for *_, m in sizes], query_rows, 2)
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    part = lambda k, salt: F.pmod(F.xxhash64("vec_id", "vec_key", F.lit(salt)), F.lit(k)).cast("int")
-    left = rows.select("*", part(blocks, 1).alias("b")).select("*", all_of(query_blocks).alias("q"))
-    right = asked.select("*", part(query_blocks, 2).alias("q")).select("*", all_of(blocks).alias("b"))
+    left = rows.select("*", block.alias("b")).select("*", all_of(query_blocks).alias("q"))
+    right = asked.select("*", query_block.alias("q")).select("*", all_of(blocks).alias("b"))
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         return search_block(vectors, queries, k)

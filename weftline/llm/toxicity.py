@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import held_out, labelled_sample, text_udf
+from weftline.llm.common import held_out, labelled_sample, portions, text_udf
 from weftline.session import materialize, release
 
 #: Labelled documents to learn from, at most; those with the smallest id hashes.
@@ -52,6 +52,8 @@ CACHE, CACHE_LETTERS = 300_000, 16_000_000
 BLOCK = 32
 #: Documents tagged together.
 AT_ONCE = 512
+#: Their letters, at most, unless one text alone has more.
+AT_ONCE_LETTERS = 4_000_000
 #: A token with at least this marginal belongs to a span.
 SPAN = 0.5
 
@@ -127,13 +129,13 @@ def sequences(sample: DataFrame, markers: set[str]) -> DataFrame:
     def cut(batches):
         for b in batches:
             texts, marks = b.column("text").to_pylist(), b.column("label").to_pylist()
-            for i in range(0, len(texts), AT_ONCE):
-                lists = [[normal(t) for t in (x or "").split()] for x in texts[i : i + AT_ONCE]]
+            for i, end in portions(texts, AT_ONCE, AT_ONCE_LETTERS):
+                lists = [[normal(t) for t in (x or "").split()] for x in texts[i:end]]
                 place = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
                 hit = np.fromiter((any(f in markers for f in marker_features(w)) for w in place), np.int8, len(place))
                 sizes = np.fromiter(map(len, lists), np.int32, len(lists))
                 tokens = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int32, sizes.sum())
-                toxic = np.fromiter((bool(m) for m in marks[i : i + AT_ONCE]), np.int8, len(lists))
+                toxic = np.fromiter((bool(m) for m in marks[i:end]), np.int8, len(lists))
                 row = [sizes, tokens, hit[tokens] * np.repeat(toxic, sizes), buckets(list(place)).ravel().astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(row, KINDS.values())], list(KINDS))
 
@@ -321,8 +323,8 @@ def tagger(field: Field | None, cache: int = CACHE, at_once: int = AT_ONCE):
             out = []
             if field is None:
                 return pa.array([{"score": 0.0, "spans": [], "facts": []} for _ in texts], ARROW)
-            for i in range(0, len(texts), at_once):
-                part = texts[i : i + at_once]
+            for i, end in portions(texts, at_once, AT_ONCE_LETTERS):
+                part = texts[i:end]
                 lists = [(t or "").split() for t in part]
                 if len(known) > cache or letters > CACHE_LETTERS:
                     known.clear()
