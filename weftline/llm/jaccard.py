@@ -16,10 +16,11 @@ Groups are made in three rounds, each leaving out what the ones before joined:
 sets that share one of their KEYS smallest hashes, compared until few links
 come; one set of each component for every shingle that prefixes of several
 components share; and all sets for such shingles that are left. The last round
-alone is exact, the others keep it small. Before its sets are read, a group is
+alone is exact, the others keep it small. Before its sets are made, a group is
 sifted by bitmaps of a few bits a shingle: the bits in which two differ are
 fewer than the shingles in which their sets do, so who differs from all others
-in too many has no link there.
+in too many has no link there. Sets are made of the texts of those that are
+left; of all others only prefixes and bitmaps are ever written.
 
 Defined results: null and wordless texts have empty sets, which link with
 nothing and are components of their own; fewer than five words are one
@@ -30,7 +31,7 @@ an empty one; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ SHINGLES_AT_ONCE, MOST_COMMON = 1 << 20, 1 << 16
 #: A shingle of fewer sightings is not common.
 LEAST_COMMON = 16
 #: Sets of one key in the first round; larger groups are dealt out by hash.
-TOGETHER = 4096
+TOGETHER = 512
 #: Shingles of a group in one task's memory; larger groups are split, each part meeting each.
 BLOCK = 1 << 21
 #: In the first round, sets in a row without a link after which a group is left to the later rounds.
@@ -190,8 +191,8 @@ def _sifted(most: int | None):
     return run
 
 
-def _sets(text: Column, common: np.ndarray) -> Column:
-    """Of a text a struct: n, s (a digest of its set, null if empty), bits, keys (its smallest hashes), set (in the global order)."""
+def _facts(text: Column, common: np.ndarray, whole: bool) -> Column:
+    """Of a text a struct: n, s (a digest of its set, null if empty), bits, keys (its smallest hashes), and its set in the global order or, unless ``whole``, its prefix."""
     by_value = np.argsort(common, kind="stable")
     sorted_common = common[by_value]
 
@@ -209,12 +210,27 @@ def _sets(text: Column, common: np.ndarray) -> Column:
             u = v.view(np.uint64)
             digests.append(np.array([_mixed(u + _ODD[1]).sum(), _mixed(u * _ODD[2] + _ODD[3]).sum()], np.uint64).tobytes() if len(v) else None)
         lists = lambda parts: pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, parts)]), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))).cast(pa.list_(pa.int64()))
-        columns = [pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array([parities(v) for v in found], pa.binary()), lists([v[:KEYS] for v in found]), lists([ordered(v) for v in found])]
+        end = lambda v: len(v) if whole else len(v) - -(-PERCENT * len(v) // 100) + 1
+        columns = [pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array([parities(v) for v in found], pa.binary()), lists([v[:KEYS] for v in found]), lists([ordered(v)[: end(v)] for v in found])]
         return pa.StructArray.from_arrays(columns, ["n", "s", "bits", "keys", "set"])
 
     return text_udf(lambda: each, "struct<n: bigint, s: binary, bits: binary, keys: array<bigint>, set: array<bigint>>")(text)
 
 
+def _identity() -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text").cast("string"))
+
+
+def _whole_sets(docs: DataFrame, common: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """(row, set) for ``wanted`` (row, k, s), made again of the texts of those rows; of rows that repeat one is read."""
+    texts = _met(docs.select(_identity().alias("k"), F.col("text").cast("string").alias("text")), wanted, "k")
+    one = texts.groupBy("row").agg(F.first("s").alias("s"), F.first("text").alias("text"))
+    made = one.select("row", "s", _facts(F.col("text"), common, True).alias("x")).where(F.col("s") == F.col("x.s")).select("row", "x.set")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        return materialize(made, "whole")
+
+
 class Branch:
     """A node of the tree: the stretch of values that leads to it, what follows, and the sets that end here."""
 
@@ -365,9 +381,11 @@ def _met(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> Dat
     return rows.join(F.broadcast(facts) if few else facts, key, how)
 
 
-def _links(keyed: DataFrame, sets: DataFrame, label: str, patience: int | None = None) -> DataFrame:
+def _links(keyed: DataFrame, prints: DataFrame, read: Callable[[DataFrame], DataFrame], label: str, patience: int | None = None) -> DataFrame:
     """Links (a, b) within the groups of ``keyed`` (key, row, comp, n) that hold several components.
 
+    ``prints`` has a row's n, bits, k and s; ``read`` makes the sets of some.
+
     Keys with the same rows are one group. With ``patience`` large groups are
     dealt out, and what lies in different parts is not compared; without, every
     part of a large group meets every other.
@@ -387,13 +405,15 @@ def _links(keyed: DataFrame, sets: DataFrame, label: str, patience: int | None =
         parts = F.greatest(F.ceil(F.col("many") / TOGETHER), F.ceil(F.col("size") / BLOCK)).cast("int")
         rows = rows.withColumn("key", F.xxhash64("g", "many", F.pmod(F.xxhash64("key", "row"), parts)))
     rows = materialize(rows.select("key", "row", "comp").distinct(), f"{label}-rows")
-    small = _met(sets.select("row", "n", "bits"), rows, "row").repartition("key").sortWithinPartitions("key", "n")
+    small = _met(prints.select("row", "n", "bits"), rows, "row").repartition("key").sortWithinPartitions("key", "n")
     before, rows = rows, materialize(small.mapInArrow(_sifted(None if patience is None else MOST_SIFTED), "key bigint, row bigint, comp bigint"), f"{label}-sifted")
     release(before)
-    whole = _met(sets.select("row", "set"), rows, "row").repartition("key").sortWithinPartitions("key", F.size("set"))
-    with batches_of(sets.sparkSession, WIDE_ROWS):
+    wanted = materialize(_met(prints.select("row", "k", "s"), materialize(rows.select("row").distinct(), f"{label}-left"), "row"), f"{label}-wanted")
+    sets = read(wanted)
+    whole = _met(sets, rows, "row").repartition("key").sortWithinPartitions("key", F.size("set"))
+    with batches_of(prints.sparkSession, WIDE_ROWS):
         found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct(), f"{label}-links")
-    release(keyed, groups, rows)
+    release(keyed, groups, rows, wanted, sets)
     return found
 
 
@@ -433,27 +453,29 @@ def _roots(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id."""
     common = common_shingles(docs)
-    found = docs.select("doc_id", _sets(F.col("text"), common).alias("x")).withColumn("row", F.monotonically_increasing_id())
+    found = docs.select("doc_id", _identity().alias("k"), _facts(F.col("text"), common, False).alias("x")).withColumn("row", F.monotonically_increasing_id())
     with batches_of(docs.sparkSession, WIDE_ROWS):
-        prints = materialize(found.select("row", "doc_id", "x.n", "x.s", "x.bits", "x.keys", "x.set"), "sets")
+        prints = materialize(found.select("row", "doc_id", "k", "x.n", "x.s", "x.bits", "x.keys", F.col("x.set").alias("prefix")), "prints")
     known = prints.where("s IS NOT NULL")
     reps = materialize(known.groupBy("s").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "reps")
     again = materialize(look_up(known.select("s", F.col("row").alias("this")), reps.select("s", "row"), "s").where("this != row").select(F.col("this").alias("row")), "again")
     sets = _met(known, again, "row", "left_anti")
 
+    def read(wanted: DataFrame) -> DataFrame:
+        return _whole_sets(docs, common, wanted)
+
     first = sets.select(F.explode("keys").alias("key"), "row", F.col("row").alias("comp"), "n")
-    links = _links(first, sets, "near", PATIENCE)
+    links = _links(first, sets, read, "near", PATIENCE)
     roots = _roots(links)
     comp = F.coalesce("root", "row")
-    prefix = F.slice("set", 1, (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1).cast("int"))
-    posted = _met(sets.select("row", "n", prefix.alias("prefix")), roots, "row", "left").select(F.explode("prefix").alias("token"), "n", "row", comp.alias("comp"))
+    posted = _met(sets.select("row", "n", "prefix"), roots, "row", "left").select(F.explode("prefix").alias("token"), "n", "row", comp.alias("comp"))
     shared = materialize(posted.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_several, "key bigint, row bigint, comp bigint, n bigint"), "shared")
     if not shared.isEmpty():
         one = shared.groupBy("key", "comp").agg(F.min(F.struct("row", "n")).alias("x")).select("key", "comp", "x.row", "x.n")
-        more = _links(one, sets, "few")
+        more = _links(one, sets, read, "few")
         before, roots = roots, roots if more.isEmpty() else _roots(links.union(more))
         rest = _met(shared.drop("comp"), roots, "row", "left").select("key", "row", comp.alias("comp"), "n")
-        last = _links(rest, sets, "all")
+        last = _links(rest, sets, read, "all")
         if before is not roots:
             release(before)
         if not last.isEmpty():
