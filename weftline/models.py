@@ -22,17 +22,22 @@ from weftline.functions.scalar import argmax, datetime_parts, fixed_width, softm
 from weftline.operators.algebra import column_profile
 from weftline.operators.pooling import first_k, interleave, project, sign_matrix
 from weftline.session import materialize
+from weftline.text import min_hash
 
 
 class Vectorizer:
     """Mixed columns as float features: numbers as they are, times in parts, arrays in columns, strings by frequent levels.
 
+    With ``min_hashes``, strings of more levels than are known get so many
+    columns that agree for similar strings.
+
     ``fit`` reads the data twice: once for constant columns, once for the levels
     of all strings; ``transform`` is a projection and can be pushed around.
     """
 
-    def __init__(self, levels: int = 8, width: int = 16, exclude: tuple[str, ...] = ()):
-        self.levels, self.width, self.exclude = levels, width, set(exclude)
+    def __init__(self, levels: int = 8, width: int = 16, exclude: tuple[str, ...] = (), min_hashes: int = 0):
+        self.levels, self.width, self.exclude, self.min_hashes = levels, width, set(exclude), min_hashes
+        self.many: set[str] = set()
         self.columns: list[tuple[str, str]] = []
         self.known: dict[str, list[str]] = {}
 
@@ -48,8 +53,11 @@ class Vectorizer:
             each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.known])).alias("x")
             counts = df.select(each).select("x.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
             best = Window.partitionBy("c").orderBy(F.desc("n"), "v")
-            for r in counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.levels).orderBy("c", "r").collect():  # a few levels a column
-                self.known[r.c].append(r.v)
+            for r in counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= self.levels + 1).orderBy("c", "r").collect():  # a few levels a column
+                if r.r > self.levels:
+                    self.many.add(r.c)
+                else:
+                    self.known[r.c].append(r.v)
         return self
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -63,6 +71,8 @@ class Vectorizer:
                 out |= fixed_width(name, self.width)
             else:
                 out |= {f"{name}_{i}": (F.col(name).cast("string") == v).cast("float") for i, v in enumerate(self.known[name])}
+                if name in self.many:
+                    out |= {f"{name}__mh_{i}": c.cast("float") for i, c in enumerate(min_hash(F.col(name).cast("string"), self.min_hashes))}
         return df.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 

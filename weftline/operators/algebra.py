@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,3 +152,27 @@ def empirical_keys(df: DataFrame, sets: list[list[str]]) -> DataFrame:
         aggs += [F.count(F.when(whole, 1)).alias(f"n{i}"), F.count_distinct(F.when(whole, F.struct(*cols))).alias(f"d{i}")]
     row = F.explode(F.array(*[F.struct(F.lit(",".join(c)).alias("cols"), F.col(f"n{i}").alias("n_rows"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(sets)]))
     return df.agg(*aggs).select(row.alias("r")).select("r.*", (F.col("r.n_rows") == F.col("r.n_distinct")).alias("is_key"))
+
+
+def discover_keys(df: DataFrame, columns: list[str], most: int = 3, error: float = 0.02) -> DataFrame:
+    """The smallest sets of at most ``most`` columns that are keys of the rows without nulls in them: cols, n_rows.
+
+    Level by level: sets that hold a key are left out, distinct counts by
+    HyperLogLog rule out all others that are clearly none, in one pass a level,
+    and only what is left is counted exactly. A set without rows is no key.
+    """
+    found: list[tuple[str, int]] = []
+    keys: list[set[str]] = []
+    for size in range(1, most + 1):
+        sets = [c for c in combinations(columns, size) if not any(k <= set(c) for k in keys)]
+        if not sets:
+            break
+        whole = lambda c: reduce(and_, (F.col(x).isNotNull() for x in c))
+        one = lambda c: F.when(whole(c), F.xxhash64(*c))
+        sketched = df.agg(*[x for i, c in enumerate(sets) for x in (F.count(F.when(whole(c), 1)).alias(f"n{i}"), F.approx_count_distinct(one(c), error).alias(f"d{i}"))]).first()
+        left = [c for i, c in enumerate(sets) if sketched[f"n{i}"] and sketched[f"d{i}"] >= (1 - 5 * error) * sketched[f"n{i}"]]
+        if left:
+            for r in empirical_keys(df, [list(c) for c in left]).where("is_key").collect():  # a row a set
+                found.append((r.cols, r.n_rows))
+                keys.append(set(r.cols.split(",")))
+    return df.sparkSession.createDataFrame(found, "cols string, n_rows long")

@@ -11,6 +11,8 @@ from weftline.session import materialize
 
 #: Parts that rows without a key are dealt to.
 NULL_PARTS = 1024
+#: A key with more rows to count is split over tasks.
+MOST_ROWS = 1_000_000
 
 
 def count_name(one: str, many: str, days: int | None = None) -> str:
@@ -30,9 +32,26 @@ def reference_counts(one: DataFrame, one_key: str, many: DataFrame, many_key: st
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in [name, *[f"{name}__{d}d" for d in days]]})
 
 
-def counts_as_of(one: DataFrame, one_key: str, one_time: Column, many: DataFrame, many_key: str, many_time: Column, name: str, days: tuple[int, ...] = ()) -> DataFrame:
+def counts_as_of(one: DataFrame, one_key: str, one_time: Column, many: DataFrame, many_key: str, many_time: Column, name: str, days: tuple[int, ...] = (), most_rows: int = MOST_ROWS) -> DataFrame:
     """``one`` with the number of ``many`` rows of its key at or before its time, and within ``days`` before it.
 
+    Keys of more than ``most_rows`` rows, of which there are few, are counted
+    by ``counts_as_of_hot``; all others by one window.
+    """
+    sizes = many.where(F.col(many_key).isNotNull()).groupBy(F.col(many_key).alias("__hot")).agg(F.count("*").alias("__n"))
+    hot = materialize(sizes.where(F.col("__n") > most_rows).select("__hot"), "hot")
+    args = (many_key, many_time, name, days)
+    if hot.isEmpty():
+        return counts_by_window(one, one_key, one_time, many, *args)
+    hot = F.broadcast(hot)  # a row for over ``most_rows`` rows
+    split = lambda df, key, how: df.join(hot, df[key] == hot["__hot"], how)
+    parts = [f(split(one, one_key, how), one_key, one_time, split(many, many_key, how), *args) for f, how in ((counts_as_of_hot, "left_semi"), (counts_by_window, "left_anti"))]
+    return parts[0].unionByName(parts[1])
+
+
+def counts_by_window(one: DataFrame, one_key: str, one_time: Column, many: DataFrame, many_key: str, many_time: Column, name: str, days: tuple[int, ...] = ()) -> DataFrame:
+    """The same where no key is large.
+
     One window over both sides' rows instead of a range join: rows of a key
     are sorted once and each count is a running sum, so a key's work is linear
     in its rows and not in its pairs. The range frame includes equal times.

@@ -88,6 +88,7 @@ class Settings:
     include_task: bool = False
     levels: int = 8
     width: int = 16
+    min_hashes: int = 0
     seed: int = 0
 
 
@@ -184,7 +185,7 @@ class Extractor:
         if rel.name not in self.seen:
             s, p = self.settings, self.p
             own = {p.id_col, p.target_col, p.split_col} if rel.name == p.table else set()
-            v = Vectorizer(s.levels, s.width, tuple(self.p.refs[rel.name] | own | {ROW})).fit(rel.df)
+            v = Vectorizer(s.levels, s.width, tuple(self.p.refs[rel.name] | own | {ROW}), s.min_hashes).fit(rel.df)
             keep = (ROW, *([p.target_col, p.split_col] if rel.name == p.table else []))
             out = materialize(v.transform(rel.df, keep), "features")
             self.seen[rel.name] = out, [c for c in out.columns if c not in keep]

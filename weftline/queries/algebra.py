@@ -104,17 +104,21 @@ def trace_durations(t):
     return files.scan_durations(t.spark, path).agg(F.sum("duration_s").alias("duration_s"))
 
 
-@query("SELECT stage, db, task, score FROM (VALUES ('val', 'shop', 'churn', 0.5), ('val', 'shop', 'spend', 0.25)) v(stage, db, task, score)")
+@query("SELECT 'val' AS stage, 'r' || n_regionkey AS db, lower(c_mktsegment) AS task, round(avg(c_acctbal), 6) AS score FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
 def run_directory_scan(t):
+    """Results of a run per region and market segment, written as run folders with ensemble members among them, and scanned."""
     root = scratch_path(t.spark, "runs")
     fs = t.spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = t.spark.sparkContext._jsc.hadoopConfiguration()
-    for run, score in (("shop_churn", 0.5), ("shop_spend", 0.25), ("shop_churn/member_0", 0.9)):
-        path = fs.Path(f"{root}/val/{run}/results.json")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(f'{{"score": {score}}}'.encode()))
-        out.close()
-    return files.scan_runs(t.spark, root, "score double").select("stage", "db", "task", "score")
+    rows = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    runs = rows.groupBy("n_regionkey", F.lower("c_mktsegment").alias("task")).agg(F.avg("c_acctbal").alias("score")).collect()  # regions times segments
+    for r in runs:
+        for member in ("", "/member_0"):
+            path = fs.Path(f"{root}/val/r{r.n_regionkey}_{r.task}{member}/results.json")
+            out = path.getFileSystem(conf).create(path, True)
+            out.write(bytearray(f'{{"score": {r.score!r}}}'.encode()))
+            out.close()
+    return files.scan_runs(t.spark, root, "score double").select("stage", "db", "task", r6("score").alias("score"))
 
 
 @query(f"WITH {TASK_SQL} SELECT c_custkey, cutoff, label AS __target, CASE WHEN split = 'test' THEN 'eval' ELSE 'train' END AS __split FROM task")
@@ -208,6 +212,16 @@ def empirical_keys(t):
     return A.empirical_keys(orders_nulls(t), [["o_orderkey"], ["o_custkey"], ["o_custkey", "o_orderdate"]])
 
 
+_KEYS = ("conv_id", "turn", "role")
+_SETS = [(c,) for c in _KEYS] + [(a, b) for i, a in enumerate(_KEYS) for b in _KEYS[i + 1 :]]
+
+
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{','.join(c)}' AS cols, {len(c)} AS size, count(*) AS n_rows, count(*) = count(DISTINCT ({', '.join(c)})) AS is_key FROM conversations" for c in _SETS)
++ ") SELECT cols, n_rows FROM s WHERE is_key AND NOT EXISTS (SELECT 1 FROM s x WHERE x.is_key AND x.size < s.size AND list_has_all(string_split(s.cols, ','), string_split(x.cols, ',')))")
+def discover_keys(t):
+    return A.discover_keys(t.conversations, list(_KEYS), 2)
+
+
 # counts
 
 

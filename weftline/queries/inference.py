@@ -94,11 +94,24 @@ def longest_path_join(t):
     return rewrite.join_longest_path(db).df.select("r_name", "n_name", "s_name")
 
 
-@query("""SELECT * FROM (VALUES ('task', 'customer'), ('customer', 'nation'), ('customer', 'orders'), ('nation', 'region'), ('nation', 'supplier'), ('orders', 'lineitem'), ('lineitem', 'supplier'), ('lineitem', 'part')) v(source, target)""")
+_DAG = {
+    ("task", "customer"): "task SEMI JOIN customer USING (c_custkey)", ("customer", "nation"): "customer SEMI JOIN nation ON n_nationkey = c_nationkey",
+    ("customer", "orders"): "customer SEMI JOIN orders ON o_custkey = c_custkey", ("nation", "region"): "nation SEMI JOIN region ON r_regionkey = n_regionkey",
+    ("nation", "supplier"): "nation SEMI JOIN supplier ON s_nationkey = n_nationkey", ("orders", "lineitem"): "orders SEMI JOIN lineitem ON l_orderkey = o_orderkey",
+    ("lineitem", "supplier"): "lineitem SEMI JOIN supplier ON s_suppkey = l_suppkey", ("lineitem", "part"): "lineitem SEMI JOIN part ON p_partkey = l_partkey",
+}
+
+
+@query(f"WITH {TASK_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS source, '{b}' AS target, count(*) AS linked FROM {x}" for (a, b), x in _DAG.items()))
 def inference_dag(t):
-    task = task_of(t)
-    rows = [(e.source, e.target) for e in graph.inference_dag(task.db, task.table)]
-    return t.spark.createDataFrame(rows, "source string, target string")
+    """The edges along which inference goes, and how many rows of an edge's source lead on along it."""
+    task, out = task_of(t), None
+    for e in graph.inference_dag(task.db, task.table):
+        far = task.db.tables[e.target].df.select(F.col(e.target_col).alias("__k"))
+        rows = task.db.tables[e.source].df.join(far, F.col(e.source_col) == F.col("__k"), "left_semi")
+        one = rows.agg(F.lit(e.source).alias("source"), F.lit(e.target).alias("target"), F.count("*").alias("linked"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _tasked(t, rows) -> Database:

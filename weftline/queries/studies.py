@@ -38,12 +38,13 @@ def head_of_known(t):
     return studies.head_of_known(rows, "v", "c_custkey", 20).select("c_custkey")
 
 
-@query("""SELECT c_custkey, 'db' || c_nationkey AS db, c_mktsegment || '_x' AS task, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' ELSE '?' END AS code, 'lr' AS param FROM customer""")
+@query("""SELECT c_custkey, 'db' || c_nationkey AS db, c_mktsegment || '_x' AS task, CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' ELSE '?' END AS code, lower(c_mktsegment) || '_' || c_nationkey AS param FROM customer""")
 def name_parts(t):
     name = F.concat(F.lit("db"), F.col("c_nationkey").cast("string"), F.lit("_"), "c_mktsegment", F.lit("_x"))
     a, b = studies.split_name(name)
+    param = F.concat(F.lit("params_"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit("_"), F.col("c_custkey").cast("string"))
     code = studies.lookup(F.col("c_mktsegment"), {"BUILDING": "b", "MACHINERY": "m"}, "?")
-    return t.customer.select("c_custkey", a.alias("db"), b.alias("task"), code.alias("code"), studies.strip_affix(F.lit("params_lr_12")).alias("param"))
+    return t.customer.select("c_custkey", a.alias("db"), b.alias("task"), code.alias("code"), studies.strip_affix(param).alias("param"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS shared")

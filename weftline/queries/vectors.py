@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline import models
+from weftline import models, text
 from weftline.functions import scalar
 from weftline.operators import pooling
 from weftline.queries.base import query, r6, rounded
+from weftline.session import materialize
 
 
 def _arr(expr: str) -> str:
@@ -64,6 +65,38 @@ def text_embed(t):
     return models.embed_text(t.part.select("p_partkey", "p_name"), "p_name", 16).drop("p_name")
 
 
+@query("""WITH g AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_name) + 1), lambda i: substr('^' || lower(p_name) || '$', i, 3))) AS g FROM part)
+SELECT p_partkey, """ + ", ".join(f"round(min((CAST('0x' || substr(md5('{s}:' || g), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4503599627370496), 9) AS m{s}" for s in range(3)) + " FROM g GROUP BY p_partkey")
+def min_hashes(t):
+    return t.part.select("p_partkey", *[F.round(c, 9).alias(f"m{i}") for i, c in enumerate(text.min_hash(F.col("p_name"), 3))])
+
+
+@query("""WITH x AS (SELECT CAST(o_totalprice AS DOUBLE) / 100000 AS a, CAST(o_totalprice AS DOUBLE) / 200000 + (o_custkey % 97) / CAST(50 AS DOUBLE) AS b FROM orders),
+m AS (SELECT 'pca' AS k, var_pop(a) AS p, covar_pop(a, b) AS q, var_pop(b) AS r FROM x UNION ALL SELECT 'svd', avg(a * a), avg(a * b), avg(b * b) FROM x),
+e AS (SELECT k, (p + r) / 2 AS h, sqrt((p - r) * (p - r) / 4 + q * q) AS d FROM m)
+SELECT k AS method, 0 AS i, round(h + d, 6) AS v FROM e UNION ALL SELECT k, 1, round(h - d, 6) FROM e UNION ALL SELECT * FROM (VALUES ('pca_whiten', 0, 1.0), ('pca_whiten', 1, 1.0), ('svd_whiten', 0, 1.0), ('svd_whiten', 1, 1.0))""")
+def component_sizes(t):
+    """What a component holds, by each reducer whose signs are free: variance, second moments for SVD, and 1 for whitened ones."""
+    a = F.col("o_totalprice").cast("double")
+    rows = materialize(t.orders.select(F.array(a / 100000, a / 200000 + F.col("o_custkey") % 97 / F.lit(50.0)).alias("emb")), "pairs")
+    out = None
+    for method in ("pca", "svd", "pca_whiten", "svd_whiten"):
+        parts = models.reduce_dims(rows, "emb", 2, method, 2).select(F.posexplode("emb").alias("i", "x"))
+        size = F.avg(F.col("x") * F.col("x")) if method == "svd" else F.var_pop("x")
+        one = parts.groupBy("i").agg(size.alias("v")).select(F.lit(method).alias("method"), "i", F.round("v", 6).alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH d AS (SELECT DISTINCT p_name AS t FROM part), w AS (SELECT t, unnest(string_split(lower(t), ' ')) AS w FROM d), c AS (SELECT t, w, count(*) AS tf FROM w GROUP BY ALL),
+i AS (SELECT w, ln((SELECT count(*) FROM d) / CAST(count(*) AS DOUBLE)) + 1 AS idf FROM c GROUP BY w), n AS (SELECT t, sum(tf * idf * tf * idf) AS n FROM c JOIN i USING (w) GROUP BY t)
+SELECT p_partkey, round(n, 4) AS size FROM part JOIN n ON t = p_name""")
+def text_vectors(t):
+    """Squared lengths of the latent vectors of part names: those of their TF-IDF, as the dimensions are as many as the words."""
+    made = text.TextVectors(16).vectors(t.part, "p_name").select("text", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x).alias("n"))
+    return t.part.join(made, F.col("p_name") == F.col("text")).select("p_partkey", F.round("n", 4).alias("size"))
+
+
 @query("SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS y, round(greatest(exp(ln(1 + o_totalprice)) - 1, 0), 3) AS back FROM orders")
 def target_transform(t):
     y = scalar.log_target(F.col("o_totalprice"))
