@@ -40,23 +40,27 @@ def quantiles(df: DataFrame, values: dict[str, Column], at: dict[str, float], by
     """
     keys = [*by, "__c"]
     slack = 3.0 / ACCURACY
-    ends = [F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in at.values()]) for d in (-slack, slack)]
+    n = len(at)
+    ends = F.array(*[F.lit(min(1.0, max(0.0, q + d))) for d in (-slack, slack) for q in at.values()])
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("__c"), x.cast("double").alias("__x")) for k, x in values.items()])).alias("__v")
     long = df.select(*by, each).select(*by, "__v.*").where("__x IS NOT NULL")
-    sketch = long.groupBy(*keys).agg(F.count("*").alias("__all"), *[F.percentile_approx("__x", e, F.lit(ACCURACY)).alias(n) for e, n in zip(ends, ("__lo", "__hi"))])
+    sketch = long.groupBy(*keys).agg(F.count("*").alias("__all"), F.percentile_approx("__x", ends, F.lit(ACCURACY)).alias("__ends"))
+    sketch = sketch.select(*keys, "__all", F.slice("__ends", 1, n).alias("__lo"), F.slice("__ends", n + 1, n).alias("__hi"))
     whole = F.col("__all") < 2 * ACCURACY
-    if by:
-        met = long.alias("l").join(sketch.alias("s"), [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("l.*", "__all", "__lo", "__hi")
-    else:
-        met = long.join(F.broadcast(sketch), "__c")  # as many rows as values
+
+    def bracketed(rows: DataFrame) -> DataFrame:
+        if not by:
+            return rows.join(F.broadcast(sketch), "__c")  # as many rows as values
+        a, b = rows.alias("a"), sketch.alias("b")
+        return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "__all", "__lo", "__hi")
+
     places = range(len(at))
     x = F.col("__x")
     inside = whole
     for i in places:
         inside = inside | ((x >= F.col("__lo")[i]) & (x <= F.col("__hi")[i]))
     below = [F.count_if(~whole & (x < F.col("__lo")[i])).alias(f"__b{i}") for i in places]
-    first = [F.first(c).alias(c) for c in ("__all", "__lo", "__hi")]
-    g = met.groupBy(*keys, F.when(inside, x).alias("__y")).agg(F.count("*").alias("__n"), *below, *first)
+    g = bracketed(bracketed(long).groupBy(*keys, F.when(inside, x).alias("__y")).agg(F.count("*").alias("__n"), *below))
     group = Window.partitionBy(*keys)
     g = g.select(*keys, "__y", "__n", "__all", "__lo", "__hi", F.array(*[F.sum(f"__b{i}").over(group) for i in places]).alias("__below")).where("__y IS NOT NULL")
     g = g.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(len(at) - 1))))
