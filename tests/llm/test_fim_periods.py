@@ -178,3 +178,11 @@ def test_collapse_keeps_columns_and_texts(spark):
     rows = {x.doc_id: x for x in periods.collapse(docs).collect()}
     assert rows[1].periodic.kept == "a b c" and [tuple(r) for r in rows[1].periodic.runs] == [(0, 8, 2)] and rows[1].h == "h"
     assert rows[4].periodic.kept == "x" and rows[2].periodic.kept == rows[3].periodic.kept == "" and rows[2].periodic.runs == []
+
+
+def test_periods_sql_by_brute_force():
+    rows = [(i, prose(i, 40 + i % 90, "ab") if i % 3 else "so it is " * (i % 40)) for i in range(200)] + [(i, t) for i, t, *_ in EDGE if len(t or "") < 60_000]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(map(str, c.execute(periods.ORACLE).fetchall())) == sorted(str(plain_digest(i, t)) for i, t in rows)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import columns_of, text_udf, unused
-from weftline.llm.rules import words_of
+from weftline.llm.rules import SPACE, words_of
 
 #: A run has at least so many words and so many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -217,3 +217,39 @@ def digests(docs: DataFrame) -> DataFrame:
         F.floor(1000 * most["length"] / -most["period"]).cast("long").alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
     )
+
+
+#: crc32 of the decimal id, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), CAST(4294967295 AS BIGINT))"
+)
+
+#: Runs as stretches of equal words a period apart, of all periods; of equal stretches the smallest period.
+ORACLE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS o, {_CRC} AS h FROM documents
+), g AS (
+  SELECT *, CAST(len(o) AS BIGINT) AS n, h // 10 AS g FROM d
+), p AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+), w AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) END AS ws FROM p
+), t AS (
+  SELECT r, n, unnest(range(n)) AS i, unnest(ws) AS k FROM w
+), m AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.k = y.k AND y.i > x.i AND {LEAST_PERIODS} * (y.i - x.i) <= x.n
+), s AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS b FROM m) GROUP BY r, q, b
+), f AS (
+  SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest({LEAST_WORDS}, {LEAST_PERIODS} * q) GROUP BY r, start, length
+), e AS (
+  SELECT r, count(*) AS n_runs, max(struct_pack(length := length, s := -start, p := -period)) AS most, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM f GROUP BY r
+), c AS (
+  SELECT r, sha256(coalesce(string_agg(k, ' ' ORDER BY i), '')) AS kept FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.r = t.r AND t.i >= f.start + f.period AND t.i < f.start + f.length) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-most.s AS BIGINT) AS start, CAST(most.length AS BIGINT) AS length, CAST(-most.p AS BIGINT) AS period,
+       CAST(1000 * most.length // -most.p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, coalesce(kept, sha256('')) AS collapsed_sha256
+FROM w LEFT JOIN e USING (r) LEFT JOIN c USING (r)
+"""

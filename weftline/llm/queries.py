@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import fim, jaccard, langid, mixing, packing, periods, quality, rules, simhash, tokens, topk, toxicity, warc
-from weftline.session import table
+from weftline.session import table, tidy
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,14 @@ def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def _tidied(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that leaves only those steps in the shared folder that its result reads."""
+    return lambda spark, sf_dir: tidy(lambda: f(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _tidied(f)
     for f in (op1_simhash, op2_quality, op3_tokens, op4_toxicity, op5_warc, op6_mixing, op7_lines, op8_packing, op9_topk, op10_language, op11_fim, op12_periods, op13_jaccard)
 }
 #: Where SQL can express the rows.
-ORACLE: dict[str, str] = {"op7_lines": rules.ORACLE, "op9_topk": topk.ORACLE, "op11_fim": fim.ORACLE, "op13_jaccard": jaccard.ORACLE}
+ORACLE: dict[str, str] = {"op5_warc": warc.ORACLE, "op7_lines": rules.ORACLE, "op9_topk": topk.ORACLE, "op11_fim": fim.ORACLE, "op12_periods": periods.ORACLE, "op13_jaccard": jaccard.ORACLE}

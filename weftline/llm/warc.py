@@ -249,3 +249,19 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     records = materialize(read(pages.sparkSession, path), "records")
     check_revisits(records)
     return records
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY b) AS first FROM p
+), h AS (
+  SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(sha1(b), CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS x FROM f
+)
+SELECT page_id, octet_length(b) AS payload_bytes,
+       array_to_string(list_transform(x, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
