@@ -229,7 +229,7 @@ FUSED = predictor.Settings(dim=1, activation=None, train_rows=None, context_rows
 _ORDER_FEATURES = ("year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)", "hour(o_orderdate)", "epoch(o_orderdate)", "o_totalprice")
 #: The task's own features, by their places among all; those that are the same in all rows are left out.
 _TASK_FEATURES = {0: "year(cutoff)", 4: "epoch(cutoff)", 5: "c_acctbal", 6: "refs"}
-def _predictor_sql(features: tuple[str, ...], estimators: int = 1) -> str:
+def _predictor_sql(features: tuple[str, ...], estimators: int = 1, future: bool = False) -> str:
     """Gaussian naive Bayes on ``features`` of the rewritten task, its context ``cnt`` and ``ctx`` (``ctx1`` and so on for more estimators), and ``late``, own and context combined."""
     more = [(e, f"{e or ''}") for e in range(estimators)]
     emb = ", ".join(" + ".join(f"{_sign(0, i, 1 + e)} * coalesce((x{i} - m{i}) / nullif(s{i}, 0), 0)" for i in range(6)) + f" AS emb{n}" for e, n in more)
@@ -240,7 +240,7 @@ def _predictor_sql(features: tuple[str, ...], estimators: int = 1) -> str:
 s AS (SELECT {", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(6))} FROM o),
 e AS (SELECT o_custkey, o_orderdate, {emb} FROM o CROSS JOIN s),
 r AS (SELECT o_custkey, count(*) AS refs FROM orders GROUP BY 1),
-c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, {ctx} FROM task JOIN e ON o_custkey = c_custkey AND o_orderdate <= cutoff GROUP BY ALL),
+c AS (SELECT c_custkey, cutoff, count(emb) AS cnt, {ctx} FROM task JOIN e ON o_custkey = c_custkey {"" if future else "AND o_orderdate <= cutoff"} GROUP BY ALL),
 t AS (SELECT task_id, split, label, cutoff, c_acctbal, coalesce(refs, 0) AS refs, coalesce(cnt, 0) AS cnt, {", ".join(f"ctx{n}" for _, n in more)} FROM task JOIN customer USING (c_custkey) LEFT JOIN r ON o_custkey = c_custkey LEFT JOIN c USING (c_custkey, cutoff)),
 w AS (SELECT *, {own} AS own FROM t),
 f AS (SELECT task_id, split, label, {", ".join(f"{_single(x)} AS f{i}" for i, x in enumerate(features))} FROM (SELECT *, coalesce((own + ctx) / 2, own) AS late FROM w)),
@@ -279,6 +279,12 @@ def predict_estimators(t):
     return _predicted(t, replace(FUSED, estimators=4))
 
 
+@query(_predictor_sql((*_TASK_FEATURES.values(), "cnt", "ctx"), future=True))
+def predict_propagated(t):
+    """The same in rounds of layered propagation, which draws on the future too."""
+    return _predicted(t, replace(FUSED, layers=2, future=True))
+
+
 _NEAR = {"n90": "count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 90 DAY)", "n365": "count(o_orderdate) FILTER (WHERE o_orderdate > cutoff - INTERVAL 365 DAY)", "n": "count(o_orderdate)", "c_acctbal": "c_acctbal"}
 
 
