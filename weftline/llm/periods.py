@@ -228,7 +228,7 @@ _CRC = (
 #: Runs as stretches of equal words a period apart, of all periods; of equal stretches the smallest period.
 ORACLE = rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS o, {_CRC} AS h FROM documents
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> '') AS o, CASE WHEN doc_id IS NOT NULL THEN {_CRC} END AS h FROM documents
 ), g AS (
   SELECT *, CAST(len(o) AS BIGINT) AS n, h // 10 AS g FROM d
 ), p AS (
