@@ -99,7 +99,7 @@ class Backbone(Protocol):
 
 
 class LinearBackbone:
-    """Logistic or linear regression on mean-imputed features."""
+    """Logistic or linear regression on mean-imputed features; without features, what is most likely of all rows."""
 
     def __init__(self, regression: bool = False, ridge: float = 0.01):
         self.regression, self.ridge = regression, ridge
@@ -109,13 +109,15 @@ class LinearBackbone:
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.regression import LinearRegression
 
+        if not features:
+            train, test, features = train.withColumn("__none", F.lit(0.0)), test.withColumn("__none", F.lit(0.0)), ["__none"]
         filled = [f"__f_{i}" for i in range(len(features))]
         impute = Imputer(inputCols=features, outputCols=filled)
         assemble = VectorAssembler(inputCols=filled, outputCol="__x")
         model = (LinearRegression if self.regression else LogisticRegression)(featuresCol="__x", labelCol=target, regParam=self.ridge, predictionCol="__y")
         out = Pipeline(stages=[impute, assemble, model]).fit(train).transform(test)
         out = out.withColumn("y_pred", F.col("__y")) if self.regression else out.withColumn("proba", vector_to_array("probability")).withColumn("y_pred", F.col("__y").cast("int"))
-        return out.drop("__x", "__y", "probability", "rawPrediction", *filled)
+        return out.drop("__x", "__y", "probability", "rawPrediction", "__none", *filled)
 
 
 class BayesBackbone:
