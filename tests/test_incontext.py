@@ -83,15 +83,15 @@ def test_one_batch_at_a_time_equals_all_at_once(spark):
     assert np.mean([(one[k] > 0.5) == (all_[k] > 0.5) for k in one]) > 0.95
 
 
-@pytest.mark.parametrize("size, fraction, restrict, inner", [(40, 0.3, True, False), (40, 0.3, True, True), (12, 0.9, True, True), (40, 0.0, True, True), (40, 0.3, False, False), (900, 0.2, True, False), (900, 0.2, True, True), (4, 1.0, True, False)])
+@pytest.mark.parametrize("size, fraction, restrict, inner", [(40, 0.3, True, False), (40, 0.3, True, True), (12, 0.9, True, True), (40, 0.0, True, True), (40, 0.3, False, False), (900, 0.2, True, True), (4, 1.0, True, False)])
 def test_batch_samples_equal_separate_ones(spark, size, fraction, restrict, inner):
     r = np.random.default_rng(4)
     train = spark.createDataFrame([(i, None if i % 50 == 0 else int(r.integers(0, 30)), float(r.integers(0, 400))) for i in range(400)], "id long, k long, score double")
-    test = spark.createDataFrame([(i, i // 12, None if i % 17 == 0 else int(r.integers(0, 34))) for i in range(60)], "id long, b long, k long")
+    test = spark.createDataFrame([(i, i // 20, None if i % 17 == 0 else int(r.integers(0, 34))) for i in range(60)], "id long, b long, k long")
     got: dict = {}
     for x in sampling.batch_samples(train, test, "b", "k", "id", "score", size, fraction, restrict, inner).collect():
         got.setdefault(x.b, []).append(x.id)
-    for b in range(5):
+    for b in range(3):
         want = sampling.train_sample(train, test.where(F.col("b") == b), "k", "id", "score", size, fraction, restrict, inner)
         assert sorted(got.get(b, [])) == sorted(x.id for x in want.collect()), b
 
