@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.session import materialize
 
+#: Texts of an Arrow batch that a worker holds as Python strings.
+TEXTS_AT_ONCE = 512
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -38,8 +40,9 @@ def text_udf(work: Callable[[], Callable[[list], pa.Array]], kind: str) -> Calla
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         each = work()
-        for batch in batches:
-            yield each(batch.to_pylist())
+        for batch in batches:  # a few texts at a time become Python's
+            yield pa.concat_arrays([each(batch.slice(i, TEXTS_AT_ONCE).to_pylist()) for i in range(0, max(1, len(batch)), TEXTS_AT_ONCE)])
+            pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, kind).asNondeterministic()
 
