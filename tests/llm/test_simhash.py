@@ -100,3 +100,26 @@ def test_dedup_edge_rows(spark, edge_docs):
     kept = [r.doc_id for r in simhash.deduplicate(edge_docs).collect()]
     assert kept.count(1) == 1 and kept.count(7) == 0 and kept.count(2) == 1 and 3 not in kept
     assert kept.count(None) == 1  # the one with a text of its own
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    from weftline.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label, keep=graph.materialize: written.append(keep(df, label)) or written[-1])
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(300)] + [(500 + r.randrange(300), 500 + r.randrange(300)) for _ in range(200)] + [(900, 900), (0, 0)]
+    r.shuffle(edges)
+    least = {x: x for e in edges for x in e}
+    for _ in edges:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(graph, "EDGES_AT_ONCE", at_once)
+        written.clear()
+        out = graph.connected_components(spark.createDataFrame(edges, "a long, b long").coalesce(1))
+        assert {x.node: x.root for x in out.collect()} == least and out.count() == len(least)
+        assert at_once == 7 or len(written) == 2  # what is left of the edges, and their nearest neighbours

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import materialize
+from weftline.session import gathered, materialize
 
 #: Texts of an Arrow batch that a worker holds as Python strings.
 TEXTS_AT_ONCE = 512
@@ -99,6 +99,7 @@ def look_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """
     n = rows.count()
     hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(LEAST_HOT, n // MOST_HOT)).select(key)
+    hot = gathered(hot, n)
     hot_facts = materialize(facts.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True)), "hot")
     names = [c for c in facts.columns if c != key]
     marked = rows.join(F.broadcast(hot_facts), key, "left")

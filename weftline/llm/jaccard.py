@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import batches_of, look_up, text_udf
 from weftline.llm.graph import connected_components
-from weftline.session import materialize, release
+from weftline.session import gathered, materialize, release
 
 #: Words of a shingle, and the least percent of a union that an intersection is.
 WIDTH, PERCENT = 5, 80
@@ -391,9 +391,10 @@ def _links(keyed: DataFrame, prints: DataFrame, read: Callable[[DataFrame], Data
     part of a large group meets every other.
     """
     keyed = materialize(keyed, f"{label}-keyed")
+    n = keyed.count()
     member = F.xxhash64("row")
     groups = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.sum(F.col("n")).alias("size"), F.sum(member.bitwiseAND(F.lit((1 << 40) - 1))).alias("g"))
-    groups = materialize(groups.where("lo < hi").select("key", "g", "many", "size"), f"{label}-groups")
+    groups = materialize(gathered(groups.where("lo < hi").select("key", "g", "many", "size"), n), f"{label}-groups")
     rows = look_up(keyed, groups, "key").where("g IS NOT NULL")
     if patience is None:
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -404,15 +405,15 @@ def _links(keyed: DataFrame, prints: DataFrame, read: Callable[[DataFrame], Data
     else:
         parts = F.greatest(F.ceil(F.col("many") / TOGETHER), F.ceil(F.col("size") / BLOCK)).cast("int")
         rows = rows.withColumn("key", F.xxhash64("g", "many", F.pmod(F.xxhash64("key", "row"), parts)))
-    rows = materialize(rows.select("key", "row", "comp").distinct(), f"{label}-rows")
+    rows = materialize(gathered(rows.select("key", "row", "comp").distinct(), n), f"{label}-rows")
     small = _met(prints.select("row", "n", "bits"), rows, "row").repartition("key").sortWithinPartitions("key", "n")
     before, rows = rows, materialize(small.mapInArrow(_sifted(None if patience is None else MOST_SIFTED), "key bigint, row bigint, comp bigint"), f"{label}-sifted")
     release(before)
-    wanted = materialize(_met(prints.select("row", "k", "s"), materialize(rows.select("row").distinct(), f"{label}-left"), "row"), f"{label}-wanted")
+    wanted = materialize(_met(prints.select("row", "k", "s"), materialize(gathered(rows.select("row").distinct(), n), f"{label}-left"), "row"), f"{label}-wanted")
     sets = read(wanted)
     whole = _met(sets, rows, "row").repartition("key").sortWithinPartitions("key", F.size("set"))
     with batches_of(prints.sparkSession, WIDE_ROWS):
-        found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct(), f"{label}-links")
+        found = materialize(whole.select("key", "row", "comp", "set").mapInArrow(_forests(patience), "a bigint, b bigint").distinct().transform(gathered, n), f"{label}-links")
     release(keyed, groups, rows, wanted, sets)
     return found
 
@@ -457,7 +458,8 @@ def join(docs: DataFrame) -> DataFrame:
     with batches_of(docs.sparkSession, WIDE_ROWS):
         prints = materialize(found.select("row", "doc_id", "k", "x.n", "x.s", "x.bits", "x.keys", F.col("x.set").alias("prefix")), "prints")
     known = prints.where("s IS NOT NULL")
-    reps = materialize(known.groupBy("s").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "reps")
+    many = known.count()
+    reps = materialize(gathered(known.groupBy("s").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), many), "reps")
     again = materialize(look_up(known.select("s", F.col("row").alias("this")), reps.select("s", "row"), "s").where("this != row").select(F.col("this").alias("row")), "again")
     sets = _met(known, again, "row", "left_anti")
 
@@ -482,7 +484,7 @@ def join(docs: DataFrame) -> DataFrame:
             before, roots = roots, _roots(links.union(more).union(last))
             release(before)
     named = materialize(_met(reps, roots, "row", "left").select("s", "least", comp.alias("root")), "named")
-    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    least = materialize(gathered(named.groupBy("root").agg(F.min("least").alias("component_id")), many), "least")
     ids = materialize(look_up(named.select("s", "root"), least, "root").select("s", "component_id"), "ids")
     out = look_up(known.select("doc_id", "n", "s"), ids, "s").select("doc_id", "n", "component_id")
     alone = prints.where("s IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -10,6 +10,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few numbers that a task passes on, at least, where there are more tasks than cores.
+ROWS_A_TASK = 1 << 17
+
 _written: list[tuple[SparkSession, str]] = []
 #: What the call of ``settle`` or ``tidy`` that is under way has written; every thread has its own.
 _steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
@@ -62,6 +65,11 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, in no more partitions than cores or, of many rows, than hold ROWS_A_TASK each; nothing is shuffled."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def release(*dfs: DataFrame) -> None:
     """Removes what ``materialize`` wrote for these, once nothing that is yet to run reads it."""
     for df in dfs:
