@@ -123,3 +123,22 @@ def test_components_in_few_rounds(spark, monkeypatch):
         out = graph.connected_components(spark.createDataFrame(edges, "a long, b long").coalesce(1))
         assert {x.node: x.root for x in out.collect()} == least and out.count() == len(least)
         assert at_once == 7 or len(written) == 2  # what is left of the edges, and their nearest neighbours
+
+
+def test_clusters_of_few_rows_are_written_by_few_tasks(spark):
+    from weftline import session
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    written = len(session._written)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        prints = spark.createDataFrame([(i, i % 8 << 40 | 1 << i % 3) for i in range(400)], "t long, fp long")
+        roots = {x.fp: x.root for x in simhash.clusters(prints).collect()}
+        files = [spark.read.parquet(p).inputFiles() for _, p in session._written[written:] if "-pairs-" in p or "-nearest-" in p]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(roots) == 24 and set(roots.values()) == {1}
+    assert len(files) >= 2 and all(len(f) <= spark.sparkContext.defaultParallelism for f in files)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import columns_of, look_up, text_udf, unused
 from weftline.llm.graph import connected_components
-from weftline.session import materialize, settle
+from weftline.session import gathered, materialize, settle
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 3
@@ -203,7 +203,7 @@ def clusters(prints: DataFrame) -> DataFrame:
 
     Fingerprints link within DISTANCE bits, and where rows share their ``t``.
     """
-    pairs = materialize(prints.select("t", "fp").distinct(), "pairs")
+    pairs = materialize(gathered(prints.select("t", "fp").distinct(), prints.count()), "pairs")
     least = pairs.groupBy("t").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("t", "a")
     same = pairs.join(least, "t").where("fp != a").select("a", F.col("fp").alias("b"))
     found = link(pairs.select("fp").distinct()).union(same)
