@@ -52,6 +52,64 @@ def test_attention_within_batches_and_without_context(spark):
     assert AttentionBackbone().predict(train, test.limit(0), ["x"], "y").collect() == []
 
 
+class Counted(AttentionBackbone):
+    """Keeps how many keys, queries and points meet."""
+
+    def meet(self, keys, queries, points, sums):
+        self.met = keys.count(), queries.count(), len(points)
+        return super().meet(keys, queries, points, sums)
+
+
+def test_equal_rows_meet_once(spark):
+    train = spark.range(4000).select((F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, 1.5).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    test = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("a"), F.lit(1.5).alias("b"))
+    backbone = Counted(block_rows=1, portion_rows=2)
+    out = backbone.predict(train, test, ["a"], "y")
+    assert backbone.met == (5, 3, 1)
+    got = out.orderBy("id").collect()
+    assert [g.id for g in got] == list(range(3000))
+    a = np.arange(4000)
+    np.testing.assert_allclose([g.proba for g in got], dense(a[:, None] % 5.0, np.eye(2)[(a % 3 == 0).astype(int)], np.arange(3000)[:, None] % 3.0, 0.5), atol=1e-9)
+
+
+@pytest.mark.parametrize("regression, bandwidth, far, whole, cut", [(False, 0.5, 40, 1, 1), (True, 0.5, 1, 1, 1), (True, 4.0, 2, 0, 2)])
+def test_attention_through_a_lattice_equals_all_at_once(spark, regression, bandwidth, far, whole, cut):
+    """One or two features without equal values, beside one of three values; rows to predict lie far from all context too."""
+    r = np.random.default_rng(3)
+    x, q = r.normal(0, 3, (3000, 3)), r.normal(0, 3, (2000, 3))
+    x[:, 2], q[:, 2] = r.integers(0, 3, 3000), r.integers(0, 4, 2000)
+    x[:, 1] = r.integers(0, 2, 3000) if whole else x[:, 1]
+    q[:, 1] = r.integers(0, 2, 2000) if whole else q[:, 1]
+    x[7], q[:5, 0] = [30, 1, 9], [3 * far, -4 * far, 5 * far, np.nan, 30]
+    y = r.normal(0, 5, 3000) if regression else r.integers(0, 3, 3000) + 5
+    kind = "double" if regression else "long"
+    train = spark.createDataFrame([(*map(float, v), float(k) if regression else int(k)) for v, k in zip(x, y)], f"a double, b double, c double, y {kind}")
+    test = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "id long, a double, b double, c double")
+    backbone = Counted(regression, bandwidth, block_rows=3, portion_rows=500, direct=0)
+    got = backbone.predict(train, test, ["a", "b", "c"], "y").orderBy("id").collect()
+    keys, queries, points = backbone.met
+    assert points > 20**cut and keys * queries * points < len(x) * len(q) / 4
+    mean, sd = x.mean(0), x.std(0)
+    q = np.where(np.isnan(q), mean, q)
+    want = dense(x, y if regression else np.eye(3)[y - 5], q, bandwidth)
+    np.testing.assert_allclose([g.y_pred if regression else g.proba for g in got], want, rtol=1e-9, atol=1e-11)
+    if not regression:
+        assert [g.y_pred for g in got] == (want.argmax(1) + 5).tolist()
+
+
+def test_batches_through_a_lattice(spark):
+    """A batch's rows attend to its own context; one without context, or none, gets nulls; many rows agree in all but what is cut."""
+    rows = lambda n, of: spark.range(n).select(of.alias("b"), F.sin(F.col("id") * 1.7).alias("a"), (F.col("id") % 7 % 2).cast("int").alias("y"), "id")
+    train, test = rows(6000, (F.col("id") % 2).cast("int")), rows(4000, F.when(F.col("id") % 4 < 3, (F.col("id") % 4).cast("int")))
+    one, all_ = Counted(direct=0), Counted()
+    made = [{g.id: g.proba for g in x.predict(train, test.drop("y"), ["a"], "y", batch="b").collect()} for x in (one, all_)]
+    assert one.met[2] > 1 == all_.met[2] and len(made[0]) == 4000
+    for i, p in made[1].items():
+        assert (p is None) == (made[0][i] is None) == (i % 4 > 1)
+        if p:
+            np.testing.assert_allclose(made[0][i], p, rtol=1e-9)
+
+
 def accuracy(out):
     return out.agg(F.avg((F.col("y_pred") == F.col("label")).cast("int"))).first()[0]
 
