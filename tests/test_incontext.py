@@ -1,10 +1,12 @@
 """Attention over context blocks, batches with samples of their own, sets of rows, estimators side by side, settings of a run."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.test_predictor import chain_task, signal_task, task_on
 
+from weftline import incontext
 from weftline.catalog import Edge, Rel
 from weftline.incontext import AttentionBackbone
 from weftline.models import BayesBackbone, extract, reduce_estimators
@@ -97,6 +99,33 @@ def test_attention_through_a_lattice_equals_all_at_once(spark, regression, bandw
         assert [g.y_pred for g in got] == (want.argmax(1) + 5).tolist()
 
 
+@pytest.mark.parametrize("scores", [1, 12, 1000])
+def test_runs_of_keys_are_one_sum_however_they_are_cut(monkeypatch, scores):
+    monkeypatch.setattr(incontext, "SCORES", scores)
+    r = np.random.default_rng(8)
+    names, d, l, v = ["a"] * 9 + [None] * 8, np.repeat([1.0, 2, 2], [4, 8, 5])[:, None], r.normal(0, 30, (17, 1)), r.random((17, 2))
+    t = pa.record_batch({"batch": pa.array(names, pa.string()), "d": incontext.arrays(d), "l": incontext.arrays(l), "v": incontext.arrays(v)})
+    points = np.linspace(-40, 40, 6)[:, None]
+    got = pa.Table.from_batches(incontext.summed_at_points(iter([t.slice(0, 6), t.slice(6, 0), t.slice(6)]), points, 0.5))
+    assert got.column("batch").to_pylist() == ["a", "a", None] and incontext.matrix(got, "d").ravel().tolist() == [1, 2, 2]
+    for i, run in enumerate((slice(0, 4), slice(4, 9), slice(9, 17))):
+        score = -((l[run] - points.T) ** 2) / 0.25
+        np.testing.assert_allclose(incontext.matrix(got, "top")[i], score.max(0))
+        np.testing.assert_allclose(incontext.matrix(got, "v")[i].reshape(6, 2), np.exp(score - score.max(0)).T @ v[run])
+
+
+def test_a_lattice_lies_where_rows_are():
+    """Every pair finds the points that its weight needs, and an outlier adds few."""
+    r = np.random.default_rng(6)
+    k, q = (np.append(r.normal(0, 3, 40), far) for far in ([900.0], [-50.0, 899.0]))
+    side = incontext.lattice_side(*([int(i) for i in np.unique(np.floor(x / 0.4))] for x in (k, q))) * 0.4
+    assert len(side) < 300 < 950 / 2 / 0.4
+    score = np.add.outer(np.subtract.outer(k, side) ** 2, np.zeros(len(q))).transpose(0, 2, 1) + np.subtract.outer(q, side) ** 2
+    own = np.subtract.outer(k, q) ** 2 / 2
+    sums = np.exp(own[..., None] - score).sum(2)  # with a bandwidth of 1: the same for all pairs
+    np.testing.assert_allclose(sums, np.sqrt(np.pi / 2) / 0.4, rtol=1e-9)
+
+
 def test_batches_through_a_lattice(spark):
     """A batch's rows attend to its own context; one without context, or none, gets nulls; many rows agree in all but what is cut."""
     rows = lambda n, of: spark.range(n).select(of.alias("b"), F.sin(F.col("id") * 1.7).alias("a"), (F.col("id") % 7 % 2).cast("int").alias("y"), "id")

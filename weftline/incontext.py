@@ -17,7 +17,8 @@ Where the pairs that are left are many, a lattice takes the place of the feature
 of most values. With h the bandwidth, exp(-(q - k)^2 / 2h^2) is, up to a factor
 that all pairs share, the sum over the points p of a lattice of
 exp(-(q - p)^2 / h^2) exp(-(p - k)^2 / h^2), all of them positive; by Poisson's
-summation, at steps of 0.4 h, every single weight is met to a relative 1e-13.
+summation, at steps of 0.4 h, every single weight is met to a relative 1e-13,
+beside rounding. Points lie around the middles of the pairs that there are.
 So keys that agree in the other features are summed up at every point, the
 distinct other features meet point by point, and a row to predict attends to
 the points. That is linear in the rows, and no key is left out, however far.
@@ -50,8 +51,8 @@ SCORES = 1 << 17
 HELD = 1 << 22
 #: Points of a lattice at most.
 POINTS = 1 << 12
-#: A lattice's steps, and how far it goes beyond the middles of all pairs, in bandwidths.
-STEP, REACH = 0.4, 4.3
+#: A lattice's steps, how far it goes around the middles of pairs, and how far off a feature's values may be, in bandwidths.
+STEP, REACH, FAR = 0.4, 4.3, 1e6
 
 
 def matrix(t: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
@@ -80,14 +81,23 @@ def partial_attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndar
     return top - (q * q).sum(1) / 2 / bandwidth**2, sums
 
 
+def lattice_side(k: list[int], q: list[int]) -> np.ndarray:
+    """The points, in steps, around the middles of all pairs of a key's cell and a query's."""
+    middles = np.unique(np.unique(np.add.outer(np.array(k, np.int64), np.array(q, np.int64))) // 2)
+    reach = math.ceil(REACH / STEP)
+    return np.unique(np.add.outer(middles, np.arange(-reach, reach + 3)))
+
+
 def point_scores(x: np.ndarray, points: np.ndarray, bandwidth: float) -> np.ndarray:
     """Of every row at every point; those of a pair add up to its own where they are largest."""
     return -sum(((x[:, [j]] - points[:, j]) ** 2 for j in range(points.shape[1])), np.zeros((len(x), len(points)))) / bandwidth**2
 
 
 def summed_at_points(parts: Iterator[pa.RecordBatch], points: np.ndarray, bandwidth: float) -> Iterator[pa.RecordBatch]:
-    """Of runs of keys of one batch and the same ``d``, at every point the largest score, and the weighted sums of ``v`` relative to it."""
+    """Of every run of keys of one batch and the same ``d``, at every point the largest score, and the weighted sums of ``v`` relative to it."""
     step = max(1, SCORES // len(points))
+    made = lambda b, d, top, v: pa.record_batch({"batch": pa.array(b, pa.string()), "d": arrays(d), "top": arrays(top), "v": arrays(v)})
+    last = None  # the run that may go on
     for t in (whole.slice(i, step) for whole in parts for i in range(0, len(whole), step)):
         d, v = matrix(t, "d"), matrix(t, "v")
         batch = t.column("batch").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -96,7 +106,18 @@ def summed_at_points(parts: Iterator[pa.RecordBatch], points: np.ndarray, bandwi
         top = np.maximum.reduceat(score, first, axis=0)
         w = np.exp(score - top[np.cumsum(new) - 1])
         sums = np.stack([np.add.reduceat(w * c[:, None], first, axis=0) for c in v.T], 2)
-        yield pa.record_batch({"batch": t.column("batch").take(pa.array(first)), "d": arrays(d[first]), "top": arrays(top), "v": arrays(sums)})
+        names, d = t.column("batch").take(pa.array(first)).to_pylist(), d[first]
+        if last and last[0][0] == names[0] and (last[1] == d[:1]).all():
+            both = np.maximum(last[2][0], top[0])
+            sums[0] = last[3][0] * np.exp(last[2][0] - both)[:, None] + sums[0] * np.exp(top[0] - both)[:, None]
+            top[0] = both
+        elif last:
+            yield made(*last)
+        if len(names) > 1:
+            yield made(names[:-1], d[:-1], top[:-1], sums[:-1])
+        last = names[-1:], d[-1:], top[-1:], sums[-1:]
+    if last:
+        yield made(*last)
 
 
 def read_at_points(a: pa.Table, q: pa.Table, points: np.ndarray, bandwidth: float) -> pa.Table:
@@ -160,14 +181,18 @@ class AttentionBackbone:
         n = keys.count() + queries.count()
         if keys.count() * queries.count() <= self.direct or not width:
             return nothing
-        facts = [F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.approx_count_distinct(c).alias("n")).alias(f"f{i}") for i, c in enumerate(_parts(range(width)))]
+        step = STEP * self.bandwidth
+        cell = lambda c: F.floor(c / F.lit(step))
+        facts = [F.struct(F.max(F.abs(c)).alias("far"), F.approx_count_distinct(c).alias("n"), F.approx_count_distinct(cell(c)).alias("cells")).alias(f"f{i}") for i, c in enumerate(_parts(range(width)))]
         k, q = (df.agg(F.approx_count_distinct("batch").alias("batches"), *facts).first() for df in (keys, queries))
-        step, reach = STEP * self.bandwidth, REACH * self.bandwidth
+        able = [i for i in range(width) if all(side[f"f{i}"]["cells"] <= POINTS and side[f"f{i}"]["far"] <= FAR * self.bandwidth for side in (k, q))]
+        able = sorted(able, key=lambda i: -k[f"f{i}"]["n"] - q[f"f{i}"]["n"])[: int(math.log(POINTS, 2 * REACH / STEP))]
+        cells = [df.agg(*[F.collect_set(cell(c)) for c in _parts(able)]).first() if able else () for df in (keys, queries)]
         sides: dict[int, np.ndarray] = {}
-        for i in sorted(range(width), key=lambda i: -k[f"f{i}"]["n"] - q[f"f{i}"]["n"]):
-            low, high = ((k[f"f{i}"][m] + q[f"f{i}"][m]) / 2 for m in ("min", "max"))
-            if (high - low + 2 * reach) / step + 2 <= POINTS / math.prod(map(len, sides.values())):
-                sides[i] = np.arange(low - reach, high + reach + step, step)
+        for i, *of in zip(able, *cells):
+            side = lattice_side(*of)
+            if len(side) <= POINTS / math.prod(map(len, sides.values())):
+                sides[i] = side * step
         plans = [list(sides)[:m] for m in range(len(sides) + 1)]
         kinds = [F.approx_count_distinct(F.xxhash64("batch", *_parts(i for i in range(width) if i not in cut))) for cut in plans]
         meetings = [a * b / max(1, q["batches"]) for a, b in zip(*(df.agg(*kinds).first() for df in (keys, queries)))]
